@@ -42,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what this library wrote at path, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """df joined with small, which is broadcast only when it is counted at limit rows or fewer.
 
@@ -69,19 +75,36 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def map_rows(df: DataFrame, columns: list[str | Column], schema: str, f: Callable[..., dict[str, list]]) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str | Column], schema: str, f: Callable[..., dict[str, list]], through: list[str] | None = None) -> DataFrame:
     """Run f over the given columns of df, a bounded Arrow batch at a time.
 
-    f gets one Python list per column and returns a dict of equally long lists, named as in schema.
+    f gets one Python list per column and returns a dict of equally long lists, named as in schema. Columns named in
+    through are handed on as they are, after those of schema.
     """
-
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    through = through or []
+    kind = StructType.fromDDL(schema)
+    made_fields = list(to_arrow_schema(kind))
+    n = len(columns)
+    for c in through:
+        kind = kind.add(df.schema[c])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                made = f(*[c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in out], schema=out)
-
-    return df.select(*columns).mapInArrow(run, schema)
+                made = f(*[c.to_pylist() for c in part.columns[:n]])
+                arrays = [pa.array(made[x.name], x.type) for x in made_fields] + part.columns[n:]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.name for x in made_fields] + through)
+
+    return df.select(*columns, *through).mapInArrow(run, kind)
+
+
+def code_point_spans(raw: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """found with places in bytes turned into places in code points."""
+    if raw.isascii() or not found:
+        return found
+    at, chars, to = 0, 0, {}
+    for b in sorted({x for _, s, e in found for x in (s, e)}):
+        chars += sum((c & 0xC0) != 0x80 for c in raw[at:b]) if b - at < 64 else len(raw[at:b].decode("utf-8", "surrogatepass"))
+        at, to[b] = b, chars
+    return [(k, to[s], to[e]) for k, s, e in found]
