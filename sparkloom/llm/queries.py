@@ -2,16 +2,73 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from pyspark.sql import functions as F
+
+from . import decontaminate, language, mixing, pii, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
 from .common import table
 
 ORACLES: dict[str, str] = {}
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_simhash_near_dedup(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_archives(spark, sf_dir):
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url", "payload")
+
+
+#: The contract's rules.
+RULES = [
+    url_filter.rule("block", "com/en/"),
+    url_filter.rule("allow", "example.com/en/7"),
+    url_filter.rule("allow", "net/de/"),
+    url_filter.rule("block", "example.net/de/8"),
+    url_filter.rule("block", "org/es/"),
+]
+
+
+def op5_url_filter(spark, sf_dir):
+    """Outcomes come from `labels`: a label row marks the page with its number, bad where quality is 0 or toxic is 1."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.greatest(F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0), F.when(F.col("toxic") == 1, 1).when(F.col("toxic").isNotNull(), 0))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+
+
+def op6_personal_data(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_mix_sources(spark, sf_dir):
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_verdict(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
+    return found.select("_all.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
-    "op3_quality_rules": op3_quality_rules,
-}
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_warc_archives, op5_url_filter,
+        op6_personal_data, op7_language_id, op8_mix_sources, op9_secret_scan, op10_decontaminate,
+    )
+}
