@@ -179,7 +179,7 @@ def write(pages: DataFrame, folder: str | None = None, w: Writer = Writer(), row
             with _opened(path, "wb") as f:
                 f.write(lead := header(dictionary.value))
                 n, size = 0, len(lead)
-                while piece is not None and size < w.archive_bytes:
+                while piece is not None and (n == 0 or size + len(piece) <= w.archive_bytes):
                     f.write(piece)
                     n, size, piece = n + 1, size + len(piece), next(todo, None)
             made.append((path, n, size))
