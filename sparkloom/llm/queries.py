@@ -7,7 +7,29 @@ from pyspark.sql import functions as F
 from . import decontaminate, language, mixing, pii, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
 from .common import table
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL where it can express a query. The others rest on hashes, random ranks, trained models or files that it hasn't.
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item, n, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM sized
+),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, item, n, i FROM places JOIN windows USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+}
 
 
 def op1_quality_classifier(spark, sf_dir):
