@@ -21,3 +21,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in ("box_queries", "neighbor_queries", "gap_queries", "dataset_queries", "text_queries"):
+        importlib.import_module(f"sparkloom.plans.{name}")
