@@ -31,8 +31,8 @@ class Model:
     """
 
     features: int = 256
-    width: float = 4.0
-    ridge: float = 1e-4
+    width: float = 12.0
+    ridge: float = 3e-4
     bins: int = 512
     threshold: float = 0.3
     scale_rows: int = 4000
