@@ -109,19 +109,64 @@ def fill_template(template: str, **values: Column) -> Column:
     return F.concat(*[F.lit(p) if i % 2 == 0 else values[p].cast("string") for i, p in enumerate(parts)])
 
 
-#: Tasks by what a prompt key contains, the first that fits.
-TASKS = [
-    ("temporal", "temporal_localization"), ("mcq", "mcq"), ("multiple", "mcq"), ("bcq", "bcq"), ("binary", "bcq"),
-    ("scene", "scene_description"), ("event", "event_summary"), ("causal", "causal"), ("open", "openended"),
-]
+#: Tasks by what a prompt key contains, the first that fits; other keys are open questions.
+TASKS = ["causal_linkage", "temporal_event_desc", "scene_description", "event_summary", "temporal_localization", "mcq", "bcq"]
 
 
 def task_of(key: Column) -> Column:
     out = None
-    for part, task in TASKS:
-        hit = F.lower(key).contains(part)
-        out = F.when(hit, task) if out is None else out.when(hit, task)
-    return out.otherwise("other")
+    for task in TASKS:
+        out = F.when(key.contains(task), task) if out is None else out.when(key.contains(task), task)
+    return out.otherwise("open_qa")
+
+
+def short_answer(answer: Column) -> Column:
+    """Yes or No where an answer begins so; else the answer."""
+    low = F.lower(F.regexp_replace(strip(answer), r"\.+$", ""))
+    return F.when(low.startswith("yes"), "Yes").when(low.startswith("no"), "No").otherwise(answer)
+
+
+def letter_answer(answer: Column, choices: Column) -> Column:
+    """`X. text` of the choice that an answer's letter names; an answer of that form, or without a choice, as it is."""
+    raw = strip(answer)
+    letter = F.concat(F.substring(F.upper(raw), 1, 1), F.lit("."))
+    found = F.get(F.filter(choices, lambda c: c.startswith(letter)), 0)
+    return F.when((raw == "") | raw.rlike(r"^[A-Z]\.\s+\S"), raw).otherwise(F.coalesce(strip(found), raw))
+
+
+def time_range(answer: Column) -> Column:
+    """`Start_Time: a, End_Time: b` as JSON with start and end; other answers as they are."""
+    stamp = r"((?:\d{2}:)?\d{2}:\d{2}(?:\.\d+)?)"
+    pattern = r"(?i)Start_Time:\s*" + stamp + r",?\s*End_Time:\s*" + stamp
+    made = F.to_json(F.struct(F.regexp_extract(answer, pattern, 1).alias("start"), F.regexp_extract(answer, pattern, 2).alias("end")))
+    return F.when(answer.rlike(pattern), made).otherwise(answer)
+
+
+def chunk_text(chunks: Column) -> Column:
+    """Chunks (index, start, end, caption) as text, one decimal for seconds, parted by rules."""
+    one = lambda c: F.format_string("Chunk %d (%.1f-%.1fs): %s", c["index"], c["start"], c["end"], c["caption"])
+    return F.array_join(F.transform(chunks, one), "\n\n---\n\n")
+
+
+def question_text(question: Column, kind: Column, choices: Column) -> Column:
+    """A question with its choices and what to answer, for mcq; others as they are."""
+    listed = F.when(F.size(choices) > 0, F.concat(F.lit("\n"), F.array_join(choices, "\n"))).otherwise("")
+    return F.when(kind == "mcq", F.concat(question, listed, F.lit("\nAnswer with the option's letter from the given choices directly."))).otherwise(question)
+
+
+def caption_list(raw: Column) -> Column:
+    """Captions of a JSON text, a list of texts, a list of lists or plain text, trimmed; empty ones go."""
+    nested, flat = F.from_json(raw, "array<array<string>>"), F.from_json(raw, "array<string>")
+    single = F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), 0)
+    many = F.when(raw.rlike(r"^\s*\[\s*\["), F.flatten(nested)).when(raw.rlike(r"^\s*\["), flat).otherwise(F.array(F.when(raw.rlike('^\\s*"'), single).otherwise(raw)))
+    return F.filter(F.transform(F.coalesce(many, F.array().cast("array<string>")), lambda x: strip(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def token_limit(limit: int | None, model: str = "") -> int:
+    """A tokenizer's length limit where it makes sense (0 < limit < 1,000,000), else the model family's."""
+    if limit is not None and 0 < limit < 1_000_000:
+        return limit
+    return 77 if "clip" in model.lower() and "siglip" not in model.lower() else 64
 
 
 def permuted(question: Column, choices: Column) -> Column:

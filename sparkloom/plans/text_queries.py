@@ -53,12 +53,41 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.without_augment_suffix(name).alias("person"), T.is_augmented(name).alias("augmented"))
 
 
-@query("prompt_tasks", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'temporal_localization' WHEN 1 THEN 'mcq' WHEN 2 THEN 'bcq' ELSE 'other' END AS task FROM orders")
+@query("prompt_tasks", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'temporal_localization' WHEN 1 THEN 'mcq' WHEN 2 THEN 'bcq' ELSE 'open_qa' END AS task FROM orders")
 def _(spark, sf):
-    key = F.element_at(F.array(*[F.lit(x) for x in ("Temporal_open", "normal_MCQ", "bcq_x", "zzz")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    key = F.element_at(F.array(*[F.lit(x) for x in ("anomaly_temporal_localization", "normal_mcq", "bcq_x", "zzz")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, sf, "orders").select("o_orderkey", T.task_of(key).alias("task"))
 
 
+@query(
+    "answer_forms",
+    """SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'maybe' END AS short, CASE WHEN item_id % 2 = 0 THEN 'B. two' ELSE 'C. other text' END AS letter,
+    CASE WHEN item_id % 2 = 0 THEN '{"start":"00:01","end":"01:02:03.5"}' ELSE 'later' END AS range_text FROM benchmark""",
+)
+def _(spark, sf):
+    i = F.col("item_id")
+    short = F.when(i % 3 == 0, " yes, it is.").when(i % 3 == 1, "NO.").otherwise("maybe")
+    letter = F.when(i % 2 == 0, " b ").otherwise("C. other text")
+    when = F.when(i % 2 == 0, "Start_Time: 00:01, end_time: 01:02:03.5").otherwise("later")
+    choices = F.array(F.lit("A. one"), F.lit("B. two"))
+    return table(spark, sf, "benchmark").select("item_id", T.short_answer(short).alias("short"), T.letter_answer(letter, choices).alias("letter"), T.time_range(when).alias("range_text"))
+
+
+@query("chunk_text", "SELECT item_id, 'Chunk 0 (0.0-' || item_id || '.5s): a\n\n---\n\nChunk 1 (' || item_id || '.5-9.0s): b' AS chunks FROM benchmark")
+def _(spark, sf):
+    half = F.col("item_id") + F.lit(0.5)
+    one = lambda i, a, b, c: F.struct(F.lit(i).alias("index"), a.alias("start"), b.alias("end"), F.lit(c).alias("caption"))
+    chunks = F.array(one(0, F.lit(0.0), half, "a"), one(1, half, F.lit(9.0), "b"))
+    return table(spark, sf, "benchmark").select("item_id", T.chunk_text(chunks).alias("chunks"))
+
+
+@query("caption_lists", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'c|d|e' ELSE 'plain' END AS captions FROM benchmark")
+def _(spark, sf):
+    i = F.col("item_id")
+    raw = F.when(i % 3 == 0, '[" a ", "", "b"]').when(i % 3 == 1, '[["c"], ["d", " e"]]').otherwise(" plain ")
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(T.caption_list(raw), "|").alias("captions"))
+
+
 @query("template_fill", "SELECT item_id, 'Item ' || item_id || ' says: ' || text AS prompt FROM benchmark")
 def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.fill_template("Item {i} says: {t}", i=F.col("item_id"), t=F.col("text")).alias("prompt"))
