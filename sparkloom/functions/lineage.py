@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, limit: int = 20_000) -> DataFrame:
+    """df, marked for broadcast if it is counted at limit rows or fewer; else as it is, for Spark to choose a join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparkloom.functions.lineage import small
+
 KEY = ["image_id", "type"]
 _OVERLAP = """
   greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1) + {d}, 0D) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1) + {d}, 0D)"""
@@ -51,7 +53,7 @@ def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: floa
         named_struct('t', 1, 'score', 0D, 'pos', g.row_id), null)), x -> x is not null)""")
     pairs = done.select(*KEY, F.explode(F.concat("s.out", missed)).alias("r")).select(*KEY, "r.t", "r.score", "r.pos")
     # Images by classes: as many as the result of the evaluation has; those without any box are true negatives.
-    every = gt.select("image_id").distinct().join(F.broadcast(gt.select("type").distinct()))
+    every = gt.select("image_id").distinct().join(small(gt.select("type").distinct()))
     empty = every.join(grouped.filter("size(gs) > 0 or size(ps) > 0").select(*KEY), KEY, "left_anti")
     nothing = [F.lit(None).cast(k).alias(c) for c, k in (("t", "int"), ("score", "double"), ("pos", "string"))]
     return pairs.unionAll(empty.select(*KEY, *nothing))

@@ -26,8 +26,11 @@ TARGET_ROWS = 20_000
 def exact_pairs(targets: DataFrame, sources: DataFrame, k: int, metric: str = "euclidean", digits: int | None = None) -> DataFrame:
     """(target, rank, source, distance): k nearest sources of each target, ties by source, in column expressions alone.
 
-    targets (target, vec) are broadcast: for sets of few targets. digits rounds distances before they are ranked.
+    targets (target, vec) are broadcast; more than TARGET_ROWS of them go by nearest(), a slice at a time. digits rounds
+    distances before they are ranked.
     """
+    if targets.limit(TARGET_ROWS + 1).count() > TARGET_ROWS:
+        return nearest(targets, sources, k, metric)
     d = vectors.distance(F.col("tv"), F.col("sv"), metric)
     d = d if digits is None else F.round(d, digits)
     pairs = sources.select("source", F.col("vec").alias("sv")).join(F.broadcast(targets.select("target", F.col("vec").alias("tv"))))

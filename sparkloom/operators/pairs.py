@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
+from sparkloom.functions.lineage import small
 from sparkloom.operators.datasets import first_wins, stratified_sample
 
 SKIPPED = ("missing", "not visible")
@@ -33,7 +34,7 @@ def attribute_pairs(queries: DataFrame, images: DataFrame) -> DataFrame:
     q = q.withColumn("_need", F.when(F.array_contains("names", "accessories"), need).otherwise(F.array().cast("array<string>")))
     sets = q.select("_names").distinct()
     index = images.select("image_id", "attributes", F.coalesce(F.try_element_at("attributes", F.lit("accessories")), F.lit("")).alias("_has"))
-    index = index.join(F.broadcast(sets)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
+    index = index.join(small(sets)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
     hit = q.select("query_id", "_sig", "_need").join(index.select("image_id", "_sig", "_has"), "_sig")
     return hit.filter(F.forall("_need", lambda a: F.lower("_has").contains(F.lower(a)))).select("query_id", "image_id")
 
