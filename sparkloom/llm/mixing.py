@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, p: Mix = Mix()) -> DataFrame:
 
 def _levels(docs: DataFrame, region: DataFrame, p: Mix) -> DataFrame:
     """Per source (_source, _shift, _lo, _rem, _n): the stretch of ranks in which its sample ends and the words left for it."""
-    while (most := region.filter("_shift > 0").agg(F.max("_n")).first()[0] or 0) > p.region:
+    while (region.filter("_shift > 0").agg(F.max("_n")).first()[0] or 0) > p.region:
         bits = F.least(F.lit(12), F.col("_shift"), F.greatest(F.lit(0), F.ceil(F.log2(4 * F.col("_n") / p.region)).cast("int")))
         inside = join_small(docs, region, ["_key"]).filter(F.expr("shiftright(_rank, _shift) = _lo")).withColumn("_next", F.col("_shift") - bits)
         hist = inside.groupBy("_key", "_rem", "_next", F.expr("shiftright(_rank, _next)").alias("_b")).agg(F.sum("_part_size").alias("_words"), F.count("*").alias("_n"))
@@ -69,7 +69,6 @@ def _levels(docs: DataFrame, region: DataFrame, p: Mix) -> DataFrame:
         ends = ends.withColumn("_first", F.row_number().over(w)).filter("_first = 1")
         found = cut(ends.select("_key", F.col("_next").alias("_shift"), F.col("_b").alias("_lo"), (F.col("_rem") - F.col("_upto") + F.col("_words")).alias("_rem"), "_n"))
         region = cut(found.unionByName(region.join(found.select("_key"), "_key", "left_anti")))
-        assert most  # each level halves a stretch at least, until ranks are single numbers
     return region
 
 
@@ -110,8 +109,8 @@ def _fill(pdf):
     return pdf
 
 
-def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "source", row: str = "doc_id") -> DataFrame:
-    """One row per row of df: row, size, source_size, target, copies, taken (copies times size).
+def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "source", row: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of df: row, size, source_size, target, copies, taken (copies times size), and columns `carry`.
 
     Null texts have size 0; a null source is a source of its own, the last. Documents without words get no copies beyond
     their whole ones. Repeated rows are ranked alike and taken as separate documents. Null row ids are ranked together.
@@ -119,7 +118,7 @@ def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "sou
     """
     importance = F.greatest(F.round(F.coalesce(F.col(p.importance), F.lit(0.0)) * 1_000_000).cast("long"), F.lit(1)) if p.importance else F.lit(1).cast("long")
     key = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    docs = cut(df.select(F.col(row).alias("_row"), F.col(source).alias("_source"), key.alias("_key"), word_count(F.col(text)).alias("size"), importance.alias("_imp")))
+    docs = cut(df.select(F.col(row).alias("_row"), F.col(source).alias("_source"), key.alias("_key"), word_count(F.col(text)).alias("size"), importance.alias("_imp"), *(carry or [])))
     sizes = docs.groupBy("_source", "_key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_imp")).alias("_mass"))
     sizes = cut(targets(sizes, p).drop("_source"))
     docs = join_small(docs, sizes, ["_key"])
@@ -130,7 +129,7 @@ def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "sou
     odds = F.log(u / (1 - u)) - F.log(F.greatest(F.col("_part"), F.lit(1e-12)) / (1 - F.least(F.col("_part"), F.lit(1 - 1e-12))))
     rank = F.floor((F.greatest(F.lit(-127.0), F.least(F.lit(127.0), odds)) + 128) * float(1 << (_BITS - 8))).cast("long")
     docs = docs.withColumn("_rank", rank).withColumn("_part_size", F.when(F.col("_part") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
-    docs = cut(docs.select("_row", "_key", "size", "source_size", "target", "_whole", "_part_size", "_rank"))
+    docs = cut(docs.select("_row", "_key", "size", "source_size", "target", "_whole", "_part_size", "_rank", *(carry or [])))
     region = docs.groupBy("_key").agg((F.max("target") - F.sum(F.col("_whole") * F.col("size"))).alias("_rem"), F.count("*").alias("_n"))
     region = cut(region.select("_key", F.lit(_BITS).alias("_shift"), F.lit(0).cast("long").alias("_lo"), "_rem", "_n"))
     region = _levels(docs, region, p)
@@ -140,11 +139,23 @@ def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "sou
     near = docs.filter("_at = _lo").groupBy("_key").applyInPandas(_fill, schema)
     out = far.unionByName(near)
     copies = F.col("_whole") + F.col("_extra")
-    return out.select(F.col("_row").alias(row), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("_row").alias(row), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(carry or []))
 
 
 def repeat(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "source", row: str = "doc_id") -> DataFrame:
-    """The mixture itself: rows of df as often as taken, numbered by `copy` from 0. Row ids are taken to be unique."""
-    n = sample(df, p, text, source, row).filter("copies > 0").select(F.col(row).alias("_mixed"), F.col("copies").alias("_copies"))
-    out = df.join(n, df[row] == n["_mixed"])
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1))).drop("_mixed", "_copies")
+    """The mixture itself: rows of df as often as taken, numbered by `copy` from 0.
+
+    Rows are found again by id, null or not, and a hash of source and text; rows alike in all three share their copies
+    out among themselves, as evenly as can be.
+    """
+    key = {
+        "_id": F.coalesce(F.col(row).cast("string"), F.lit("")),
+        "_null": F.col(row).isNull(),
+        "_hash": F.xxhash64(F.col(text), F.col(text).isNull(), F.col(source), F.col(source).isNull()),
+    }
+    marked = df.withColumns(key)
+    taken = sample(marked, p, text, source, row, list(key)).groupBy(*key).agg(F.sum("copies").alias("_all"), F.count("*").alias("_alike")).filter("_all > 0")
+    out = marked.join(taken, list(key)).withColumn("_turn", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
+    own = F.floor(F.col("_all") / F.col("_alike")) + (F.col("_turn") <= F.col("_all") % F.col("_alike")).cast("long")
+    out = out.withColumn("_own", own.cast("int")).filter("_own > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_own") - 1))).select(*df.columns, "copy")

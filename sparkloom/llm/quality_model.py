@@ -168,7 +168,7 @@ def _sums(rows: DataFrame, n: int, f) -> np.ndarray | None:
     parts = rows.rdd.getNumPartitions()
     while parts > 16:
         parts = -(-parts // 16)
-        sums = sums.coalesce(parts).mapInArrow(add, "s binary") if parts < 16 else sums.repartition(parts).mapInArrow(add, "s binary")
+        sums = sums.repartition(parts).mapInArrow(add, "s binary")
     found = [np.frombuffer(r[0]) for r in sums.collect()]
     assert all(len(x) == n for x in found)
     return np.sum(found, axis=0) if found else None

@@ -34,3 +34,24 @@ def test_columns_and_empty_tables(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert P.STAGES[-1][1](spark, docs, sf).count() == 0
+
+
+def test_stages_with_nulls_repeats_and_odd_columns(spark, sf):
+    """Each stage takes nulls in any column, empty and long texts, repeated rows and columns with clashing names."""
+    plain = " ".join(f"word{i % 70}x{i % 11}" for i in range(120))
+    other = " ".join(f"some{i % 90}y{i % 13}" for i in range(140))
+    rows = [(1, plain, "en", "a"), (1, plain, "en", "a"), (2, plain, None, None), (3, None, "en", "a"), (4, "", None, "b"), (None, other, "en", None), (5, "long " * 30000, "en", "b"), (6, other + " password=abcdef123456", None, None)]
+    df = spark.createDataFrame([(*r, None, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string, copies int, _g int")
+    docs = df
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == df.columns, name
+        docs = spark.createDataFrame(docs.collect(), df.schema)
+    assert {r.doc_id for r in docs.collect()} == {1, None, 6}
+    assert "[SECRET]" in {r.doc_id: r.text for r in docs.collect()}[6]
+    mixed = P.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in mixed} <= {1, None, 6} and all(r.copy < 3 for r in mixed)
+    for _, stage in P.STAGES:
+        assert stage(spark, df, sf).count() >= 0
+    total = sum(len((r.text or "").split()) for r in df.collect())
+    assert abs(sum(len((r.text or "").split()) for r in P.STAGES[-1][1](spark, df, sf).collect()) - total) <= 0.7 * total
