@@ -46,7 +46,7 @@ _LABELS = 1 + 2 * len(KINDS)
 class Detect:
     """window, stride: characters of a window and between windows. hidden: units a direction. steps, batch: of training.
 
-    sample_docs: texts that training windows come from. seed: of all random choices.
+    sample_docs: texts that training windows come from, none longer than sample_chars. seed: of all random choices.
     """
 
     window: int = 96
@@ -57,6 +57,7 @@ class Detect:
     train_window: int = 64
     rate: float = 0.02
     sample_docs: int = 400
+    sample_chars: int = 50_000
     seed: int = 5
 
 
@@ -405,15 +406,15 @@ def _base_only(text: str | None) -> list[tuple[str, int, int]]:
 
 def fit(df: DataFrame, p: Detect = Detect(), text: str = "text", row: str = "doc_id") -> Network:
     """The network, trained on at most sample_docs texts of df, chosen by hash; half of them with digits where there are."""
-    rows = df.select(F.col(row).alias("_row"), F.col(text).alias("_text")).filter("_text is not null")
-    digits = F.col("_text").rlike("[0-9@]")
+    rows = df.select(F.col(row).alias("_row"), F.col(text).alias("_text")).filter(F.char_length("_text") <= p.sample_chars)
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(p.seed), "_row", "_text"))
     n = rows.count()
-    share = F.pmod(F.xxhash64(F.lit(p.seed), "_row"), F.lit(1_000_000)) < F.lit(int(min(1.0, 8 * p.sample_docs / max(1, n)) * 1_000_000))
-    some = rows.filter(share).select("_text", digits.alias("_hot"), F.xxhash64("_row", "_text").alias("_h"))
-    half = p.sample_docs // 2
-    hot = some.filter("_hot").orderBy("_h", "_text").limit(half).collect()
-    cold = some.filter("not _hot").orderBy("_h", "_text").limit(half).collect()
-    return train([r[0] for r in [*hot, *cold]], p)
+    some = rows.filter(F.pmod("_h", F.lit(1_000_000)) < int(min(1.0, 8 * p.sample_docs / max(1, n)) * 1_000_000))
+    # First hashes alone come, some eight times the sample; then the texts of those that are wanted.
+    marks = some.select("_h", F.col("_text").rlike("[0-9@]").alias("_hot")).distinct().orderBy("_h").limit(16 * p.sample_docs).collect()
+    wanted = [r[0] for hot in (True, False) for r in [m for m in marks if m[1] == hot][: p.sample_docs // 2]]
+    texts = some.filter(F.col("_h").isin(wanted)).dropDuplicates(["_h"]).select("_h", "_text").collect() if wanted else []
+    return train([r[1] for r in sorted(texts)], p)
 
 
 def detect(df: DataFrame, p: Detect = Detect(), text: str = "text", row: str = "doc_id", net: Network | None = None) -> DataFrame:

@@ -149,13 +149,17 @@ def write(pages: DataFrame, folder: str | None = None, w: Writer = Writer(), row
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = _with_references(pages, row, url, html)
-    some = rows.select("_page", "_url", "_html", F.xxhash64("_page", "_url").alias("_h")).orderBy("_h", "_url").limit(w.sample_records)
+    # First hashes of ids and urls alone are ranked; then the few pages up to the last of them are fetched.
+    hashed = pages.select(F.xxhash64(row, url).alias("_h"), F.col(row).alias("_page"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    marks = [r[0] for r in hashed.select("_h").orderBy("_h").limit(w.sample_records).collect()]
+    some = hashed.filter(F.col("_h") <= (marks[-1] if marks else 0)).limit(w.sample_records)
     samples, size = [], 0
     for r in some.toLocalIterator():
         payload = r["_html"].encode("utf-8", "surrogatepass")
-        if size < w.sample_bytes:
-            samples.append(record(r["_page"], r["_url"], payload, date=w.date)[: w.sample_bytes])
-            size += len(samples[-1])
+        samples.append(record(r["_page"], r["_url"], payload, date=w.date)[: w.sample_bytes - size])
+        size += len(samples[-1])
+        if size >= w.sample_bytes:
+            break
     dictionary = rows.sparkSession.sparkContext.broadcast(build_dictionary(samples, w.dictionary_bytes))
     local = folder if not folder.startswith("file:") and ":" in folder.split("/")[0] else re.sub(r"^file:/*", "/", folder)
     rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(
