@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import crc_mod, map_rows
+from .common import crc_mod, cut, join_small, map_rows
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -29,12 +29,14 @@ _LONG = 32  # letters; longer words are summed with rescaling
 
 @dataclass(frozen=True)
 class Identify:
-    """sample_docs: texts a language is learned from, at most. rounds: of expectation maximisation. smooth: added counts.
+    """sample_docs: texts a language is learned from, at most, none longer than sample_chars. rounds: of expectation
+    maximisation. smooth: added counts.
 
     vocabulary: a sentencepiece model file, read by the driver only. memory: words a worker remembers.
     """
 
     sample_docs: int = 250
+    sample_chars: int = 50_000
     rounds: int = 2
     smooth: float = 0.05
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
@@ -248,13 +250,19 @@ def learn(samples: list[tuple[str, str]], p: Identify = Identify()) -> Languages
 
 
 def _sample(df: DataFrame, p: Identify) -> list[tuple[str, str]]:
-    """At most sample_docs learning rows of each language, chosen by hash."""
-    rows = df.filter((crc_mod(F.col("_row"), 3) != 1) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
-    hashed = F.pmod(F.xxhash64("_row"), F.lit(1_000_000)) / 1_000_000
-    some = rows.join(sizes, "_lang").filter(hashed < F.lit(1.3 * p.sample_docs) / F.col("_n") + F.lit(1e-6))
-    ranked = some.withColumn("_k", F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_row"), "_row", "_text"))).filter(F.col("_k") <= p.sample_docs)
-    return [(r[0], r[1]) for r in ranked.select(F.col("_lang").cast("string"), "_text").collect()]
+    """At most sample_docs learning rows of each language, chosen by hash.
+
+    Only languages and hashes are ranked; then the texts of the chosen hashes are fetched.
+    """
+    rows = df.filter((crc_mod(F.col("_row"), 3) != 1) & F.col("_lang").isNotNull() & (F.char_length("_text") <= p.sample_chars))
+    sizes = cut(rows.groupBy("_lang").agg(F.count("*").alias("_n")))
+    rows = rows.withColumn("_h", F.xxhash64("_row", "_text"))
+    hashed = F.pmod("_h", F.lit(1_000_000)) / 1_000_000
+    some = join_small(rows.select("_lang", "_h"), sizes, ["_lang"]).filter(hashed < F.lit(1.3 * p.sample_docs) / F.col("_n") + F.lit(1e-6))
+    ranked = some.select("_lang", "_h").distinct().withColumn("_k", F.row_number().over(W.partitionBy("_lang").orderBy("_h")))
+    marks = cut(ranked.filter(F.col("_k") <= p.sample_docs).select("_lang", "_h"))
+    found = join_small(rows.select("_lang", "_h", "_text"), marks, ["_lang", "_h"], "inner").dropDuplicates(["_lang", "_h"])
+    return sorted((r[0], r[1]) for r in found.select(F.col("_lang").cast("string"), "_text").collect())
 
 
 def identify(df: DataFrame, p: Identify = Identify(), text: str = "text", lang: str = "lang", row: str = "doc_id") -> DataFrame:
