@@ -30,13 +30,13 @@ class Contamination:
     """window: item words that make a hit. one_in: a document is contaminated if one in so many of its words is hit.
 
     max_span: hit spans of so many words are cut from documents that stay. shard_words: words of items in one automaton,
-    which bounds what is broadcast (some hundred bytes a word).
+    which bounds what is broadcast (under a kilobyte a word).
     """
 
     window: int = 13
     one_in: int = 20
     max_span: int = 13
-    shard_words: int = 500_000
+    shard_words: int = 100_000
 
 
 def words(text: str | None) -> list[bytes]:

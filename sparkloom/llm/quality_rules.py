@@ -115,8 +115,8 @@ def _name(c: str) -> Column:
     return F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
 
 
-def _grouped(stats: DataFrame, rules: Rules) -> DataFrame:
-    """stats with _g, the group whose estimates apply, and the group's size _n."""
+def _grouped(stats: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """stats with _g, the group whose estimates apply, and the groups' sizes (_g, _n)."""
     groups = stats.filter(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("_m"))
     lang = W.partitionBy("_lang")
     small = F.col("_m") < rules.min_group
