@@ -155,3 +155,21 @@ def repeated(df: DataFrame, times: int) -> DataFrame:
 def record_ids(df: DataFrame, order: list[str], prefix: str = "expr", digits: int = 5) -> DataFrame:
     """df with ids such as expr_00000, by order."""
     return numbered(df, order, "_rn", 0).withColumn("record_id", F.format_string(f"{prefix}_%0{digits}d", F.col("_rn"))).drop("_rn")
+
+
+def group_classes(df: DataFrame, groups: dict[str, list[str]], column: str = "type") -> DataFrame:
+    """df with child classes (in any case) named as their parent; other classes stay."""
+    low, out = F.lower(F.col(column)), None
+    for parent, children in groups.items():
+        hit = low.isin([c.lower() for c in children])
+        out = F.when(hit, parent) if out is None else out.when(hit, parent)
+    return df if out is None else df.withColumn(column, out.otherwise(F.col(column)))
+
+
+def split_folders(names: set[str]) -> dict[str, str]:
+    """Folders of a split data set by the split they make: train is needed, val may be there, and one of eval and test."""
+    if "train" not in names:
+        raise ValueError("a split data set needs a train folder")
+    if {"eval", "test"} <= names:
+        raise ValueError("a split data set has eval or test, not both")
+    return {("test" if n == "eval" else n): n for n in ("train", "val", "eval", "test") if n in names}

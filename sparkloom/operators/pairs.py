@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sparkloom.functions import text
 from sparkloom.functions.lineage import small
-from sparkloom.operators.datasets import first_wins, stratified_sample
+from sparkloom.operators.datasets import first_wins, numbered, stratified_sample
 
 SKIPPED = ("missing", "not visible")
 
@@ -65,3 +66,28 @@ def attribute_vector(attributes: Column, names: list[str], vocab: dict[str, dict
 def text_constraints(vector: Column, width: Column, unconstrained: Column) -> Column:
     """vector with -1 from `width` on and for ids that stand for no constraint (an array of arrays, by place)."""
     return F.transform(vector, lambda x, i: F.when((i >= width) | F.array_contains(F.get(unconstrained, i), x), F.lit(-1)).otherwise(x))
+
+
+def lacking_text(entries: DataFrame, by: list[str], text_column: str, shown: int = 5) -> DataFrame:
+    """Per group, how many entries have no text of their own, and the first few of their ids."""
+    none = entries.filter(F.coalesce(F.trim(text_column) == "", F.lit(True)))
+    counts = none.groupBy(*by).agg(F.count("*").alias("cnt"))
+    few = none.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("id"))).filter(F.col("_k") <= shown)
+    return counts.join(few.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids")), by)
+
+
+def output_names(pairs: DataFrame, order: list[str], extension: str = ".jpg") -> DataFrame:
+    """pairs with idx from 0 within their split, by order, and name `<split>_<idx of eight digits><extension>`.
+
+    The extension is the image's own where it has one.
+    """
+    rows = numbered(pairs, ["split", *order], "_n", 0)
+    first = rows.groupBy("split").agg(F.min("_n").alias("_first"))
+    rows = rows.join(small(first), "split").withColumn("idx", F.col("_n") - F.col("_first"))
+    own = F.regexp_extract("image_path", r"(\.[A-Za-z0-9]+)$", 1)
+    return rows.withColumn("name", F.concat("split", F.lit("_"), F.format_string("%08d", "idx"), F.when(own == "", extension).otherwise(own))).drop("_n", "_first")
+
+
+def caption_classes(pairs: DataFrame) -> DataFrame:
+    """Distinct captions of evaluation splits, sorted: the names of retrieval classes."""
+    return pairs.filter(F.col("split").isin("val", "test")).select("split", "caption").distinct().orderBy("split", "caption")

@@ -97,3 +97,20 @@ def test_scenes(spark):
 
 def test_token_limits():
     assert [T.token_limit(x, m) for x, m in ((128, ""), (10**30, "CLIP-large"), (0, "SigLIP"), (None, "x"))] == [128, 77, 64, 64]
+
+
+def test_names_captions_and_missing_texts(spark):
+    from sparkloom.operators import datasets as D
+    from sparkloom.operators import pairs as P
+
+    rows = [("val", "b/x.png", "c2", 2), ("train", "a/y", "c1", 1), ("val", "b/z.jpeg", "c1", 3), ("val", "b/w", "", 4)]
+    df = spark.createDataFrame(rows, "split string, image_path string, caption string, id int")
+    assert {r.id: r.name for r in P.output_names(df, ["id"]).collect()} == {1: "train_00000000.jpg", 2: "val_00000000.png", 3: "val_00000001.jpeg", 4: "val_00000002.jpg"}
+    assert [r.caption for r in P.caption_classes(df).collect()] == ["", "c1", "c2"]
+    assert [(r.split, r.cnt, r.ids) for r in P.lacking_text(df, ["split"], "caption").collect()] == [("val", 1, [4])]
+    types = spark.createDataFrame([("Car",), ("VAN",), ("dog",)], "type string")
+    assert [r.type for r in D.group_classes(types, {"vehicle": ["car", "van"]}).collect()] == ["vehicle", "vehicle", "dog"]
+    assert D.split_folders({"train", "eval", "x"}) == {"train": "train", "test": "eval"}
+    for bad in ({"val"}, {"train", "eval", "test"}):
+        with pytest.raises(ValueError):
+            D.split_folders(bad)
