@@ -144,11 +144,15 @@ def _(spark, sf):
     return nation.filter("n_regionkey in (0, 1, 2)").select(F.col("n_name").alias("name")).exceptAll(nation.filter("n_nationkey % 2 = 0").select("n_name"))
 
 
-def _labels(spark, sf):
-    rows = boxes_gt(spark, sf).filter("image_id < 100")
+def _label_rows(rows):
     return rows.select(F.concat(F.lit("img_"), "image_id").alias("file_name"), F.col("row_id").alias("pos"), "type", "bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax", "img_width", "img_height")
 
 
+def _labels(spark, sf):
+    """The boxes of the first 100 images, as the SQL of the three conversions has them; the queries named ..._all take every box."""
+    return _label_rows(boxes_gt(spark, sf).filter("image_id < 100"))
+
+
 _COCO = f"""WITH {GT}, l AS (SELECT 'img_' || image_id AS file_name, row_id AS pos, * FROM boxes_gt WHERE image_id < 100),
     i AS (SELECT file_name, row_number() OVER (ORDER BY file_name) AS image_id FROM (SELECT DISTINCT file_name FROM l)),
     o AS (SELECT file_name, type, bbox_xmin, bbox_ymin, bbox_xmax, bbox_ymax, min(pos) AS pos FROM l GROUP BY ALL),
@@ -172,6 +176,21 @@ def _(spark, sf):
     return A.odvg_to_coco(A.coco_to_odvg(*A.labels_to_coco(_labels(spark, sf))))
 
 
+@query("labels_to_coco_all")
+def _(spark, sf):
+    return A.labels_to_coco(_label_rows(boxes_gt(spark, sf)))[1]
+
+
+@query("coco_to_labels_all")
+def _(spark, sf):
+    return A.coco_to_labels(*A.labels_to_coco(_label_rows(boxes_gt(spark, sf))))
+
+
+@query("coco_odvg_coco_all")
+def _(spark, sf):
+    return A.odvg_to_coco(A.coco_to_odvg(*A.labels_to_coco(_label_rows(boxes_gt(spark, sf)))))
+
+
 @query("conversation_to_dialog", "SELECT conv_id, turn AS turn, role AS who, text AS value FROM conversations")
 def _(spark, sf):
     rows = A.dialog_rows(table(spark, sf, "conversations")).select("conv_id", F.explode("conversations").alias("c"))

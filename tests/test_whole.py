@@ -1,0 +1,24 @@
+"""Queries over all rows, where the query of the shorter name and its SQL take some: that SQL without its filter."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from test_entry import TABLES, rows
+
+BOXES = " WHERE image_id < 100"
+WHOLE = [("labels_to_coco", BOXES), ("coco_to_labels", BOXES), ("coco_odvg_coco", BOXES)]
+
+
+@pytest.mark.parametrize("name, cut", WHOLE)
+def test_all_rows_are_taken(spark, sf, name, cut):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    sql = entry.oracle_sql()[name]
+    assert cut in sql
+    part, whole = c.sql(sql), c.sql(sql.replace(cut, ""))
+    df = entry.queries()[f"{name}_all"](spark, sf)
+    assert sorted(df.columns) == sorted(whole.columns)
+    got = rows(df.select(*sorted(df.columns)).collect())
+    assert got == rows(whole.select(*[f'"{x}"' for x in sorted(whole.columns)]).fetchall()) and len(got) > len(part)
