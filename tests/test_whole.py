@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from test_entry import TABLES, rows
 
 BOXES = " WHERE image_id < 100"
-WHOLE = [("labels_to_coco", BOXES), ("coco_to_labels", BOXES), ("coco_odvg_coco", BOXES)]
+WHOLE = [("labels_to_coco", BOXES), ("coco_to_labels", BOXES), ("coco_odvg_coco", BOXES), ("attribute_match_pairs", " WHERE q.p_partkey % 10 < 2")]
 
 
 @pytest.mark.parametrize("name, cut", WHOLE)
