@@ -15,7 +15,9 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +33,15 @@ _HEX_FLAGS = bytes(0x68 if chr(b) in "0123456789abcdef" else 0x20 for b in range
 _HEX_RUN = b"h" * 32
 _CONTEXT = re.compile(
     rb"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|(?:client[-_ ]?)?secret(?:[-_ ]?key)?|(?:access|auth|bearer|refresh)?[-_ ]?token|(?:api|access|private|secret)[-_ ]?key|credentials?)["']?"""
-    rb"""(?:\x20*(?:=>|[:=])\x20*|\x20+is\x20+)["']?([!-~]{8,})|(?<![A-Za-z])(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{16,})""",
+    rb"""(?:\x20*(?:=>|[:=])\x20*|\x20+is\x20+)["']?(?=([!-~]{8}))|(?<![A-Za-z])(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]{16,})""",
     re.I,
 )
 _CONTEXT_PARTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"basic")
+_RUN = re.compile(rb"[!-~]*")
 _ENDS = b"\"'`,;)>]}."
+#: Where an unquoted value ends before its run does: at a separator and the next name, at a quote that closes, at a tag.
+_NEXT = re.compile(rb"""["'`]?[&,;|]+["'`{\[]*[A-Za-z0-9_.-]+["'`]?(?:=|:)|["'`](?=[>,;:)}\]/&]|\Z)|</?[A-Za-z]""")
+_CLOSE = {q: re.compile(rb"(?:\\.|[^\\" + bytes([q]) + rb"])*") for q in b"\"'"}
 
 #: Keys of a common keyboard by row, each beside its neighbours.
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -116,6 +122,46 @@ def guess_bits(value: str, ranks: dict[str, int], max_word: int = 24) -> float:
     return best[n]
 
 
+def _guesses(raw: bytes, taken: list[tuple[int, int]], ranks: dict[str, int], p: Scan) -> list[tuple[str, int, int]]:
+    """Values after credential words that cost min_bits or more; taken: the base spans, sorted.
+
+    A value is a whole run. Where base spans meet it, it ends at its closing quote, or else before the next name or
+    assignment, and the search goes on from there; only a value that lies wholly inside a base span is skipped.
+    """
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    assigned = [m.start() for m in _ASSIGN.finditer(raw)] if taken else []
+    out, at, run = [], 0, 0
+    while (m := _CONTEXT.search(raw, at)) is not None:
+        g = 1 if m[1] is not None else 2
+        start = m.start(g)
+        if g == 1 and start >= run:
+            run = _RUN.match(raw, start).end()
+        at = run if g == 1 else m.end(2)
+        end = _stripped(raw, start, at)
+        if (i := bisect_left(starts, end)) and reach[i - 1] > start:
+            quote = raw[start - 1]
+            if quote in _CLOSE and (close := _CLOSE[quote].match(raw, start, at).end()) < at:
+                at = end = close
+            else:
+                if (cut := _NEXT.search(raw, start, at)) is not None:
+                    at = cut.start()
+                if (k := bisect_right(assigned, start)) < len(assigned):
+                    at = min(at, assigned[k])
+                end = _stripped(raw, start, at)
+            at = max(at, start)
+            if (i := bisect_right(starts, start)) and reach[i - 1] >= end:
+                continue
+        if end - start >= 8 and guess_bits(raw[start:end].decode("ascii"), ranks, p.max_word) >= p.min_bits:
+            out.append(("guess", start, end))
+    return out
+
+
+def _stripped(raw: bytes, start: int, end: int) -> int:
+    while end > start and raw[end - 1] in _ENDS:
+        end -= 1
+    return end
+
+
 def find(text: str | None, ranks: dict[str, int], p: Scan = Scan()) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as in KINDS. Nothing in a null or empty text."""
     if not text:
@@ -130,15 +176,7 @@ def find(text: str | None, ranks: dict[str, int], p: Scan = Scan()) -> list[tupl
     if _HEX_RUN in raw.translate(_HEX_FLAGS):
         found += [("hex", m.start(), m.end()) for m in _HEX.finditer(raw)]
     if any(x in low for x in _CONTEXT_PARTS):
-        taken = sorted((s, e) for _, s, e in found)
-        for m in _CONTEXT.finditer(raw):
-            g = 1 if m[1] is not None else 2
-            value = m[g].rstrip(_ENDS)
-            start, end = m.start(g), m.start(g) + len(value)
-            if len(value) < 8 or any(s < end and start < e for s, e in taken):
-                continue
-            if guess_bits(value.decode("ascii"), ranks, p.max_word) >= p.min_bits:
-                found.append(("guess", start, end))
+        found += _guesses(raw, sorted((s, e) for _, s, e in found), ranks, p)
     return sorted(code_point_spans(raw, found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
