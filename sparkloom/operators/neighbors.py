@@ -21,6 +21,8 @@ from sparkloom.functions.text import label_key
 
 #: Target vectors sent to executors at a time.
 TARGET_ROWS = 20_000
+#: Distances that a task holds at a time.
+BLOCK = 4_000_000
 
 
 def exact_pairs(targets: DataFrame, sources: DataFrame, k: int, metric: str = "euclidean", digits: int | None = None) -> DataFrame:
@@ -30,7 +32,7 @@ def exact_pairs(targets: DataFrame, sources: DataFrame, k: int, metric: str = "e
     distances before they are ranked.
     """
     if targets.limit(TARGET_ROWS + 1).count() > TARGET_ROWS:
-        return nearest(targets, sources, k, metric)
+        return nearest(targets, sources, k, metric, digits)
     d = vectors.distance(F.col("tv"), F.col("sv"), metric)
     d = d if digits is None else F.round(d, digits)
     pairs = sources.select("source", F.col("vec").alias("sv")).join(F.broadcast(targets.select("target", F.col("vec").alias("tv"))))
@@ -49,8 +51,30 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """As exact_pairs, by blocks in numpy. k is limited by the number of sources itself."""
+def _again(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (a[at], b[to]), a bounded number at a time; euclidean ones by differences."""
+    out = np.empty(len(at))
+    for i in range(0, len(at), 50_000):
+        x, y = a[at[i : i + 50_000]], b[to[i : i + 50_000]]
+        if metric == "cosine":
+            scale = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+            out[i : i + 50_000] = 1 - np.divide((x * y).sum(axis=1), scale, out=np.zeros(len(x)), where=scale > 0)
+        else:
+            out[i : i + 50_000] = np.abs(x - y).sum(axis=1) if metric == "manhattan" else np.sqrt(((x - y) ** 2).sum(axis=1))
+    return out
+
+
+def _blocks(frames, n: int):
+    for pdf in frames:
+        for i in range(0, len(pdf), max(1, n)):
+            yield pdf.iloc[i : i + max(1, n)]
+
+
+def nearest(targets: DataFrame, sources: DataFrame, k: int, metric: str = "euclidean", digits: int | None = None) -> DataFrame:
+    """As exact_pairs, by blocks in numpy. k is limited by the number of sources itself.
+
+    With digits, what comes near the k best is measured again by differences, so that copies tie as in exact_pairs.
+    """
     if metric not in vectors.METRICS:
         raise ValueError(f"metric must be one of {vectors.METRICS}, not {metric!r}")
     sc, kind = targets.sparkSession.sparkContext, sources.schema["source"].dataType.simpleString()
@@ -64,17 +88,22 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int, metric: str = "eucli
 
         def best(frames, shared=shared):
             names, matrix = shared.value
-            held = None
-            for pdf in frames:
-                if not len(pdf) or not names:
+            held, worst = None, np.full(len(names), np.inf)
+            for pdf in _blocks(frames, BLOCK // max(1, len(names))):
+                if not names:
                     continue
-                d = _distances(matrix, np.stack(pdf["vec"]).astype(np.float64), metric)
-                keep = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(names), 1))
-                edge = np.take_along_axis(d, keep, 1).max(axis=1)  # all that tie with the last are kept, for ties go by source
-                at, to = np.nonzero(d <= edge[:, None])
-                part = pd.DataFrame({"t": at, "source": pdf["source"].to_numpy()[to], "distance": d[at, to]})
+                vecs = np.stack(pdf["vec"]).astype(np.float64)
+                d = _distances(matrix, vecs, metric)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else d.max(axis=1)
+                # All that tie with the last are kept, for ties go by source.
+                at, to = np.nonzero(d <= (np.minimum(edge, worst) + (0.0 if digits is None else 1e-6))[:, None])
+                near = d[at, to] if digits is None else np.round(_again(matrix, vecs, at, to, metric), digits)
+                part = pd.DataFrame({"t": at, "source": pdf["source"].to_numpy()[to], "distance": near})
                 held = part if held is None else pd.concat([held, part], ignore_index=True)
                 held = held.sort_values(["t", "distance", "source"]).groupby("t").head(k)
+                full = held.groupby("t")["distance"].agg(["size", "max"])
+                full = full[full["size"] == k]
+                worst[full.index] = full["max"]
             if held is not None:
                 yield pd.DataFrame({"target": [names[t] for t in held["t"]], "source": held["source"], "distance": held["distance"]})
 

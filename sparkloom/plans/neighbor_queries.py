@@ -24,6 +24,12 @@ def sides(spark, sf):
     return rows.filter("vec_id < 50").withColumnRenamed("vec_id", "target"), rows.filter("vec_id >= 50").withColumnRenamed("vec_id", "source")
 
 
+def both_sides(spark, sf):
+    """Every vector as a target, and every vector as a source; the SQL of the queries of sides() has 50 targets at any size."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    return rows.withColumnRenamed("vec_id", "target"), rows.withColumnRenamed("vec_id", "source")
+
+
 def _knn(metric):
     def run(spark, sf):
         return N.exact_pairs(*sides(spark, sf), 5, metric, 9).withColumn("distance", F.round("distance", 6))
@@ -35,6 +41,17 @@ for _name, _d in (("euclidean", _L2), ("cosine", _COS), ("manhattan", _L1)):
     query(f"knn_{_name}", _KNN.format(d=_d) + _TOP)(_knn(_name))
 
 
+def _knn_all(metric):
+    def run(spark, sf):
+        return N.nearest(*both_sides(spark, sf), 5, metric, 9).withColumn("distance", F.round("distance", 6))
+
+    return run
+
+
+for _name in ("euclidean", "cosine", "manhattan"):
+    query(f"knn_{_name}_all")(_knn_all(_name))
+
+
 @query("knn_blocks", _KNN.format(d=_L2) + _TOP)
 def _(spark, sf):
     return N.nearest(*sides(spark, sf), 5).withColumn("distance", F.round("distance", 6))
