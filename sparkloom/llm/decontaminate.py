@@ -161,11 +161,11 @@ class Automaton:
 
 def _shards(benchmark: DataFrame, p: Contamination, text: str, item: str) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items dealt by hash into shards of about shard_words words at most; one shard at a time is fetched."""
-    rows = benchmark.select(F.col(item).cast("string").alias("_item"), F.col(text).alias("_text")).filter("_item is not null and _text is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("_item"), F.col(text).alias("_text")).filter("_text is not null")
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(1, -(-total // (2 * p.shard_words)))  # a word and what separates it take two bytes at least
     for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("_item"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(n)) == k)
         yield [(r[0], words(r[1])) for r in part.orderBy("_item", "_text").toLocalIterator()]
 
 
@@ -173,7 +173,7 @@ def hits(df: DataFrame, benchmark: DataFrame, p: Contamination = Contamination()
     """One row per row of df: n_words, spans (array of [b, e) word places), items (sorted ids) and _all, the row itself.
 
     A null or empty text has no words and no hits; items without words hit nothing; an empty benchmark hits nothing.
-    Items with equal ids count once. Repeated rows are each returned.
+    Items with equal ids count once; those with null ids make hits, but are not among the ids. Repeated rows are each returned.
     """
     sc = df.sparkSession.sparkContext
     source = df.select(F.col(text).alias("_text"), F.struct(*[F.col(c) for c in df.columns]).alias("_all"))
@@ -188,7 +188,7 @@ def hits(df: DataFrame, benchmark: DataFrame, p: Contamination = Contamination()
                 spans, found = machine.value.scan(ws)
                 made["n_words"].append(len(ws))
                 made["spans"].append([{"b": b, "e": e} for b, e in spans])
-                made["items"].append(sorted(found))
+                made["items"].append(sorted(found - {None}))
             return made
 
         part = map_rows(source, ["_text"], "n_words long, spans array<struct<b: int, e: int>>, items array<string>", run, ["_all"])

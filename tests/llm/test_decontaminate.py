@@ -72,3 +72,13 @@ def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert D.remove(docs, bench).first().text == "A b, " * 300 + "; the end."
+
+
+def test_items_without_ids_make_hits(spark):
+    items = [" ".join(f"{c}{i}" for i in range(20)) for c in "vw"]
+    bench = spark.createDataFrame([("a", items[0]), (None, items[1]), (None, "short one")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, items[1]), (2, f"{items[0]} {items[1]}"), (3, "a short one"), (4, "y " * 800 + items[1] + " z")], "doc_id long, text string")
+    for p in (D.Contamination(), D.Contamination(shard_words=20)):
+        got = {r._all.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in D.with_verdict(D.hits(docs, bench, p), p).collect()}
+        assert got == {1: (20, [], True), 2: (40, ["a"], True), 3: (2, [], True), 4: (20, [], False)}
+    assert [(r.doc_id, r.text) for r in D.remove(docs, bench).collect()] == [(4, "y " * 800 + " z")]
