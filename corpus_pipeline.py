@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, mixing, quality_rules, secret_scan, simhash
-from sparkloom.llm.common import drop, shared_dir, table
+from sparkloom.llm.common import content_key, drop, same_key, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows whose id is shared go if any of them is rejected."""
-    gone = quality_rules.judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Documents that the quality rules keep. Rows are told apart by id, text, language and source, from which verdicts follow."""
+    key = content_key("doc_id", "text", "lang", "source")
+    slim = docs.select("text", "lang", "source", key.alias("_key"))
+    gone = quality_rules.judge(slim, row="_key").filter(~F.col("kept")).select(F.col("_key").alias("_gone"))
+    return docs.join(gone, same_key(key, F.col("_gone")), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,18 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def content_key(row: str, *columns: str) -> Column:
+    """A struct that tells rows apart by id (nulls last) and by 128 bits of hashes of the columns."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    one, two = F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+    return F.struct(F.col(row).isNull().alias("_null"), F.col(row).alias("_id"), one.alias("_h1"), two.alias("_h2"))
+
+
+def same_key(key: Column, other: Column) -> Column:
+    """Whether two content keys are equal, null ids among them."""
+    return key["_h1"].eqNullSafe(other["_h1"]) & key["_h2"].eqNullSafe(other["_h2"]) & key["_id"].eqNullSafe(other["_id"])
+
+
 def map_rows(df: DataFrame, columns: list[str | Column], schema: str, f: Callable[..., dict[str, list]], through: list[str] | None = None) -> DataFrame:
     """Run f over the given columns of df, a bounded Arrow batch at a time.
 

@@ -55,3 +55,14 @@ def test_stages_with_nulls_repeats_and_odd_columns(spark, sf):
         assert stage(spark, df, sf).count() >= 0
     total = sum(len((r.text or "").split()) for r in df.collect())
     assert abs(sum(len((r.text or "").split()) for r in P.STAGES[-1][1](spark, df, sf).collect()) - total) <= 0.7 * total
+
+
+def test_clean_rows_stay_beside_rejected_ones_of_their_id(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = quality_rules.judge(docs).filter("kept").first().doc_id
+    good = docs.filter(f"doc_id = {clean}").first()
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, *good[1:]), (None, None, "en", "a", 0), (None, "", None, None, 0), (clean, "no", good.lang, good.source, 2), (clean, "en", None, good.source, 2)]
+    added = docs.select(*[x.split()[0] for x in kind.split(", ")]).unionAll(spark.createDataFrame(rows, kind))
+    got = [(r.doc_id, r.text) for r in P.quality(spark, added, sf).collect()]
+    assert sorted((x for x in got if x[0] in (None, clean)), key=str) == sorted([(None, good.text), (clean, good.text)], key=str)
