@@ -1,10 +1,14 @@
-import importlib.util
+import os
+import shutil
+import subprocess
 import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from conftest import ROOT
+from sparkloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FAST = ["knn_label_distance_filtered", "box_validation_flags", "optimal_threshold", "merge_renumber_ids", "stratified_sample", "chunk_windows", "labels_to_coco", "ap_integrate", "qa_parse"]
@@ -29,9 +33,22 @@ def test_smoke(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_optional_parts(monkeypatch):
-    real = importlib.util.find_spec
-    gone = lambda name, *a: None if name.startswith(("sparkloom.llm", "corpus_pipeline")) else real(name, *a)
-    monkeypatch.setattr(importlib.util, "find_spec", gone)
-    assert entry.queries() and not [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert "pipeline" not in entry.queries() and sys.modules
+def _answers(folder):
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    return list(map(int, subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, check=True, capture_output=True, text=True).stdout.split()))
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """In a copy, with the folder of operators on training corpora deleted, with and without the pipeline beside it."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests"))
+    whole = [len(entry.queries()), len(entry.oracle_sql())]
+    optional = copy / "sparkloom" / "llm"
+    if optional.exists():
+        assert _answers(copy)[:2] == whole
+        shutil.rmtree(optional)
+    core = _answers(copy)
+    assert core[0] == len(registry.QUERIES) and core[1] == len(registry.ORACLES) and core[2] == 0
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert _answers(copy) == core
