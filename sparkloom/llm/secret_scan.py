@@ -4,6 +4,7 @@ Method: three base patterns find assignments, access key ids and long hexadecima
 credential word (`pwd: ...`, `client_secret = ...`, `Authorization: Bearer ...`) is a candidate value, and dynamic
 programming finds its cheapest segmentation into common words, dates, repeats, keyboard walks and brute-force spans. A
 value that costs at least `min_bits` to guess is a secret; cheap ones (`changeme`, `your_token_here`) are placeholders.
+The values of base assignments are scored alike, which tells secrets from placeholders among them.
 
 Scale: one pass over each text in its own row, no shuffle. Substring tests keep patterns away from texts without any of
 their fixed parts. The word ranks are a public vocabulary of fixed size, sent as a broadcast.
@@ -19,6 +20,7 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ _CLOSE = {q: re.compile(rb"(?:\\.|[^\\" + bytes([q]) + rb"])*") for q in b"\"'"}
 #: Keys of a common keyboard by row, each beside its neighbours.
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d")
-_REPEAT = re.compile(r"(.{1,32}?)\1+", re.S)
+_UNIT = 32  # characters of a repeated unit, at most
 _LEET = str.maketrans("013457@$!", "oleastasi")
 
 
@@ -85,41 +87,87 @@ def _char_bits(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33 if ord(c) < 128 else 1000)
 
 
-def guess_bits(value: str, ranks: dict[str, int], max_word: int = 24) -> float:
-    """Least cost, in bits, of guessing value as a sequence of words, dates, repeats, walks and brute-force characters."""
+def _date_bits(text: str) -> float | None:
+    return None if _DATE.fullmatch(text) is None else 7.0 if len(text) == 4 else 15.5
+
+
+def _walks(a: str, b: str) -> bool:
+    """Whether lower-case b follows a on the keyboard, in the alphabet or among digits."""
+    return (a, b) in _NEAR or (abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum())
+
+
+#: Characters after the begin of a periodic run within which long repeats may begin. Where a run goes on, a later begin is
+#: reached either by a repeat of the same unit, which one longer repeat undercuts, or by other spans, each of at most a
+#: few bits a character less than `limit` in all, so that this far in none is below it.
+_DEEP = 512
+
+
+def guess_bits(value: str, ranks: dict[str, int], max_word: int = 24, limit: float = math.inf, memory: dict[str, float] | None = None) -> float:
+    """Least cost, in bits, of guessing value as a sequence of words, dates, repeats, walks and brute-force characters.
+
+    All spans of every kind are tried from every place. Costs from limit on are told from lower ones, but not exactly.
+    """
     n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    ways: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (begin, bits)
-    for m in _DATE.finditer(value):
-        ways[m.end()].append((m.start(), 7.0 if m.end() - m.start() == 4 else 15.5))
-    for m in _REPEAT.finditer(value):
-        unit = m[1]
-        times = (m.end() - m.start()) // len(unit)
-        if m.end() - m.start() >= 3:
-            own = guess_bits(unit, ranks, max_word) if len(unit) > 1 else _char_bits(unit)
-            ways[m.end()].append((m.start(), own + math.log2(times) + 1))
-    run = 0  # where the present walk began: neighbouring keys, or steps of one in the alphabet or digits
-    for i in range(1, n + 1):
-        walks = i < n and ((low[i - 1], low[i]) in _NEAR or (abs(ord(low[i]) - ord(low[i - 1])) == 1 and low[i - 1].isalnum() and low[i].isalnum()))
-        if i - run >= 4:
-            ways[i].append((run, 6.0 + 1.5 * (i - run - 1)))
-        if not walks:
-            run = i
-    best = [0.0] + [math.inf] * n
-    for j in range(1, n + 1):
-        cost = best[j - 1] + _char_bits(value[j - 1])
-        for i in range(max(0, j - max_word), j - 2):
-            rank = ranks.get(low[i:j])
-            swapped = 0.0
+    plain, memory = low.translate(_LEET), {} if memory is None else memory
+    best = [0.0] + [math.inf] * n if n <= 256 else np.array([0.0] + [math.inf] * n)
+    walk = [i + 1 for i in range(n)]  # by begin: where the longest walk ends
+    for i in range(n - 2, -1, -1):
+        if _walks(low[i], low[i + 1]):
+            walk[i] = walk[i + 1]
+    periods = []  # (length of a unit, by begin: characters that equal those a unit later)
+    for p in range(1, min(_UNIT, n // 2) + 1):
+        same, long = [0] * (n + 1), 0
+        for i in range(n - p - 1, -1, -1):
+            if value[i] == value[i + p]:
+                same[i] = same[i + 1] + 1
+                long = max(long, same[i])
+        if long >= p:
+            periods.append((p, same))
+    run = {p: 0 for p, _ in periods}  # by unit: where the present run began
+    for i in range(n):
+        for p, same in periods:
+            if i and not same[i - 1]:
+                run[p] = i
+        at = float(best[i])
+        if at >= limit:
+            continue
+
+        def reach(j: int, cost: float) -> None:
+            if cost < best[j]:
+                best[j] = cost
+
+        reach(i + 1, at + _char_bits(value[i]))
+        for j in range(i + 3, min(n, i + max_word) + 1):
+            rank, swapped = ranks.get(low[i:j]), 0.0
             if rank is None:
                 rank, swapped = ranks.get(plain[i:j]), 3.0
             if rank is not None:
-                capitals = value[i:j] != low[i:j]
-                cost = min(cost, best[i] + 1 + math.log2(rank + 1) + swapped + (1.0 if capitals else 0.0))
-        for i, bits in ways[j]:
-            cost = min(cost, best[i] + bits)
-        best[j] = cost
-    return best[n]
+                reach(j, at + 1 + math.log2(rank + 1) + swapped + (1.0 if value[i:j] != low[i:j] else 0.0))
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if (bits := _date_bits(value[i:j])) is not None:
+                    reach(j, at + bits)
+        for j in range(i + 4, walk[i] + 1):
+            if (cost := at + 6.0 + 1.5 * (j - i - 1)) >= limit:
+                break
+            reach(j, cost)
+        for p, same in periods:
+            times = same[i] // p + 1
+            if times < 2:
+                continue
+            if i - run[p] > _DEEP:
+                times = min(times, max(2, _DEEP // p))
+            unit = value[i : i + p]
+            if unit not in memory:
+                memory[unit] = guess_bits(unit, ranks, max_word, math.inf, memory)
+            own = at + memory[unit] + 1
+            if times > 64 and n > 256:
+                ends = best[i + 2 * p : i + times * p + 1 : p]
+                np.minimum(ends, own + np.log2(np.arange(2, times + 1)), out=ends)
+            else:
+                for t in range(2 if p > 1 else 3, times + 1):
+                    reach(i + t * p, own + math.log2(t))
+    return float(best[n])
 
 
 def _guesses(raw: bytes, taken: list[tuple[int, int]], ranks: dict[str, int], p: Scan) -> list[tuple[str, int, int]]:
@@ -151,11 +199,27 @@ def _guesses(raw: bytes, taken: list[tuple[int, int]], ranks: dict[str, int], p:
             at = max(at, start)
             if (i := bisect_right(starts, start)) and reach[i - 1] >= end:
                 continue
-        if end - start >= 8 and guess_bits(raw[start:end].decode("ascii"), ranks, p.max_word) >= p.min_bits:
+        if end - start >= 8 and costly(raw[start:end], ranks, p):
             out.append(("guess", start, end))
     return out
 
 
+def costly(value: bytes, ranks: dict[str, int], p: Scan = Scan()) -> bool:
+    return guess_bits(value.decode("latin-1"), ranks, p.max_word, p.min_bits) >= p.min_bits
+
+
+def assigned(text: str | None, ranks: dict[str, int], p: Scan = Scan()) -> list[tuple[int, int, bool]]:
+    """(start, end, in code points, whether costly) of the values that base assignments give."""
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    low = raw.lower()
+    if not any(x in low for x in _ASSIGN_PARTS):
+        return []
+    found = [(costly(m[2], ranks, p), m.start(2), m.end(2)) for m in _ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= 8]
+    return [(s, e, c) for c, s, e in code_point_spans(raw, found)]
+
+
 def _stripped(raw: bytes, start: int, end: int) -> int:
     while end > start and raw[end - 1] in _ENDS:
         end -= 1
@@ -189,25 +253,29 @@ def _shared_ranks(df: DataFrame, p: Scan):
 
 
 def scan(df: DataFrame, p: Scan = Scan(), text: str = "text", row: str = "doc_id") -> DataFrame:
-    """One row per row of df: row, n_assign, n_access, n_hex, n_guess, base_sha256, spans (`kind:start:end`, comma-joined).
+    """One row per row of df: row, n_assign, n_access, n_hex, n_guess, n_costly, base_sha256, spans, assigned.
 
-    Null and empty texts have no spans. Repeated rows are each returned; an empty table gives an empty result; other
+    spans: `kind:start:end`, comma-joined. assigned: `start:end:costly` or `start:end:cheap` for the value of each base
+    assignment, by its guess cost; n_costly counts the former. Null and empty texts have no spans. Repeated rows are each returned; an empty table gives an empty result; other
     columns of df are not read.
     """
     ranks = _shared_ranks(df, p)
 
     def run(ids, texts):
-        made = {k: [] for k in ("_row", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")} | {"_row": ids}
+        made = {k: [] for k in ("_row", "n_assign", "n_access", "n_hex", "n_guess", "n_costly", "base_sha256", "spans", "assigned")} | {"_row": ids}
         for t in texts:
             spans = find(t, ranks.value, p)
             for k in KINDS:
                 made[f"n_{k}"].append(sum(s[0] == k for s in spans))
             made["base_sha256"].append(hashlib.sha256(spell([s for s in spans if s[0] != "guess"]).encode()).hexdigest())
             made["spans"].append(spell(spans))
+            values = assigned(t, ranks.value, p) if made["n_assign"][-1] else []
+            made["n_costly"].append(sum(c for _, _, c in values))
+            made["assigned"].append(",".join(f"{s}:{e}:{'costly' if c else 'cheap'}" for s, e, c in values))
         return made
 
     kind = df.schema[row].dataType.simpleString()
-    schema = f"_row {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+    schema = f"_row {kind}, n_assign long, n_access long, n_hex long, n_guess long, n_costly long, base_sha256 string, spans string, assigned string"
     return map_rows(df, [F.col(row).alias("_row"), F.col(text).alias("_text")], schema, run).withColumnRenamed("_row", row)
 
 

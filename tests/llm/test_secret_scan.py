@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from functools import cache
 
 import pytest
 
@@ -45,26 +48,67 @@ def test_guess_costs(ranks):
     assert bits("horse") < bits("horsebattery") < bits("horsebatterystaple")
 
 
-def test_cost_is_least_of_all_segmentations(ranks):
-    from functools import cache
+def brute_bits(value, ranks, max_word=24):
+    """The least cost over all segmentations, every span of every kind priced on its own."""
 
-    few = {"pass": 1, "word": 2, "sword": 3}
+    @cache
+    def span(x):
+        low = x.lower()
+        ways = [S._char_bits(x)] if len(x) == 1 else []
+        if 3 <= len(x) <= max_word:
+            capital = x != low
+            if low in ranks:
+                ways.append(1 + math.log2(ranks[low] + 1) + capital)
+            elif low.translate(S._LEET) in ranks:
+                ways.append(1 + math.log2(ranks[low.translate(S._LEET)] + 1) + 3 + capital)
+        if DATE.fullmatch(x):
+            ways.append(7.0 if len(x) == 4 else 15.5)
+        if len(x) >= 4 and all(S._walks(a, b) for a, b in zip(low, low[1:])):
+            ways.append(6 + 1.5 * (len(x) - 1))
+        for p in range(1, min(32, len(x) // 2) + 1):
+            if len(x) >= 3 and len(x) % p == 0 and x == x[:p] * (len(x) // p):
+                ways.append(whole(x[:p]) + math.log2(len(x) // p) + 1)
+        return min(ways, default=math.inf)
 
     @cache
-    def least(s):
-        if not s:
-            return 0.0
-        options = [S._char_bits(s[0]) + least(s[1:])]
-        options += [1 + S.math.log2(few[w] + 1) + least(s[len(w):]) for w in few if s.startswith(w)]
-        return min(options)
+    def whole(x):
+        return min((whole(x[:i]) + span(x[i:]) for i in range(len(x))), default=0.0)
+
+    return whole(value)
+
+
+DATE = re.compile(r"(19|20)\d\d|(19|20)\d\d([-/._]?)(0?[1-9]|1[0-2])\3(0?[1-9]|[12]\d|3[01])|(0?[1-9]|[12]\d|3[01])([-/._]?)(0?[1-9]|1[0-2])\7(19|20)\d\d")
+
+
+def test_cost_is_the_least_of_all_segmentations():
+    few = {"pass": 1, "word": 2, "sword": 3, "haha": 9, "the": 4, "asdf": 40}
+    rng = random.Random(4)
+    parts = ["pass", "word", "sw0rd", "qwert", "2019", "2019-1-12", "12.05.1999", "aaa", "ab", "ha", "Xq7", "$", "a", "b", "Q", "123", "TheThe", "p455"]
+    values = ["aabQaabQ", "xxQ7" * 4, "haha" * 3, "passpassword", "aaaaaaaa", "x1x1x1y1", "20191112", "asdfghjkl", "1234567890" * 2]
+    values += ["".join(rng.choice("abQ71") for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    for v in values:
+        want = brute_bits(v, few)
+        assert S.guess_bits(v, few) == pytest.approx(want), v
+        assert (S.guess_bits(v, few, limit=20.0) >= 20) == (want >= 20 - 1e-9), v
+
+
+def test_repeats_cost_their_unit(ranks):
+    assert S.guess_bits("aabQaabQ", ranks) < 24 and S.guess_bits("xxQ7" * 4, ranks) < 24
+    for long in ("a" * 20000, "xxQ7" * 3000, "password" * 2000, "zq" + "a" * 5000 + "password" * 700):
+        assert S.guess_bits(long, ranks, limit=60.0) < 60
+
 
-    for s in ("password", "passsword", "xpasswordx", "swordpass"):
-        assert S.guess_bits(s, few) <= least(s) + 1e-9
+def test_assigned_values_are_scored(spark, ranks):
+    texts = ["password=x7Kq9ZpL2vWm and token: changeme12", "é api_key = 'aabQaabQ'", None, "secret=short"]
+    rows = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_costly for r in rows] == [1, 0, 0, 0]
+    assert [r.assigned for r in rows] == ["9:21:costly,33:43:cheap", "13:21:cheap", "", ""]
 
 
 def test_method_adds_and_leaves_prose(ranks):
     find = lambda t: S.find(t, ranks)
-    assert find("pwd: x7Kq9ZpL2vWm!") == [("guess", 5, 17 + 1)] or find("pwd: x7Kq9ZpL2vWm!")[0][0] == "guess"
+    assert find("pwd: x7Kq9ZpL2vWm!") == [("guess", 5, 18)]
     assert find("é é passphrase = 'Zx81kQpw93Lm'")[0] == ("guess", 18, 30)
     assert find("pwd: changeme123") == []
     assert find("the token is important here and the secret is nothing special") == []
