@@ -1,17 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Method: every source gets a target number of words by weight, at most `cap` times its own size. A document's expected
-copies are its source's ratio of target to size (times its importance, if given). Whole copies are certain; for the rest
-documents are ranked by random odds over inclusion odds, and taken from the least up until the words left are filled.
+copies are in proportion to its importance, at most `cap`, scaled per source so that the expected words are its target.
+Whole copies are certain; for the rest documents are ranked by random odds over inclusion odds, and taken from the least
+up until the words left are filled.
 
 Scale: one pass over the texts counts words; all else works on narrow rows in the checkpoint folder. Where the rank ends
 is found per source by histograms over the rank (at most 4096 buckets per source and level), refined until the bucket
 that holds the end has at most `region` documents; only those are looked at one by one. No source is sorted as a whole.
+Ranks come of a row's contents, and below them of its number, so rows that are alike fall apart too. In making the
+mixture a row is judged where it lies, by its rank and its source's end; only rows at that end are joined.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +22,23 @@ from pyspark.sql.window import Window as W
 
 from .common import WORD, cut, join_small
 
-_BITS = 52  # of the rank
+_TIE = 18  # low bits of a rank, of the row's number
+_BITS = 44 + _TIE  # of the rank
+_LEVELS = 16  # of importance, to a doubling
 
 
 @dataclass(frozen=True)
 class Mix:
     """weights: dealt to the sources in order of code points, null last, again and again. cap: copies at most.
 
-    importance: column of positive numbers by which documents of a source are preferred; none: all alike.
+    length_power: a document's importance is its number of words to this power (0: all alike). importance: column of
+    positive numbers that is taken instead. Importances are rounded to sixteenths of a doubling.
     region: documents looked at one by one where a source's sample ends. seed: of the random ranks.
     """
 
     weights: tuple[int, ...] = (1, 2, 3)
     cap: int = 3
+    length_power: float = 0.5
     importance: str | None = None
     region: int = 4096
     seed: int = 17
@@ -80,7 +87,7 @@ def _fill(pdf):
     """
     import numpy as np
 
-    pdf = pdf.sort_values(["_rank", "_row", "_part_size"], na_position="last", kind="stable")
+    pdf = pdf.sort_values(["_rank", "_no"], kind="stable")
     size = pdf["_part_size"].to_numpy(np.int64)
     left, taken = float(pdf["_rem"].iloc[0]) if len(pdf) else 0.0, np.zeros(len(pdf), bool)
     for i, n in enumerate(size.tolist()):
@@ -109,53 +116,108 @@ def _fill(pdf):
     return pdf
 
 
-def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "source", row: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of df: row, size, source_size, target, copies, taken (copies times size), and columns `carry`.
+def _scales(levels: DataFrame, sizes: DataFrame, p: Mix) -> DataFrame:
+    """Per source (_key, _scale): expected copies are _scale times importance, at most cap, and make the target in words.
 
-    Null texts have size 0; a null source is a source of its own, the last. Documents without words get no copies beyond
-    their whole ones. Repeated rows are ranked alike and taken as separate documents. Null row ids are ranked together.
-    An empty table gives an empty result. Ranks come of the seed, the row id and its source, so reruns agree.
+    levels (_key, _level, _words): few rows a source. The most important levels reach the cap; the rest share what is left.
     """
-    importance = F.greatest(F.round(F.coalesce(F.col(p.importance), F.lit(0.0)) * 1_000_000).cast("long"), F.lit(1)) if p.importance else F.lit(1).cast("long")
-    key = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    docs = cut(df.select(F.col(row).alias("_row"), F.col(source).alias("_source"), key.alias("_key"), word_count(F.col(text)).alias("size"), importance.alias("_imp"), *(carry or [])))
-    sizes = docs.groupBy("_source", "_key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_imp")).alias("_mass"))
+    levels = join_small(levels, sizes.select("_key", "target"), ["_key"]).withColumn("_imp", F.pow(F.lit(2.0), F.col("_level") / _LEVELS))
+    w = W.partitionBy("_key").orderBy(F.col("_level").desc())
+    capped = F.coalesce(F.sum("_words").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    mass = F.sum(F.col("_words") * F.col("_imp")).over(w.rowsBetween(0, W.unboundedFollowing))
+    levels = levels.withColumn("_try", F.when(mass > 0, (F.col("target") - p.cap * capped) / mass))
+    fits = F.col("_try") * F.col("_imp") <= p.cap * (1 + 1e-12)
+    return levels.filter(fits).groupBy("_key").agg(F.max(F.struct("_level", "_try"))["_try"].alias("_scale"))
+
+
+def _key(source: str) -> Column:
+    return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
+
+
+def _counted(df: DataFrame, p: Mix, text: str, source: str, row: str) -> DataFrame:
+    """df with _row, _key, _size, _level and _u, a random number in (0, 1) of the row's id, text and source."""
+    size = word_count(F.col(text))
+    wanted = F.greatest(F.coalesce(F.col(p.importance).cast("double"), F.lit(0.0)), F.lit(1e-6)) if p.importance else F.pow(F.greatest(size, F.lit(1)).cast("double"), F.lit(p.length_power))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), F.col(row), F.xxhash64(text), _key(source)), 11) + 0.5) / float(1 << 53)
+    return df.withColumns({"_row": F.col(row), "_key": _key(source), "_size": size, "_level": F.round(F.log2(wanted) * _LEVELS).cast("int"), "_u": u})
+
+
+def _ranked(df: DataFrame, p: Mix) -> DataFrame:
+    """df (_counted, with _scale) with _whole, _part_size and _top, the part of the rank that comes of the row's contents."""
+    expected = F.least(F.lit(float(p.cap)), F.coalesce(F.col("_scale") * F.pow(F.lit(2.0), F.col("_level") / _LEVELS), F.lit(0.0)))
+    df = df.withColumn("_exp", expected)
+    df = df.withColumn("_exp", F.when(F.abs(F.col("_exp") - F.round("_exp")) < 1e-9, F.round("_exp")).otherwise(F.col("_exp")))
+    df = df.withColumn("_whole", F.floor("_exp").cast("long")).withColumn("_part", F.col("_exp") - F.col("_whole"))
+    odds = F.log(F.col("_u") / (1 - F.col("_u"))) - F.log(F.greatest(F.col("_part"), F.lit(1e-12)) / (1 - F.least(F.col("_part"), F.lit(1 - 1e-12))))
+    top = F.floor((F.greatest(F.lit(-127.0), F.least(F.lit(127.0), odds)) + 128) * float(1 << (_BITS - _TIE - 8))).cast("long")
+    return df.withColumn("_top", top).withColumn("_part_size", F.when(F.col("_part") > 0, F.col("_size")).otherwise(F.lit(0).cast("long")))
+
+
+def _plan(df: DataFrame, p: Mix, text: str, source: str, row: str, carry: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows, narrow and ranked; per source its scale; per source the stretch where its sample ends."""
+    docs = _counted(df, p, text, source, row).select("_row", "_key", "_size", "_level", "_u", F.col(source).alias("_source"), *carry)
+    docs = cut(docs.withColumn("_no", F.monotonically_increasing_id()))
+    sizes = docs.groupBy("_source", "_key").agg(F.sum("_size").alias("source_size"))
     sizes = cut(targets(sizes, p).drop("_source"))
-    docs = join_small(docs, sizes, ["_key"])
-    expected = F.least(F.lit(float(p.cap)), F.when(F.col("_mass") > 0, F.col("target") * (F.col("_imp") / F.col("_mass"))).otherwise(0.0))
-    expected = F.when(F.abs(expected - F.round(expected)) < 1e-9, F.round(expected)).otherwise(expected)
-    docs = docs.withColumn("_exp", expected).withColumn("_whole", F.floor("_exp").cast("long")).withColumn("_part", F.col("_exp") - F.col("_whole"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), F.col("_row"), F.col("_key")), 11) + 0.5) / float(1 << 53)
-    odds = F.log(u / (1 - u)) - F.log(F.greatest(F.col("_part"), F.lit(1e-12)) / (1 - F.least(F.col("_part"), F.lit(1 - 1e-12))))
-    rank = F.floor((F.greatest(F.lit(-127.0), F.least(F.lit(127.0), odds)) + 128) * float(1 << (_BITS - 8))).cast("long")
-    docs = docs.withColumn("_rank", rank).withColumn("_part_size", F.when(F.col("_part") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
-    docs = cut(docs.select("_row", "_key", "size", "source_size", "target", "_whole", "_part_size", "_rank", *(carry or [])))
-    region = docs.groupBy("_key").agg((F.max("target") - F.sum(F.col("_whole") * F.col("size"))).alias("_rem"), F.count("*").alias("_n"))
+    levels = cut(docs.groupBy("_key", "_level").agg(F.sum("_size").alias("_words")))
+    scales = cut(sizes.join(_scales(levels, sizes, p), "_key", "left"))
+    docs = _ranked(join_small(docs, scales, ["_key"]), p)
+    rank = F.shiftleft("_top", _TIE).bitwiseOR(F.pmod(F.xxhash64("_no"), F.lit(1 << _TIE)))
+    docs = cut(docs.select("_row", "_key", "_no", "_size", "source_size", "target", "_whole", "_part_size", rank.alias("_rank"), *carry))
+    region = docs.groupBy("_key").agg((F.max("target") - F.sum(F.col("_whole") * F.col("_size"))).alias("_rem"), F.count("*").alias("_n"))
     region = cut(region.select("_key", F.lit(_BITS).alias("_shift"), F.lit(0).cast("long").alias("_lo"), "_rem", "_n"))
-    region = _levels(docs, region, p)
+    return docs, scales, _levels(docs, region, p)
+
+
+def _near(docs: DataFrame, region: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _extra: those whose ranks lie before or beyond their source's last stretch, and those in it."""
     docs = join_small(docs, region, ["_key"]).withColumn("_at", F.expr("shiftright(_rank, _shift)"))
     far = docs.filter("_at <> _lo").withColumn("_extra", F.when(F.expr("_at < _lo and _part_size > 0"), 1).otherwise(0).cast("long"))
-    schema = far.schema
-    near = docs.filter("_at = _lo").groupBy("_key").applyInPandas(_fill, schema)
-    out = far.unionByName(near)
+    return far, docs.filter("_at = _lo").groupBy("_key").applyInPandas(_fill, far.schema)
+
+
+def sample(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "source", row: str = "doc_id") -> DataFrame:
+    """One row per row of df: row, size, source_size, target, copies, taken (copies times size).
+
+    Null texts have size 0; a null source is a source of its own, the last. Documents without words get no copies beyond
+    their whole ones. Null row ids are ids like others. Ranks come of the seed, the row id, its text and its source, so
+    reruns agree; repeated rows, alike in all these, are taken as separate documents, in the order they are read. An
+    empty table gives an empty result.
+    """
+    docs, _, region = _plan(df, p, text, source, row, [])
+    far, near = _near(docs, region)
     copies = F.col("_whole") + F.col("_extra")
-    return out.select(F.col("_row").alias(row), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(carry or []))
+    return far.unionByName(near).select(F.col("_row").alias(row), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
 def repeat(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "source", row: str = "doc_id") -> DataFrame:
-    """The mixture itself: rows of df as often as taken, numbered by `copy` from 0.
+    """The mixture itself: rows of df as often as sample takes them, numbered by `copy` from 0, less than cap.
 
-    Rows are found again by id, null or not, and a hash of source and text; rows alike in all three share their copies
-    out among themselves, as evenly as can be.
+    Rows before or beyond the last stretch of their source are judged where they lie. Rows in it are found again by 128
+    bits of hashes of all columns; rows that are alike in all give their copies together, numbered over again from cap on. A column `copy` of df gives way.
     """
-    key = {
-        "_id": F.coalesce(F.col(row).cast("string"), F.lit("")),
-        "_null": F.col(row).isNull(),
-        "_hash": F.xxhash64(F.col(text), F.col(text).isNull(), F.col(source), F.col(source).isNull()),
-    }
-    marked = df.withColumns(key)
-    taken = sample(marked, p, text, source, row, list(key)).groupBy(*key).agg(F.sum("copies").alias("_all"), F.count("*").alias("_alike")).filter("_all > 0")
-    out = marked.join(taken, list(key)).withColumn("_turn", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
-    own = F.floor(F.col("_all") / F.col("_alike")) + (F.col("_turn") <= F.col("_all") % F.col("_alike")).cast("long")
-    out = out.withColumn("_own", own.cast("int")).filter("_own > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_own") - 1))).select(*df.columns, "copy")
+    hashes = {"_h1": F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns]), "_h2": F.xxhash64(F.lit(1), *df.columns, *[F.col(c).isNull() for c in df.columns])}
+    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_all"), *[v.alias(k) for k, v in hashes.items()], F.col(text).alias("_text"), F.col(source).alias("_source0"), F.col(row).alias("_row0"),
+                      *([F.col(p.importance).alias("_wanted")] if p.importance else []))
+    q = replace(p, importance="_wanted") if p.importance else p
+    docs, scales, region = _plan(whole, q, "_text", "_source0", "_row0", list(hashes))
+    _, near = _near(docs, region)
+    taken = cut(near.groupBy(*hashes).agg(F.sum(F.col("_whole") + F.col("_extra")).alias("_own"), F.count("*").alias("_alike")))
+    rows = join_small(_counted(whole, q, "_text", "_source0", "_row0"), scales, ["_key"])
+    rows = join_small(_ranked(rows, q).select("_all", *hashes, "_key", "_whole", "_part_size", "_top"), region, ["_key"])
+    # Of the rank the low bits are missing here: what they would decide goes with the rows of the last stretch.
+    rows = rows.withColumn("_at", F.expr(f"shiftright(_top, greatest(_shift - {_TIE}, 0))")).withColumn("_to", F.expr(f"shiftright(_lo, greatest({_TIE} - _shift, 0))"))
+    far = rows.filter("_at <> _to").select("_all", (F.col("_whole") + F.when(F.expr("_at < _to and _part_size > 0"), 1).otherwise(0)).alias("_own"))
+    low = region.filter(F.col("_shift") < _TIE)
+    if not low.isEmpty():  # ends that low bits decide: rows of equal contents may lie on both sides of one
+        tied = join_small(docs, low, ["_key"], "inner").withColumn("_at", F.expr("shiftright(_rank, _shift)"))
+        tied = tied.filter(F.expr(f"_at <> _lo and shiftright(_rank, {_TIE}) = shiftright(_lo, {_TIE} - _shift)"))
+        own = F.col("_whole") + F.when(F.expr("_at < _lo and _part_size > 0"), 1).otherwise(0)
+        more = tied.groupBy(*hashes).agg(F.sum(own).alias("_own"), F.count("*").alias("_alike"))
+        taken = cut(taken.unionByName(more).groupBy(*hashes).agg(F.sum("_own").alias("_own"), F.sum("_alike").alias("_alike")))
+    found = join_small(rows.filter("_at = _to").select("_all", *hashes), taken, list(hashes), "inner")
+    alone = found.filter("_alike = 1").select("_all", "_own")
+    again = found.filter("_alike > 1").dropDuplicates(list(hashes)).select("_all", "_own")
+    out = far.unionByName(alone).unionByName(again).filter("_own > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_own").cast("int") - 1)))
+    return out.select(*[F.col("_all")[c].alias(c) for c in df.columns if c != "copy"], (F.col("copy") % p.cap).alias("copy"))
