@@ -2,8 +2,8 @@
 
 Method: labelled page outcomes are counted per host, registered domain and suffix. From the top down, each level is
 shrunk to the one above by a beta-binomial prior whose strength is found from the spread of the level's own rates
-(moments). A host is blocked if the lower bound of its posterior share of bad pages is above the limit; hosts without
-labels stand on their domain's or suffix's posterior as prior. Rules come before the method; the longest that fits wins.
+(moments). A host is blocked if the lower bound of its posterior share of bad pages is above the limit, by default the
+share of bad ones among all labelled pages; hosts without labels stand on their domain's posterior as prior. Rules come before the method; the longest that fits wins.
 
 Scale: counts are aggregated on the map side before any shuffle. Rules are literals in the plan. Only blocked hosts are
 looked up, broadcast when few and joined by sort-merge otherwise, where adaptive execution splits a hot host.
@@ -42,13 +42,14 @@ def rule(verdict: str, text: str) -> Rule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """limit: share of bad pages that the posterior bound must exceed. z: standard deviations below the mean of the bound.
+    """limit: share of bad pages that the posterior bound must exceed; None: the overall share. z: standard deviations by
+    which the bound lies below the posterior mean (0.5: some 70 in 100 to be worse than the limit).
 
     least, most: strengths of priors that are believed.
     """
 
-    limit: float = 0.5
-    z: float = 2.0
+    limit: float | None = None
+    z: float = 0.5
     least: float = 2.0
     most: float = 1000.0
 
@@ -75,13 +76,18 @@ def _fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def suffix_domain(host: Column) -> tuple[Column, Column]:
-    """Suffix and registered domain: the last label (two where a country's second level is open) and one label more."""
+    """Suffix and registered domain: the last label (two where a country's second level is open) and one label more.
+
+    User names and a port are not part of them; of numeric addresses both are the whole; a dot at the end goes.
+    """
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
+    numeric = host.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*)$")
     parts = F.split(host, r"\.")
     n = F.size(parts)
     two = (n >= 3) & (F.char_length(F.element_at(parts, -1)) == 2) & F.get(parts, n - 2).isin(*_SECOND)
     k = F.when(two, 2).otherwise(1)
     last = lambda m: F.array_join(F.slice(parts, F.greatest(n - m + 1, F.lit(1)), F.least(m, n)), ".")
-    return last(k), last(k + 1)
+    return F.when(numeric, host).otherwise(last(k)), F.when(numeric, host).otherwise(last(k + 1))
 
 
 def _strength(level: DataFrame, p: Reputation) -> float:
@@ -99,8 +105,11 @@ def _strength(level: DataFrame, p: Reputation) -> float:
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame, p: Reputation = Reputation()) -> DataFrame:
-    """(host, n, bad, mean, bound) for every host of pages (_id, _host); outcomes are (_id, bad), bad 0 or 1."""
-    seen = pages.join(outcomes, "_id").groupBy("_host").agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
+    """(host, n, bad, mean, bound, share) for every host of pages (_key, _host); outcomes are (_key, bad), bad 0 or 1.
+
+    share is that of bad ones among all labelled pages.
+    """
+    seen = pages.join(outcomes, "_key").groupBy("_host").agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
     hosts = pages.groupBy("_host").agg(F.lit(1).alias("_one")).drop("_one").join(seen, "_host", "left").na.fill(0, ["n", "b"])
     suffix, domain = suffix_domain(F.col("_host"))
     hosts = cut(hosts.select("_host", suffix.alias("_suffix"), domain.alias("_domain"), "n", "b"))
@@ -117,20 +126,24 @@ def reputations(pages: DataFrame, outcomes: DataFrame, p: Reputation = Reputatio
     a, z = F.col("b") + k * F.col("m"), F.col("n") - F.col("b") + k * (1 - F.col("m"))
     mean = a / (a + z)
     sd = F.sqrt(mean * (1 - mean) / (a + z + 1))
-    return hosts.select(F.col("_host").alias("host"), "n", F.col("b").alias("bad"), mean.alias("mean"), F.greatest(F.lit(0.0), mean - p.z * sd).alias("bound"))
+    return hosts.select(F.col("_host").alias("host"), "n", F.col("b").alias("bad"), mean.alias("mean"), F.greatest(F.lit(0.0), mean - p.z * sd).alias("bound"), F.lit(float(start)).alias("share"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], p: Reputation = Reputation(), url: str = "url", row: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], p: Reputation = Reputation(), url: str = "url", row: str = "page_id", key: Column | None = None) -> DataFrame:
     """One row per row of pages: row, host, path, rule, verdict.
 
-    outcomes: (row, bad), labelled pages by id; null ids and outcomes count nothing, a page labelled twice counts twice.
-    Null urls and urls without `://` have empty host and path; the empty host has a reputation like any other. Without
-    outcomes all that no rule blocks is allowed. Repeated rows are each returned; empty tables give empty results.
+    outcomes: (key, bad), labelled pages by what key gives of a page (none: its id, and their column is named so); null keys
+    and outcomes count nothing, a page labelled twice counts twice. Null urls and urls without `://` have empty host and
+    path; the empty host has a reputation like any other. Hosts keep user names, ports and dots at their end, as rules and
+    output have them; their registered domains do not. Without outcomes all that no rule blocks is allowed. Repeated rows
+    are each returned; empty tables give empty results.
     """
     host, path = host_path(F.col(url))
-    rows = pages.select(F.col(row).alias("_id"), host.alias("_host"), path.alias("_path"))
-    known = outcomes.select(F.col(row).alias("_id"), F.col("bad").cast("long").alias("bad")).filter("_id is not null and bad is not null")
-    blocked = cut(reputations(rows, known, p).filter(F.col("bound") > p.limit).select(F.col("host").alias("_host"), F.lit(BLOCK).alias("_method")))
+    named = row if key is None else "key"
+    rows = pages.select(F.col(row).alias("_id"), (F.col(row) if key is None else key).alias("_key"), host.alias("_host"), path.alias("_path"))
+    known = outcomes.select(F.col(named).alias("_key"), F.col("bad").cast("long").alias("bad")).filter("_key is not null and bad is not null")
+    above = F.col("bound") > (F.col("share") if p.limit is None else F.lit(p.limit))
+    blocked = cut(reputations(rows, known, p).filter(above).select(F.col("host").alias("_host"), F.lit(BLOCK).alias("_method")))
     rows = join_small(rows.withColumn("_rule", _fitting(F.col("_host"), F.col("_path"), rules)), blocked, ["_host"])
     return rows.select(
         F.col("_id").alias(row), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),

@@ -107,14 +107,23 @@ def header(dictionary: bytes) -> bytes:
     return struct.pack("<II", MAGIC, len(dictionary)) + dictionary
 
 
+def _exactly(stream, n: int) -> bytes:
+    parts, left = [], n
+    while left:
+        if not (part := stream.read(left)):
+            raise ValueError("the archive ends inside its dictionary frame")
+        parts.append(part)
+        left -= len(part)
+    return b"".join(parts)
+
+
 def records(stream, chunk: int = 1 << 15) -> Iterator[bytes]:
     """The records of an archive, read from its own dictionary on; one record is held at a time."""
-    magic, size = struct.unpack("<II", stream.read(8))
+    lead = _exactly(stream, 8)
+    magic, size = struct.unpack("<II", lead)
     if magic != MAGIC:
         raise ValueError("no dictionary frame at the begin of the archive")
-    dictionary = b""
-    while len(dictionary) < size:
-        dictionary += stream.read(size - len(dictionary)) or b""
+    dictionary = _exactly(stream, size)
     context = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     left = b""
     while left := left or stream.read(chunk):
@@ -133,10 +142,10 @@ def records(stream, chunk: int = 1 << 15) -> Iterator[bytes]:
 def _with_references(pages: DataFrame, row: str, url: str, html: str) -> DataFrame:
     """(_page, _url, _html, _to): _to is the page that has the response, null for responses."""
     rows = pages.select(F.col(row).alias("_page"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    rows = rows.withColumn("_sha", F.sha1(F.col("_html").cast("binary")))
-    # Lengths beside digests, and an unkeyed digest of 160 bits: equal keys are taken as equal payloads.
-    copies = cut(rows.groupBy("_sha").agg(F.max("_page").alias("_last"), F.count("*").alias("_n")).filter("_n > 1 and _last is not null").select("_sha", "_last"))
-    rows = join_small(rows, copies, ["_sha"])
+    # Equality goes by SHA-256 and length, as SHA-1, which the records carry, has known collisions.
+    rows = rows.withColumn("_sha", F.unhex(F.sha2(F.col("_html").cast("binary"), 256))).withColumn("_size", F.octet_length("_html"))
+    copies = cut(rows.groupBy("_sha", "_size").agg(F.max("_page").alias("_last"), F.count("*").alias("_n")).filter("_n > 1 and _last is not null").select("_sha", "_size", "_last"))
+    rows = join_small(rows, copies, ["_sha", "_size"])
     return rows.select("_page", "_url", "_html", F.when(F.coalesce(F.col("_last") != F.col("_page"), F.col("_last").isNotNull()), F.col("_last")).alias("_to"))
 
 
@@ -189,15 +198,16 @@ def write(pages: DataFrame, folder: str | None = None, w: Writer = Writer(), row
             made.append((path, n, size))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made) if made else ((), (), ()), (pa.string(), pa.int64(), pa.int64()))], names=schema.names)
 
-    return cut(rows.mapInArrow(run, schema))
+    return cut(rows.mapInArrow(run, schema)).withMetadata("archive", {"page_type": pages.schema[row].dataType.simpleString()})
 
 
-def read(manifest: DataFrame, page_type: str = "bigint") -> DataFrame:
+def read(manifest: DataFrame, page_type: str | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of every record in the archives.
 
-    payload is null for revisits. A record whose payload isn't what its digest says fails the read.
+    Ids have page_type; None: the type that they were written with, as the manifest's metadata has it, else text. payload is null for revisits. A record whose payload isn't what its digest says fails the read.
     """
     schema = StructType.fromDDL("_page string, payload_bytes long, payload_digest string, record_type string, _to string, url string, payload binary")
+    page_type = page_type or manifest.schema["archive"].metadata.get("page_type", "string")
     page = lambda x: x.removeprefix("<urn:x-page:").removesuffix(">") or None
 
     def run(batches):

@@ -1,5 +1,8 @@
+import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm import url_filter as U
 from sparkloom.llm.queries import RULES, op5_url_filter
 
@@ -21,14 +24,29 @@ def test_query_against_brute_force(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = op5_url_filter(spark, sf).collect()
     assert len(rows) == len(pages)
+    labels = {r.doc_id: int(r.quality == 0 or r.toxic == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    hosts = defaultdict(lambda: [0, 0])
+    for u in pages.values():
+        host, path = brute(u)[:2]
+        shown = re.match("/[^/]*/([0-9]{1,18})", path)
+        hosts[host][0] += bool(shown) and int(shown[1]) in labels
+        hosts[host][1] += labels.get(int(shown[1]), 0) if shown else 0
+    blocked = brute_blocked(hosts, U.Reputation())
     for r in rows:
         want = brute(pages[r.page_id])
         assert (r.host, r.path, r.rule) == want[:3]
-        assert r.verdict == want[3] if want[3] else r.verdict in ("allow", "block")
+        assert r.verdict == (want[3] or ("block" if r.host in blocked else "allow"))
+
+
+def brute_blocked(hosts, p):
+    means, strength = brute_levels(hosts, p)
+    share = sum(b for _, b in hosts.values()) / max(1, sum(n for n, _ in hosts.values()))
+    bound = {h: m - p.z * (m * (1 - m) / (hosts[h][0] + strength + 1)) ** 0.5 for h, m in means.items()}
+    return {h for h, x in bound.items() if max(0.0, x) > (share if p.limit is None else p.limit)}
 
 
 def brute_levels(hosts, p):
-    """hosts: {host: (n, bad)}; posterior means level by level, with the moments' strengths."""
+    """hosts: {host: (n, bad)}; posterior means level by level, with the moments' strengths; and the hosts' strength."""
 
     def strength(units):
         two = [(n, b, m) for n, b, m in units if n >= 2]
@@ -56,7 +74,7 @@ def brute_levels(hosts, p):
         k = strength([(*sums[u], up[u]) for u in sums])
         means = {u: (sums[u][1] + k * up[u]) / (sums[u][0] + k) for u in sums}
         above = {h: means[key(h)] for h in hosts}
-    return above
+    return above, k
 
 
 def test_reputations_against_brute_force(spark):
@@ -67,13 +85,33 @@ def test_reputations_against_brute_force(spark):
             rows.append((len(rows), h))
             if i < n:
                 bad.append((rows[-1][0], int(i < b)))
-    got = U.reputations(spark.createDataFrame(rows, "_id long, _host string"), spark.createDataFrame(bad, "_id long, bad int")).collect()
-    want = brute_levels(hosts, U.Reputation())
+    got = U.reputations(spark.createDataFrame(rows, "_key long, _host string"), spark.createDataFrame(bad, "_key long, bad int"), U.Reputation(z=2.0)).collect()
+    want = brute_levels(hosts, U.Reputation())[0]
     assert {r.host: round(r["mean"], 9) for r in got} == {h: round(m, 9) for h, m in want.items()}
     assert all(r.bound <= r["mean"] for r in got)
     assert {r.host for r in got if r.bound > 0.5} >= {"a.spam.net"} and not {r.host for r in got if r.bound > 0.5} & {"good.org", "", "x.co.uk"}
 
 
+def test_posterior_decides(spark):
+    """Hosts of a bad and a good domain; a new host stands on its domain; verdicts equal brute force."""
+    counts = {f"h{i}.bad.net": (20, 14 + i % 3) for i in range(6)} | {f"h{i}.good.net": (20, i % 3) for i in range(9)} | {"new.bad.net": (0, 0), "new.good.net": (0, 0)}
+    pages, out = [], []
+    for h, (n, b) in counts.items():
+        for i in range(n + 1):
+            pages.append((len(pages), f"https://{h}/p/{i}"))
+            if i < n:
+                out.append((len(pages) - 1, int(i < b)))
+    rows = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(out, "page_id long, bad int"), []).collect()
+    blocked = brute_blocked(counts, U.Reputation())
+    assert {r.host for r in rows if r.verdict == "block"} == blocked == {h for h in counts if "bad" in h}
+
+
+def test_registered_domains(spark):
+    names = {"a.b.co.uk": ("co.uk", "b.co.uk"), "u:p@x.y.com:8080": ("com", "y.com"), "192.168.0.1": ("192.168.0.1",) * 2, "x.y.org.": ("org", "y.org"), "": ("", ""), "h": ("h", "h"), "[::1]:80": ("[::1]",) * 2}
+    df = spark.createDataFrame([(h,) for h in names], "h string").select("h", *U.suffix_domain(F.col("h")))
+    assert {r[0]: (r[1], r[2]) for r in df.collect()} == names
+
+
 def test_edges(spark):
     urls = [None, "", "no scheme", "://", "http://", "HTTP://EXAMPLE.com/en/7a?x#y", "http://com/en/", "http://xcom/en/", "http://a.COM#/en/", "http://É.org/es/ä?b", "http://h/" + "x" * 50000, "a://b://c/d", "http://example.net/de/81"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*urls, urls[5]])] + [(None, urls[5], "y")], "page_id long, url string, host string")

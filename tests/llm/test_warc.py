@@ -62,7 +62,14 @@ def test_archives_are_frames_after_a_dictionary_frame(spark, tmp_path):
     assert len(raw) - 8 - size < plain / 2
     fields, block = warc.parse(next(warc.records(io.BytesIO(raw))))
     assert fields["WARC-Type"] == "response" and block.startswith(b"HTTP/1.1 200 OK")
-    with pytest.raises(ValueError):
-        list(warc.records(io.BytesIO(raw[:-5])))
+    for cut in (0, 5, 8, 20, 8 + size - 1, len(raw) - 5):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(raw[:cut])))
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(raw[8 + size :])))
+
+
+def test_text_ids_come_back(spark, tmp_path):
+    df = spark.createDataFrame([("a-1", "u", "x"), ("b-2", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    got = warc.read(warc.write(df, str(tmp_path)))
+    assert rows(got) == brute([("a-1", "x"), ("b-2", "x"), (None, "y")])
