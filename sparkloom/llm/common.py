@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -28,20 +30,40 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is spark.checkpoint.dir; only where that is unset (tests, a local session) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI or path."""
+    """The folder that driver and executors share, as a URI or path; an error on a cluster that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
     return sc.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def opened(uri: str, mode: str):
+    """A file in the shared folder: a local path, or any store that Arrow can reach."""
+    if re.match(r"[a-z][a-z0-9+.-]*:", uri) and not uri.startswith("file:"):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(path) if mode == "rb" else store.open_output_stream(path) as f:
+            yield f
+    else:
+        with open(re.sub(r"^file:/*", "/", uri), mode) as f:
+            yield f
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete what this library wrote at path, in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,6 +109,37 @@ def same_key(key: Column, other: Column) -> Column:
     return key["_h1"].eqNullSafe(other["_h1"]) & key["_h2"].eqNullSafe(other["_h2"]) & key["_id"].eqNullSafe(other["_id"])
 
 
+#: Bits of the filter that keeps rows out of a shuffle: what is broadcast of it is an eighth of this in bytes, at most.
+FILTER_BITS = 1 << 27
+
+
+def split_rows(df: DataFrame, key: Column, keys: DataFrame, limit: int = BROADCAST_ROWS, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose content key is among keys (one column _key, each once), and the others.
+
+    Few keys are broadcast. Beyond that, a bitmap of the keys' hashes, of fixed size, is broadcast and tells most rows
+    that aren't among them where they lie; only the rest, wide as they are, meet the keys in a shuffle. The more keys
+    there are for the bitmap's bits, the more rows go that way; the result is the same. keys should be the result of cut().
+    """
+    names = df.columns
+    keys = keys.select(F.col("_key").alias("_wanted"))
+    if keys.limit(limit + 1).count() <= limit:
+        small = F.broadcast(keys)
+        return df.join(small, same_key(key, F.col("_wanted")), "left_semi"), df.join(small, same_key(key, F.col("_wanted")), "left_anti")
+    place = lambda k: F.pmod(k["_h1"], F.lit(bits))
+    at = keys.select(place(F.col("_wanted")).alias("_at"))
+    bitmap = at.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    bitmap = cut(bitmap)
+    rows = df.select(F.struct(*[F.col(c) for c in names]).alias("_all"), key.alias("_mine"), F.bitmap_bucket_number(place(key)).alias("_bucket"), F.bitmap_bit_position(place(key)).alias("_bit"))
+    rows = rows.join(F.broadcast(bitmap), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
+    rows = rows.withColumn("_byte", byte).withColumn("_may", may)
+    none = rows.filter(~F.col("_may")).select("_all.*")
+    some = rows.filter("_may").select("_all", "_mine")
+    wanted = keys.hint("merge")
+    return tuple(x.select("_all.*") if how == "left_semi" else x.select("_all.*").unionByName(none) for how in ("left_semi", "left_anti") for x in [some.join(wanted, same_key(F.col("_mine"), F.col("_wanted")), how)])
+
+
 def map_rows(df: DataFrame, columns: list[str | Column], schema: str, f: Callable[..., dict[str, list]], through: list[str] | None = None) -> DataFrame:
     """Run f over the given columns of df, a bounded Arrow batch at a time.
 

@@ -5,21 +5,27 @@ document through it gives, at every word, the length of the longest match that e
 occurs there if that length reaches it. An item of fewer words is one window of its own length. Hit words are those
 inside any occurrence; spans of them can be cut and documents over a coverage limit dropped.
 
-Scale: items are dealt into shards of at most `shard_words` words, each with its own automaton of bounded size, sent to
-executors as a broadcast. Documents are read once per shard (one in practice) and never shuffled for one shard. A word
-that is in no item resets the automaton, so only runs of known words are walked.
+Scale: items are dealt into shards of about `shard_words` words, each with its own automaton, written to the shared folder.
+A worker holds one shard at a time. Documents are read once, whatever the number of shards, and never shuffled: a worker
+takes a bounded stretch of them and streams it through shard after shard. A word that is in no item resets the automaton,
+so only runs of known words are walked.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import cut, map_rows
+from .common import make_dir, map_rows, opened, shared_dir
 
 #: Bytes of words: 0-9, a-z (A-Z lower-cased) and all of other code points; the rest of ASCII separates.
 _TO_WORDS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else ord(chr(b).lower()) if chr(b).isupper() else 0x20 for b in range(256))
@@ -30,13 +36,15 @@ class Contamination:
     """window: item words that make a hit. one_in: a document is contaminated if one in so many of its words is hit.
 
     max_span: hit spans of so many words are cut from documents that stay. shard_words: words of items in one automaton,
-    which bounds what is broadcast (under a kilobyte a word).
+    which bounds what a worker holds (under a kilobyte a word; a longer item has a shard of its own). stretch: bytes of
+    texts that a worker holds where there are several shards.
     """
 
     window: int = 13
     one_in: int = 20
     max_span: int = 13
     shard_words: int = 100_000
+    stretch: int = 16_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -160,55 +168,88 @@ class Automaton:
 
 
 def _shards(benchmark: DataFrame, p: Contamination, text: str, item: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items dealt by hash into shards of about shard_words words at most; one shard at a time is fetched."""
+    """Items dealt by hash into shards of about shard_words words; one shard at a time is fetched."""
     rows = benchmark.select(F.col(item).cast("string").alias("_item"), F.col(text).alias("_text")).filter("_text is not null")
-    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n = max(1, -(-total // (2 * p.shard_words)))  # a word and what separates it take two bytes at least
+    total = rows.agg(F.sum(F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    n = max(1, -(-total // p.shard_words))
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(n)) == k)
         yield [(r[0], words(r[1])) for r in part.orderBy("_item", "_text").toLocalIterator()]
 
 
+#: The shard that this worker read last, by its path.
+_held: list = [None, None]
+
+
+def _automaton(path: str) -> Automaton:
+    if _held[0] != path:
+        _held[:] = [None, None]
+        with opened(path, "rb") as f:
+            _held[:] = [path, pickle.loads(f.read())]
+    return _held[1]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and out[-1][1] >= b:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((b, e))
+    return out
+
+
 def hits(df: DataFrame, benchmark: DataFrame, p: Contamination = Contamination(), text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of df: n_words, spans (array of [b, e) word places), items (sorted ids) and _all, the row itself.
 
     A null or empty text has no words and no hits; items without words hit nothing; an empty benchmark hits nothing.
-    Items with equal ids count once; those with null ids make hits, but are not among the ids. Repeated rows are each returned.
+    Items with equal ids count once; those with null ids make hits, but are not among the ids. Repeated rows are each
+    returned. The shards' files stay in the shared folder, as the result is read later.
     """
-    sc = df.sparkSession.sparkContext
-    source = df.select(F.col(text).alias("_text"), F.struct(*[F.col(c) for c in df.columns]).alias("_all"))
-    out = None
+    folder = f"{shared_dir(df.sparkSession)}/decontaminate-{uuid.uuid4().hex}"
+    make_dir(df.sparkSession, folder)
+    paths = []
     for shard in _shards(benchmark, p, item_text, item):
-        machine = sc.broadcast(Automaton(shard, p.window))
-
-        def run(texts, machine=machine):
-            made = {"n_words": [], "spans": [], "items": []}
-            for t in texts:
+        paths.append(f"{folder}/{len(paths)}.pickle")
+        with opened(paths[-1], "wb") as f:
+            f.write(pickle.dumps(Automaton(shard, p.window), pickle.HIGHEST_PROTOCOL))
+    source = df.select(F.col(text).alias("_text"), F.struct(*[F.col(c) for c in df.columns]).alias("_all"))
+    kind = StructType.fromDDL("n_words long, spans array<struct<b: int, e: int>>, items array<string>")
+    fields = list(to_arrow_schema(kind))
+    stretch = p.stretch if len(paths) > 1 else 0
+
+    def scanned(parts):
+        texts = [t for part in parts for t in part.column(0).to_pylist()]
+        sizes, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+        for path in paths:
+            machine = _automaton(path)
+            for k, t in enumerate(texts):
                 ws = words(t)
-                spans, found = machine.value.scan(ws)
-                made["n_words"].append(len(ws))
-                made["spans"].append([{"b": b, "e": e} for b, e in spans])
-                made["items"].append(sorted(found - {None}))
-            return made
-
-        part = map_rows(source, ["_text"], "n_words long, spans array<struct<b: int, e: int>>, items array<string>", run, ["_all"])
-        out = part if out is None else cut(_merged(out, part))
-    return out
-
-
-#: Spans in order, those that touch or overlap made one.
-_JOIN_SPANS = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<b: int, e: int>>), (m, x) ->
-    if(size(m) > 0 and m[size(m) - 1].e >= x.b,
-       concat(slice(m, 1, size(m) - 1), array(named_struct('b', m[size(m) - 1].b, 'e', greatest(m[size(m) - 1].e, x.e)))),
-       concat(m, array(x))))"""
-
-
-def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Hits of two shards over the same rows. Equal rows have equal hits, so that they can share a group."""
-    both = a.unionAll(b).groupBy("n_words", "_all").agg(
-        F.expr(_JOIN_SPANS).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr("count(*) div 2").alias("_n")
-    )
-    return both.select("n_words", "spans", "items", "_all", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).drop("_i")
+                sizes[k] = len(ws)
+                more, found = machine.scan(ws)
+                spans[k] += more
+                items[k] |= found
+        spans = [[{"b": b, "e": e} for b, e in (_joined(x) if len(paths) > 1 else x)] for x in spans]
+        items, at = [sorted(x - {None}) for x in items], 0
+        for part in parts:
+            to = at + part.num_rows
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at:to], f.type) for x, f in zip((sizes, spans, items), fields)], part.column(1)], names=[*[f.name for f in fields], "_all"])
+            at = to
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                held.append(batch.slice(at, 1000))
+                size += held[-1].column(0).nbytes
+                if size >= stretch:
+                    yield from scanned(held)
+                    held, size = [], 0
+        if held:
+            yield from scanned(held)
+
+    return source.mapInArrow(run, kind.add(source.schema["_all"]))
 
 
 def with_verdict(found: DataFrame, p: Contamination = Contamination()) -> DataFrame:

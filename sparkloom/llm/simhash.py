@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, cut, map_rows, same_key
+from .common import content_key, cut, map_rows, split_rows
 from .components import components
 
 BITS = 64
@@ -183,30 +183,20 @@ def groups(df: DataFrame, p: SimHash = SimHash(), text: str = "text", row: str =
     return out.select(F.col("_row").alias(row), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.coalesce("_c", "_row").alias("component_id"))
 
 
-def keep_first(df: DataFrame, p: SimHash = SimHash(), text: str = "text", row: str = "doc_id") -> DataFrame:
-    """df without the rows whose group has a smaller row id. Rows with equal ids stand or fall together; null ids stay."""
-    gone = groups(df, p, text, row).filter(F.col(row) != F.col("component_id")).select(F.col(row).alias("_gone"))
-    return df.join(gone, df[row] == gone["_gone"], "left_anti")
-
-
 def keep_one(df: DataFrame, p: SimHash = SimHash(), text: str = "text", row: str = "doc_id") -> DataFrame:
-    """From every group of df, one row with an id and one without, where it has such: of the least id, then the least hash of its text.
+    """From every group of df one row: of the least id (null last), then the least hash of its text.
 
-    Rows without ids don't go for the sake of rows with ids. Of rows that are equal in id and text one stays: only these
-    are shuffled with their texts.
+    Of rows that are equal in id and text one stays. Rows that stay are not shuffled, but for those that split_rows takes
+    for others at first. An empty table gives an empty result.
     """
     key = content_key(row, text)
     found = groups(df.select(F.col(text).alias("_text"), key.alias("_key")), p, "_text", "_key")
-    counts = cut(found.groupBy("_key", "component_id").agg(F.count("*").alias("_n")))
-    named = counts.filter(~F.col("_key._null")).select("_key", "_n", (F.col("_key") == F.col("component_id")).alias("_first"))
-    bare = counts.filter("_key._null")
-    least = bare.groupBy("component_id").agg(F.min("_key").alias("_least"))
-    bare = bare.join(least, "component_id").select("_key", "_n", (F.col("_key") == F.col("_least")).alias("_first"))
-    marks = cut(named.unionAll(bare).filter("not _first or _n > 1"))
-    kept = df.join(marks.filter("not _first").select(F.col("_key").alias("_gone")), same_key(key, F.col("_gone")), "left_anti")
-    again = marks.filter("_first").select(F.col("_key").alias("_again"))
+    counts = found.groupBy("_key", "component_id").agg(F.count("*").alias("_n"))
+    marks = cut(counts.select("_key", "_n", (F.col("_key") == F.col("component_id")).alias("_first")).filter("not _first or _n > 1"))
+    _, kept = split_rows(df, key, marks.filter("not _first"))
+    again = marks.filter("_first")
     if again.isEmpty():
         return kept
-    once = kept.join(again, same_key(key, F.col("_again")), "left_anti")
-    twice = kept.join(again, same_key(key, F.col("_again")), "left_semi").withColumn("_once", F.struct(key["_id"], key["_h1"], key["_h2"]))
+    twice, once = split_rows(kept, key, again)
+    twice = twice.withColumn("_once", F.struct(key["_id"], key["_h1"], key["_h2"]))
     return once.unionByName(twice.dropDuplicates(["_once"]).drop("_once"))

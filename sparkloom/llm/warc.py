@@ -12,7 +12,6 @@ return them in a manifest; archives of attempts that failed are in no manifest.
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import re
 import struct
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, join_small, shared_dir
+from .common import cut, join_small, make_dir, opened, shared_dir
 
 MAGIC = 0x184D2A5D
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,20 +45,6 @@ class Writer:
     date: str = "2020-01-01T00:00:00Z"
 
 
-@contextlib.contextmanager
-def _opened(uri: str, mode: str):
-    """A file in the shared folder: a local path, or any store that Arrow can reach."""
-    if re.match(r"[a-z][a-z0-9+.-]*:", uri) and not uri.startswith("file:"):
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(path) if mode == "rb" else store.open_output_stream(path) as f:
-            yield f
-    else:
-        with open(re.sub(r"^file:/*", "/", uri), mode) as f:
-            yield f
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -171,9 +156,7 @@ def write(pages: DataFrame, folder: str | None = None, w: Writer = Writer(), row
             break
     dictionary = rows.sparkSession.sparkContext.broadcast(build_dictionary(samples, w.dictionary_bytes))
     local = folder if not folder.startswith("file:") and ":" in folder.split("/")[0] else re.sub(r"^file:/*", "/", folder)
-    rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(
-        rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    )
+    make_dir(rows.sparkSession, folder)
     schema = StructType.fromDDL("archive string, records long, bytes long")
 
     def run(batches):
@@ -189,7 +172,7 @@ def write(pages: DataFrame, folder: str | None = None, w: Writer = Writer(), row
         piece = next(todo, None)
         while piece is not None:
             path = f"{local}/{uuid.uuid4().hex}.warc.zst"
-            with _opened(path, "wb") as f:
+            with opened(path, "wb") as f:
                 f.write(lead := header(dictionary.value))
                 n, size = 0, len(lead)
                 while piece is not None and (n == 0 or size + len(piece) <= w.archive_bytes):
@@ -212,7 +195,7 @@ def read(manifest: DataFrame, page_type: str | None = None) -> DataFrame:
 
     def run(batches):
         def rows(path):
-            with _opened(path, "rb") as f:
+            with opened(path, "rb") as f:
                 for raw in records(f):
                     fields, block = parse(raw)
                     http, _, payload = block.partition(b"\r\n\r\n")
