@@ -1,9 +1,11 @@
 """Quality rules: base counts of a text and a robust multivariate outlier test, in DataFrame functions only.
 
 Method: each document gets a vector of transformed statistics. Per language and source, minimum-covariance-determinant
-estimates of location and scatter are found by concentration steps (start: medians and scaled median absolute
-deviations; then, again and again, mean and covariance of the h nearest rows). A document whose squared Mahalanobis
-distance is above the cut is rejected.
+estimates of location and scatter are found by concentration steps: the mean and covariance of the h rows that are
+nearest to the last estimate, again and again. There are three starts: medians and scaled median absolute deviations;
+the mean and covariance of all rows; those of rows without an extreme statistic. After two steps each, the start with the
+least determinant goes on until determinants stand still. Estimates of small groups are drawn towards their language's,
+and those towards all, in the measure of their rows. A document whose squared Mahalanobis distance is above the cut goes.
 
 Scale: one pass over the texts makes a narrow table of integers, which is kept in the checkpoint folder. Each step then
 takes two aggregations that combine on the map side: a histogram of distances per group (of bounded size) and sums of
@@ -15,14 +17,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, join_small, word_array
+from .common import BROADCAST_ROWS, WORD, cut, word_array
 
-_POS_BITS = 28  # places of words in a text; the other 36 bits hold a hash, and what it finds is compared in full
+_POS_BITS = 31  # places of words in a text, as many as an array can have; 32 bits hold a hash, and what it finds is compared in full
 #: The statistics as integers: a unit is 1 / _UNIT.
 _UNIT = 256
 FEATURES = ["f_len", "f_sym", "f_dup", "f_rep", "f_caps", "f_mark"]
@@ -33,17 +36,20 @@ _P = len(FEATURES)
 class Rules:
     """min_words, max_repeat_pct: the base rule. share: the part of a group's rows that the estimates rest on.
 
-    min_group: groups with fewer rows are pooled within their language, then over all. floor: the least standard
-    deviation of a statistic that is believed. steps: concentration steps. cut: the largest distance kept, squared, in
-    units where the share-quantile of clean normal rows is at its expected place.
+    prior_rows: rows that a language's estimate weighs against a group's own, and all rows' against a language's. floor:
+    the least standard deviation of a statistic that is believed. trim: robust deviations at which a statistic is extreme
+    in the third start. tolerance: change of a log determinant that counts as standing still. steps: concentration steps
+    at most. cut: the largest distance kept, squared, in units where the share-quantile of normal rows is where it should be.
     """
 
     min_words: int = 50
     max_repeat_pct: int = 50
     share: float = 0.75
-    min_group: int = 200
+    prior_rows: int = 40
     floor: float = 0.25
-    steps: int = 3
+    trim: float = 4.0
+    tolerance: float = 0.02
+    steps: int = 12
     cut: float = 225.0
 
 
@@ -115,129 +121,160 @@ def _name(c: str) -> Column:
     return F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
 
 
-def _grouped(stats: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """stats with _g, the group whose estimates apply, and the groups' sizes (_g, _n)."""
-    groups = stats.filter(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("_m"))
-    lang = W.partitionBy("_lang")
-    small = F.col("_m") < rules.min_group
-    groups = groups.withColumn("_rest", F.sum(F.when(small, F.col("_m")).otherwise(0)).over(lang))
-    groups = groups.withColumn(
-        "_g",
-        F.when(~small, F.concat_ws("\x1f", F.lit("s"), "_lang", "_source"))
-        .when(F.col("_rest") >= rules.min_group, F.concat_ws("\x1f", F.lit("l"), "_lang"))
-        .otherwise(F.lit("all")),
-    )
-    groups = cut(groups.select("_lang", "_source", "_g", "_m"))
-    sizes = cut(groups.groupBy("_g").agg(F.sum("_m").alias("_n")))
-    return join_small(stats, groups.select("_lang", "_source", "_g"), ["_lang", "_source"]), sizes
+#: Buckets of distances, so many to a doubling, and of statistics, so many units each, in the search for medians.
+_FINE = 32
+_COARSE = 16
 
 
-def _medians(values: DataFrame) -> DataFrame:
-    """Lower median of _v by (_g, _k), from counts of equal values."""
-    counts = values.groupBy("_g", "_k", "_v").agg(F.count("*").alias("_c"))
+def _median(values: DataFrame, v: str) -> DataFrame:
+    """Lower median of v by (_g, _k), from values (_g, _k, v, _c: how often)."""
     w = W.partitionBy("_g", "_k")
-    ranked = counts.select("*", F.sum("_c").over(w.orderBy("_v")).alias("_at"), F.sum("_c").over(w).alias("_all"))
-    return ranked.filter(2 * F.col("_at") >= F.col("_all")).groupBy("_g", "_k").agg(F.min("_v").alias("_mid"))
-
-
-def _start(stats: DataFrame, rules: Rules) -> DataFrame:
-    """Per group: medians and scaled median absolute deviations, as location and diagonal scatter."""
-    long = stats.select("_g", F.posexplode(F.array(*FEATURES)).alias("_k", "_v"))
-    mid = cut(_medians(long))
-    off = join_small(long, mid, ["_g", "_k"]).select("_g", "_k", F.abs(F.col("_v") - F.col("_mid")).alias("_v"))
-    dev = _medians(off).withColumnRenamed("_mid", "_dev")
-    both = mid.join(dev, ["_g", "_k"]).groupBy("_g").agg(*[F.max(F.when(F.col("_k") == k, F.col(x))).alias(f"{x}{k}") for k in range(_P) for x in ("_mid", "_dev")])
-    scale = [F.greatest(1.4826 * F.col(f"_dev{k}") / _UNIT, F.lit(rules.floor)) for k in range(_P)]
-    return both.select(
-        "_g",
-        *[(F.col(f"_mid{k}") / _UNIT).alias(f"m{k}") for k in range(_P)],
-        *[(F.pow(scale[i], 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(_P) for j in range(i + 1)],
+    ranked = values.select("*", F.sum("_c").over(w.orderBy(v).rangeBetween(W.unboundedPreceding, 0)).alias("_at"), F.sum("_c").over(w).alias("_all"))
+    return ranked.filter(2 * F.col("_at") >= F.col("_all")).groupBy("_g", "_k").agg(F.min(v).alias("_mid"))
+
+
+def _scales(fit: DataFrame) -> DataFrame:
+    """Per group: _mid0.. and _dev0.., medians and median absolute deviations in buckets of _COARSE units."""
+    long = fit.select("_g", F.posexplode(F.array(*[F.floor((F.col(f) + _COARSE // 2) / _COARSE).cast("long") for f in FEATURES])).alias("_k", "_v"))
+    counts = cut(long.groupBy("_g", "_k", "_v").agg(F.count("*").alias("_c")))
+    mid = _median(counts, "_v")
+    off = counts.join(mid, ["_g", "_k"]).select("_g", "_k", F.abs(F.col("_v") - F.col("_mid")).alias("_v"), "_c")
+    both = mid.join(_median(off.groupBy("_g", "_k", "_v").agg(F.sum("_c").alias("_c")), "_v").withColumnRenamed("_mid", "_dev"), ["_g", "_k"])
+    return both.groupBy("_g").agg(*[F.max(F.when(F.col("_k") == k, F.col(x) * _COARSE)).alias(f"{x}{k}") for k in range(_P) for x in ("_mid", "_dev")])
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """Counts, sums and sums of products of the statistics, by group and start."""
+    return rows.groupBy("_lang", "_g", "_s").agg(
+        F.count("*").alias("n"),
+        *[F.expr(f"sum({FEATURES[i]}) as a{i}") for i in range(_P)],
+        *[F.expr(f"sum({FEATURES[i]} * {FEATURES[j]}) as q{i}{j}") for i, j in _TRIANGLE],
     )
 
 
-def _cholesky(est: DataFrame) -> DataFrame:
-    """est (m*, s* per group) with l*, the lower Cholesky factor of its scatter; positive by the floor on its diagonal."""
-    for i in range(_P):
-        for j in range(i + 1):
-            left = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"s{i}{j}"))  # noqa: B023
-            value = F.sqrt(F.greatest(left, F.lit(1e-9))) if i == j else left / F.col(f"l{j}{j}")
-            est = est.withColumn(f"l{i}{j}", value)
-    return est.select("_g", *[f"m{k}" for k in range(_P)], *[f"l{i}{j}" for i in range(_P) for j in range(i + 1)])
-
+_TRIANGLE = [(i, j) for i in range(_P) for j in range(i + 1)]
+_SUMS = ["n", *[f"a{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _TRIANGLE]]
 
-def _distances(stats: DataFrame, est: DataFrame) -> DataFrame:
-    """stats with _d, the squared Mahalanobis distance to the estimate of the row's group (forward substitution)."""
-    df = join_small(stats, est, ["_g"])
-    for i in range(_P):
-        x = F.col(FEATURES[i]) / _UNIT - F.col(f"m{i}")
-        x = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"_y{k}"), range(i), x)  # noqa: B023
-        df = df.withColumn(f"_y{i}", x / F.col(f"l{i}{i}"))
-    d = reduce(lambda a, b: a + b, [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(_P)])
-    return df.withColumn("_d", d).select(*stats.columns, "_d")
 
+def _moments(prefix: str) -> tuple[list[str], dict[tuple[int, int], str]]:
+    """Mean and covariance, as SQL, from sums whose names have the prefix."""
+    n = f"{prefix}n"
+    mean = [f"{prefix}a{i} / {n} / {_UNIT}" for i in range(_P)]
+    return mean, {(i, j): f"({prefix}q{i}{j} / {n} / {_UNIT * _UNIT} - ({mean[i]}) * ({mean[j]}))" for i, j in _TRIANGLE}
 
-#: Buckets of distances: so many to a doubling.
-_FINE = 32
 
+def _estimates(sums: DataFrame, rules: Rules) -> DataFrame:
+    """Per group and start, from its sums, kept in the checkpoint folder, as _factored gives them.
 
-def _nearest(dist: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
-    """Per group, _b: the bucket of distances up to which at least the share of its rows lie, and _h, its upper edge."""
+    Means and covariances are weighed with those of the language, which are weighed with those of all rows; the floor is
+    added to the scatter's diagonal, so that it is positive.
+    """
+    whole = sums.groupBy("_s").agg(*[F.expr(f"sum({x}) as w_{x}") for x in _SUMS])  # a row for each of three starts
+    est = sums.selectExpr("*", *[f"sum({x}) over (partition by _lang, _s) as v_{x}" for x in _SUMS]).join(F.broadcast(whole), "_s")
+    mean, cov = _moments("w_")
+    for own in ("v_", ""):
+        weight = f"({own}n / ({own}n + {rules.prior_rows}))"
+        near_mean, near_cov = _moments(own)
+        mean = [f"({x} * {weight} + {y} * (1 - {weight}))" for x, y in zip(near_mean, mean)]
+        cov = {k: f"({near_cov[k]} * {weight} + {cov[k]} * (1 - {weight}))" for k in _TRIANGLE}
+    scatter = [f"{cov[i, j]} + {rules.floor**2 if i == j else 0.0}D" for i, j in _TRIANGLE]
+    return cut(_factored(cut(est.selectExpr("_g", "_s", f"array({', '.join(mean)}) as _m", f"array({', '.join(scatter)}) as _v"))))
+
+
+def _factored(est: DataFrame) -> DataFrame:
+    """est (_g, _s, mean _m, lower triangle _v of the scatter by rows) with _k, the inverse of its Cholesky factor, and _det, its log determinant."""
+    places = ", ".join(f"struct({i} as i, {j} as j)" for i, j in _TRIANGLE)
+    at = lambda x, i, j: f"get({x}, cast({i} * ({i} + 1) / 2 as int) + {j})"
+    upto = lambda keep: f"filter(sequence(0, {_P - 1}), m -> {keep})"
+    left = f"aggregate({upto('m < x.j')}, {at('_v', 'x.i', 'x.j')}, (t, m) -> t - {at('l', 'x.i', 'm')} * {at('l', 'x.j', 'm')})"
+    factor = f"(l, x) -> array_append(l, if(x.i = x.j, sqrt(greatest({left}, 1e-9D)), {left} / {at('l', 'x.j', 'x.j')}))"
+    est = est.withColumn("_l", F.expr(f"aggregate(array({places}), cast(array() as array<double>), {factor})"))
+    inner = f"aggregate({upto('m < x.i and m >= x.j')}, 0D, (t, m) -> t + {at('_l', 'x.i', 'm')} * {at('k', 'm', 'x.j')})"
+    inverse = f"(k, x) -> array_append(k, if(x.i = x.j, 1 / {at('_l', 'x.i', 'x.i')}, - {inner} / {at('_l', 'x.i', 'x.i')}))"
+    inverse = F.expr(f"aggregate(array({places}), cast(array() as array<double>), {inverse})")
+    det = reduce(lambda a, b: a + b, [2 * F.log(F.get("_l", F.lit(i * (i + 1) // 2 + i))) for i in range(_P)])
+    return est.select("_g", "_s", "_m", inverse.alias("_k"), det.alias("_det"))
+
+
+def _distances(rows: DataFrame, est: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows, once for each estimate of their group, with _d, the squared Mahalanobis distance."""
+    df = rows.join(F.broadcast(est) if few else est.hint("merge"), "_g", how)
+    x = [f"({FEATURES[i]} / {_UNIT} - get(_m, {i}))" for i in range(_P)]
+    y = ["(" + " + ".join(f"get(_k, {i * (i + 1) // 2 + j}) * {x[j]}" for j in range(i + 1)) + ")" for i in range(_P)]
+    return df.withColumn("_d", F.expr(" + ".join(f"{v} * {v}" for v in y))).drop("_m", "_k", "_det")
+
+
+def _edges(dist: DataFrame, by: list[str], share: float) -> DataFrame:
+    """By the given columns: _h, the upper edge of the bucket of distances up to which at least the share of rows lie."""
     b = F.floor(F.log2(F.greatest(F.col("_d"), F.lit(1e-3))) * _FINE)
-    counts = dist.groupBy("_g", b.alias("_b")).agg(F.count("*").alias("_c"))
-    ranked = counts.select("*", F.sum("_c").over(W.partitionBy("_g").orderBy("_b")).alias("_at"), F.sum("_c").over(W.partitionBy("_g")).alias("_all"))
-    return ranked.filter(F.col("_at") >= F.col("_all") * share).groupBy("_g").agg(F.min("_b").alias("_b")).withColumn("_h", F.pow(F.lit(2.0), (F.col("_b") + 1) / _FINE))
-
-
-def _estimate(dist: DataFrame, near: DataFrame, rules: Rules) -> DataFrame:
-    """Mean and covariance of each group's rows at distances up to near's edge."""
-    inner = join_small(dist, near, ["_g"]).filter(F.col("_d") < F.col("_h"))
-    sums = inner.groupBy("_g").agg(
-        F.count("*").alias("_n"),
-        *[F.sum(FEATURES[i]).alias(f"a{i}") for i in range(_P)],
-        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)],
-    )
-    mean = [F.col(f"a{i}") / F.col("_n") / _UNIT for i in range(_P)]
-    return sums.select(
-        "_g",
-        *[mean[i].alias(f"m{i}") for i in range(_P)],
-        *[
-            (F.col(f"q{i}{j}") / F.col("_n") / (_UNIT * _UNIT) - mean[i] * mean[j] + (rules.floor**2 if i == j else 0.0)).alias(f"s{i}{j}")
-            for i in range(_P)
-            for j in range(i + 1)
-        ],
-    )
+    counts = dist.groupBy(*by, b.alias("_b")).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*by)
+    ranked = counts.select("*", F.sum("_c").over(w.orderBy("_b")).alias("_at"), F.sum("_c").over(w).alias("_all"))
+    return ranked.filter(F.col("_at") >= F.col("_all") * share).groupBy(*by).agg(F.pow(F.lit(2.0), (F.min("_b") + 1) / _FINE).alias("_h"))
 
 
-#: Quantile at 0.75 of the squared length of a standard normal vector with six parts: where the share's edge should be.
-_EXPECTED = 7.84
+def _concentrated(fit: DataFrame, est: DataFrame, rules: Rules, few: bool) -> DataFrame:
+    """Sums of the rows that lie nearest to each estimate of their group: one concentration step."""
+    near = _edges(_distances(fit, est, few), ["_g", "_s"], rules.share)
+    return cut(_sums(_distances(fit, est.join(near, ["_g", "_s"]), few).filter(F.col("_d") < F.col("_h"))))
+
+
+def _fitted(fit: DataFrame, rules: Rules, few: bool) -> DataFrame:
+    """The estimate of each group, by concentration from three starts."""
+    scales = _scales(fit)
+    scale = [F.greatest(1.4826 * F.col(f"_dev{k}") / _UNIT, F.lit(rules.floor)) for k in range(_P)]
+    scales = cut(scales.select("_g", *[(F.col(f"_mid{k}") / _UNIT).alias(f"m{k}") for k in range(_P)], *[scale[k].alias(f"c{k}") for k in range(_P)]))
+    diagonal = F.array(*[F.pow(f"c{i}", F.lit(2)) if i == j else F.lit(0.0) for i, j in _TRIANGLE])
+    diagonal = scales.select("_g", F.lit(0).alias("_s"), F.array(*[f"m{k}" for k in range(_P)]).alias("_m"), diagonal.alias("_v"))
+    rows = fit.join(F.broadcast(scales) if few else scales.hint("merge"), "_g")
+    far = reduce(lambda a, b: a | b, [F.abs(F.col(FEATURES[k]) / _UNIT - F.col(f"m{k}")) > rules.trim * F.col(f"c{k}") for k in range(_P)])
+    starts = rows.select("_lang", "_g", *FEATURES, F.explode(F.when(far, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("_s"))
+    est = cut(_factored(diagonal)).unionByName(_estimates(cut(_sums(starts)), rules))
+    for _ in range(2):
+        est = _estimates(_concentrated(fit, est, rules, few), rules)
+    # Of starts with equal determinants the first goes on.
+    best = est.groupBy("_g").agg(F.min(F.struct(F.round("_det", 9).alias("d"), F.col("_s")))["_s"].alias("_s"))
+    est = cut(est.join(best, ["_g", "_s"]).withColumn("_s", F.lit(0)))
+    for _ in range(rules.steps - 2):
+        new = _estimates(_concentrated(fit, est, rules, few), rules)
+        moved = new.join(est.select("_g", F.col("_det").alias("_was")), "_g").filter(F.abs(F.col("_det") - F.col("_was")) > rules.tolerance)
+        est, still = new, moved.isEmpty()
+        if still:
+            break
+    return est
+
+
+def _expected(share: float) -> float:
+    """Quantile of the squared length of a standard normal vector of _P parts (Wilson and Hilferty's approximation)."""
+    return _P * (1 - 2 / (9 * _P) + NormalDist().inv_cdf(share) * (2 / (9 * _P)) ** 0.5) ** 3
 
 
 def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", source: str = "source", row: str = "doc_id") -> DataFrame:
     """One row per row of df: row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     Null texts have no words and fail the base rule. Null languages and sources are groups of their own. Rows that fail
-    the base rule take no part in the estimates. Repeated rows are judged alike and each returned. An empty table gives
-    an empty result. Other columns of df are not read.
+    the base rule take no part in the estimates; where all rows of a group fail it, distance is null. Repeated rows are
+    judged alike and each returned. An empty table gives an empty result. Other columns of df are not read.
     """
     base = df.select(F.col(row).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang0"), F.col(source).alias("_source0"))
     base = with_counts(base, "_text")
     stats = base.select(
-        "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _name("_lang0").alias("_lang"), _name("_source0").alias("_source"), *_features()
+        "_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _name("_lang0").alias("_lang"), F.concat_ws("\x1f", _name("_lang0"), _name("_source0")).alias("_g"), *_features()
     ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")))
     stats = cut(stats)
-    stats, sizes = _grouped(stats, rules)
-    # A row whose group has no estimate failed the base rule itself.
-    fit = stats.filter(~F.col("base_failed")).select("_g", *FEATURES)
-    est = cut(_cholesky(_start(fit, rules)))
-    for _ in range(rules.steps):
-        dist = _distances(fit, est)
-        near = cut(_nearest(dist, sizes, rules.share))
-        est = cut(_cholesky(_estimate(dist, near, rules)))
-    near = cut(_nearest(_distances(fit, est), sizes, rules.share))
-    judged = join_small(_distances(stats, est), near.select("_g", "_h"), ["_g"])
-    scaled = F.col("_d") * _EXPECTED / F.greatest(F.col("_h"), F.lit(_EXPECTED / 4))
-    judged = judged.withColumn("distance", F.round(scaled, 6))
+    fit = stats.filter(~F.col("base_failed")).select("_lang", "_g", *FEATURES)
+    few = stats.select("_g").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    est = _fitted(fit, rules, few)
+    dist = cut(_distances(fit, est, few).select("_lang", "_g", "_d"))
+    # The edge, too, is weighed with the language's.
+    sizes = dist.groupBy("_lang", "_g").agg(F.count("*").alias("_n"))
+    edges = _edges(dist, ["_g"], rules.share).join(sizes, "_g").join(_edges(dist, ["_lang"], rules.share).withColumnRenamed("_h", "_up"), "_lang")
+    weight = F.col("_n") / (F.col("_n") + rules.prior_rows)
+    edges = edges.select("_g", F.exp(weight * F.log("_h") + (1 - weight) * F.log("_up")).alias("_h"))
+    judged = _distances(stats, cut(est.join(edges, "_g")), few, "left")
+    expected = _expected(rules.share)
+    judged = judged.withColumn("distance", F.round(F.col("_d") * expected / F.greatest(F.col("_h"), F.lit(expected / 4)), 6))
     return judged.select(
         F.col("_id").alias(row), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & (F.col("distance") <= rules.cut)).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(F.col("distance") <= rules.cut, F.lit(False))).alias("kept"),
     )
