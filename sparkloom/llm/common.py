@@ -92,6 +92,12 @@ def word_array(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WS + "+"))
 
 
+def stretch(text: str, number: str, chars: int) -> Column:
+    """text, or of a longer one so many characters, from a place that the column number chooses."""
+    spare = F.greatest(F.char_length(text) - chars, F.lit(0))
+    return F.substring(F.col(text), (F.pmod(F.col(number), (spare + 1).cast("long")) + 1).cast("int"), F.lit(chars)).alias(text)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

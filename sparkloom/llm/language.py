@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import crc_mod, cut, join_small, map_rows
+from .common import crc_mod, cut, join_small, map_rows, stretch
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -29,8 +29,8 @@ _LONG = 32  # letters; longer words are summed with rescaling
 
 @dataclass(frozen=True)
 class Identify:
-    """sample_docs: texts a language is learned from, at most, none longer than sample_chars. rounds: of expectation
-    maximisation. smooth: added counts.
+    """sample_docs: texts a language is learned from, at most; of a longer one a stretch of sample_chars, anywhere in it.
+    rounds: of expectation maximisation. smooth: added counts.
 
     vocabulary: a sentencepiece model file, read by the driver only. memory: words a worker remembers.
     """
@@ -228,14 +228,14 @@ class Languages:
 
 
 def learn(samples: list[tuple[str, str]], p: Identify = Identify()) -> Languages:
-    """Models from (language, text) pairs."""
+    """Models from (language, text) pairs. Words of _LONG letters and more teach in parts below that length."""
     pieces = load_pieces(p.vocabulary)
     names = sorted({lang for lang, _ in samples})
     counts: dict[str, np.ndarray] = {}
     for lang, text in samples:
         for w, c in Counter(_LETTERS.findall(text.lower())).items():
-            if len(w) < _LONG:
-                counts.setdefault(w, np.zeros(len(names)))[names.index(lang)] += c
+            for part in (w[i : i + _LONG - 1] for i in range(0, len(w), _LONG - 1)):
+                counts.setdefault(part, np.zeros(len(names)))[names.index(lang)] += c
     n = len(pieces) + 1
     probs = np.full((n, len(names)), 1.0 / n)
     model = Languages(names, pieces, probs, p.memory)
@@ -254,7 +254,7 @@ def _sample(df: DataFrame, p: Identify) -> list[tuple[str, str]]:
 
     Only languages and hashes are ranked; then the texts of the chosen hashes are fetched.
     """
-    rows = df.filter((crc_mod(F.col("_row"), 3) != 1) & F.col("_lang").isNotNull() & (F.char_length("_text") <= p.sample_chars))
+    rows = df.filter((crc_mod(F.col("_row"), 3) != 1) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     sizes = cut(rows.groupBy("_lang").agg(F.count("*").alias("_n")))
     rows = rows.withColumn("_h", F.xxhash64("_row", "_text"))
     hashed = F.pmod("_h", F.lit(1_000_000)) / 1_000_000
@@ -262,7 +262,7 @@ def _sample(df: DataFrame, p: Identify) -> list[tuple[str, str]]:
     ranked = some.select("_lang", "_h").distinct().withColumn("_k", F.row_number().over(W.partitionBy("_lang").orderBy("_h")))
     marks = cut(ranked.filter(F.col("_k") <= p.sample_docs).select("_lang", "_h"))
     found = join_small(rows.select("_lang", "_h", "_text"), marks, ["_lang", "_h"], "inner").dropDuplicates(["_lang", "_h"])
-    return sorted((r[0], r[1]) for r in found.select(F.col("_lang").cast("string"), "_text").collect())
+    return sorted((r[0], r[1]) for r in found.select(F.col("_lang").cast("string"), stretch("_text", "_h", p.sample_chars)).collect())
 
 
 def identify(df: DataFrame, p: Identify = Identify(), text: str = "text", lang: str = "lang", row: str = "doc_id") -> DataFrame:
