@@ -92,9 +92,9 @@ def test_long_words_and_long_texts_teach(spark):
     rnd = random.Random(2)
     word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
     samples = [(lang, " ".join(word(letters, 70) for _ in range(20))) for lang, letters in (("a", "abcde"), ("b", "vwxyz")) for _ in range(5)]
-    names, _ = language.learn(samples).predict([word("abcde", 50), word("vwxyz", 12)])
+    names, _ = L.learn(samples).predict([word("abcde", 50), word("vwxyz", 12)])
     assert names == ["a", "b"]
     rows = [(i, " ".join(word("abcde" if i % 2 else "vwxyz", 6) for _ in range(3000)), "a" if i % 2 else "b") for i in range(24)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language.identify(df, language.Identify(sample_chars=500)).collect()
+    got = L.identify(df, L.Identify(sample_chars=500)).collect()
     assert all(r.lang_pred == rows[r.doc_id][2] for r in got)
