@@ -12,34 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, mixing, quality_rules, secret_scan, simhash
-from sparkloom.llm.common import content_key, drop, same_key, shared_dir, table
+from sparkloom.llm.common import content_key, cut, drop, shared_dir, split_rows, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows are told apart by id, text, language and source, from which verdicts follow."""
+    """Documents that the quality rules keep. Rows are told apart by id, text, language and source, from which verdicts follow.
+
+    Null, empty and short texts go, as the base rule has it; long ones are judged whole; repeated rows share their verdict.
+    """
     key = content_key("doc_id", "text", "lang", "source")
     slim = docs.select("text", "lang", "source", key.alias("_key"))
-    gone = quality_rules.judge(slim, row="_key").filter(~F.col("kept")).select(F.col("_key").alias("_gone"))
-    return docs.join(gone, same_key(key, F.col("_gone")), "left_anti")
+    gone = quality_rules.judge(slim, row="_key").filter(~F.col("kept")).select("_key").distinct()
+    return split_rows(docs, key, cut(gone))[1]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document with an id, and one without, of every near-duplicate group."""
+    """One document of every near-duplicate group: of the least id (null last), of repeated rows one.
+
+    Null and empty texts are one group; texts of any length are compared whole.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated, without the long benchmark passages some still hold."""
+    """Documents that aren't contaminated, without the long benchmark passages some still hold.
+
+    Null and empty texts stay as they are; rows are judged one by one, whatever their ids.
+    """
     return _recounted(docs, decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked; null and empty texts as they are, repeated rows alike."""
     return _recounted(docs, secret_scan.redact(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row for each copy."""
+    """The documents that the mix takes, a row for each copy. Texts without words have no part in any target."""
     return mixing.repeat(docs)
 
 
