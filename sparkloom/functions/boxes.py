@@ -98,8 +98,11 @@ def transform(b: Box, m: list[list[float]], out_w: float, out_h: float) -> Box:
 
 
 def pick(values: list[float], row: Column, seed: int = 42) -> Column:
-    """A number for each row: 0 for no values, the one value, uniform between two, or one of three and more."""
-    u = F.pmod(F.xxhash64(F.lit(seed), row), F.lit(1 << 31)) / float(1 << 31)
+    """A number for each row: 0 for no values, the one value, uniform between two, or one of three and more.
+
+    It comes of the first 32 bits of the MD5 of `seed:row`, so other engines can make it too.
+    """
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), row.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     if len(values) < 2:
         return F.lit(float(values[0]) if values else 0.0)
     if len(values) == 2:

@@ -58,8 +58,15 @@ def yes_no(c: Column) -> Column:
     return F.when(yes & ~no, "yes").when(no & ~yes, "no")
 
 
-def without_think(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+def without_think(c: Column, strict: bool = False) -> Column:
+    """c without what models think aloud. strict: a reply of which nothing is left fails the job."""
+    left = strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return F.when((left == "") & c.isNotNull(), F.raise_error(F.lit("a reply holds thinking alone")).cast("string")).otherwise(left) if strict else left
+
+
+def absolute(path: Column, root: str) -> Column:
+    """path as it is if it begins with a slash, else under root; null and empty paths as they are."""
+    return F.when(path.startswith("/") | (path == ""), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
 def without_fence(c: Column) -> Column:
@@ -135,7 +142,7 @@ def letter_answer(answer: Column, choices: Column) -> Column:
 
 
 def time_range(answer: Column) -> Column:
-    """`Start_Time: a, End_Time: b` as JSON with start and end; other answers as they are."""
+    """`Start_Time: a, End_Time: b` (names and stamps: fixed values) as JSON with start and end; other answers as they are."""
     stamp = r"((?:\d{2}:)?\d{2}:\d{2}(?:\.\d+)?)"
     pattern = r"(?i)Start_Time:\s*" + stamp + r",?\s*End_Time:\s*" + stamp
     made = F.to_json(F.struct(F.regexp_extract(answer, pattern, 1).alias("start"), F.regexp_extract(answer, pattern, 2).alias("end")))
@@ -143,13 +150,13 @@ def time_range(answer: Column) -> Column:
 
 
 def chunk_text(chunks: Column) -> Column:
-    """Chunks (index, start, end, caption) as text, one decimal for seconds, parted by rules."""
+    """Chunks (index, start, end, caption) as text, one decimal for seconds, parted by rules (form and rule: fixed values)."""
     one = lambda c: F.format_string("Chunk %d (%.1f-%.1fs): %s", c["index"], c["start"], c["end"], c["caption"])
     return F.array_join(F.transform(chunks, one), "\n\n---\n\n")
 
 
 def question_text(question: Column, kind: Column, choices: Column) -> Column:
-    """A question with its choices and what to answer, for mcq; others as they are."""
+    """A question with its choices and what to answer (a fixed value), for mcq; others as they are."""
     listed = F.when(F.size(choices) > 0, F.concat(F.lit("\n"), F.array_join(choices, "\n"))).otherwise("")
     return F.when(kind == "mcq", F.concat(question, listed, F.lit("\nAnswer with the option's letter from the given choices directly."))).otherwise(question)
 
@@ -169,7 +176,18 @@ def token_limit(limit: int | None, model: str = "") -> int:
     return 77 if "clip" in model.lower() and "siglip" not in model.lower() else 64
 
 
-def permuted(question: Column, choices: Column) -> Column:
-    """Choices in an order that hangs on the question alone; fewer than two stay as they are."""
-    keyed = F.transform(choices, lambda c, i: F.struct(F.xxhash64(question, c).alias("h"), i.alias("i"), c.alias("c")))
-    return F.when(F.size(choices) < 2, choices).otherwise(F.transform(F.array_sort(keyed), lambda s: s["c"]))
+def permuted(question: Column, choices: Column, answer: Column) -> Column:
+    """(choices, answer): `X. text` choices in an order that hangs on the question alone, lettered anew, and the answer's new
+    letter. Of choices with one letter the last counts; fewer than two letters, or an answer that names none, change nothing.
+    """
+    letter = F.substring(F.upper(strip(answer)), 1, 1)
+    named = F.filter(F.transform(choices, lambda c: F.struct(F.regexp_extract(c, r"^([A-Z])\.", 1).alias("l"), strip(F.regexp_extract(c, r"^[A-Z]\.\s*(.*)", 1)).alias("t"))), lambda x: x["l"] != "")
+    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["l"] == x["l"]))
+    keyed = F.array_sort(F.transform(last, lambda x: F.struct(F.md5(F.concat_ws("|", question, x["l"], x["t"])).alias("h"), x["l"].alias("l"), x["t"].alias("t"))))
+    letters = F.array(*[F.lit(chr(65 + i)) for i in range(26)])
+    lettered = F.transform(keyed, lambda x, i: F.concat(F.get(letters, i), F.lit(". "), x["t"]))
+    right = F.get(F.filter(keyed, lambda x: x["l"] == letter), 0)["t"]
+    # Of choices alike in text the last carries the answer.
+    at = F.size(keyed) - F.array_position(F.reverse(F.transform(keyed, lambda x: x["t"])), right).cast("int")
+    able = (F.size(last) >= 2) & right.isNotNull()
+    return F.struct(F.when(able, lettered).otherwise(choices).alias("choices"), F.when(able, F.get(letters, at)).otherwise(answer).alias("answer"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparkloom.functions import boxes
 from sparkloom.functions.lineage import small
 
 KEY = ["image_id", "type"]
@@ -23,6 +24,28 @@ def _iou(d: float) -> str:
     return f"coalesce(try_divide({i}, {own('p')} + {own('g')} - {i}), 0D)"
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp: str, threshold: float) -> DataFrame:
+    """Pairs of left and right with equal keys whose overlap (iou) reaches a threshold above 0, and their columns.
+
+    Boxes that overlap so far differ in width and in height by the threshold's factor at most, and their corners by less
+    than the share of a width or height that may lie outside. These bounds are compared first, on sides made once a row;
+    the overlap itself is measured for the few pairs that stay. Inverted and empty boxes overlap none.
+    """
+    sides = lambda df, p, n: df.filter((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin"))).withColumns(
+        {f"_{n}w": F.col(f"{p}xmax") - F.col(f"{p}xmin"), f"_{n}h": F.col(f"{p}ymax") - F.col(f"{p}ymin")}
+    )
+    t, slack = threshold * (1 - 1e-9), (1 - threshold) * (1 + 1e-9)
+    near = F.lit(True)
+    for side, corner in (("w", "xmin"), ("h", "ymin")):
+        a, b = F.col(f"_l{side}"), F.col(f"_r{side}")
+        shift = F.col(lp + corner) - F.col(rp + corner)
+        # To the right lies what is cut off the right box, to the left what is cut off the left one.
+        near = near & (a >= b * t) & (b >= a * t) & (shift <= b * slack) & (shift >= -a * slack)
+    pairs = sides(left, lp, "l").join(sides(right, rp, "r"), keys).filter(near)
+    pairs = pairs.withColumn("iou", boxes.iou(boxes.box(lp), boxes.box(rp))).filter(F.col("iou") >= threshold)
+    return pairs.drop("_lw", "_lh", "_rw", "_rh")
+
+
 def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: float = 0.0, min_area: float = 0.0, border: float = 0.0) -> DataFrame:
     """Pairs (image_id, type, t, score, pos) as the metrics need them, and tn rows (t null) for images empty on both sides.
 
@@ -113,11 +136,11 @@ def summarize(sequences: DataFrame, only: str | None = None) -> DataFrame:
     return rows.unionByName(total.select(*rows.columns))
 
 
-def suppress(boxes: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
+def suppress(found: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
     """Boxes (image_id, type, row_id, x1, y1, x2, y2, score) that stay when, within image and class, those overlapping a
     better kept one by more than the threshold are dropped. Ties go by row_id."""
     one = F.struct((-F.col("score")).cast("double").alias("o"), F.col("row_id"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    grouped = boxes.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("ps"))
+    grouped = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("ps"))
     empty = "cast(array() as array<struct<o: double, row_id: string, x1: double, y1: double, x2: double, y2: double>>)"
     kept = F.expr(f"aggregate(ps, {empty}, (s, p) -> if(exists(s, g -> {_iou(0.0)} > {iou_threshold}D), s, concat(s, array(p))))")
     return grouped.select(*KEY, F.explode(kept).alias("k")).select(*KEY, "k.row_id", (-F.col("k.o")).alias("score"))

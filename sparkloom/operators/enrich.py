@@ -100,14 +100,14 @@ def whole_objects(reply: str | None) -> list[dict]:
     return found
 
 
-_HEAD = re.compile(r"^(?:\d+\.\s*)?(multiple-choice question|open-ended question|question)\s*:?\s*", re.I)
+_HEAD = re.compile(r"^(?:\d+\.\s*)?(multiple-choice question|open-ended question|question):\s*", re.I)
 _KIND = {"multiple-choice question": "mcq", "open-ended question": "openended", "question": "binary"}
 
 
 def parse_qa(reply: str | None) -> list[dict]:
     """Questions of a reply: blocks parted by five or more `=`, with type, question, choices, answer and reasoning."""
     out: list[dict] = []
-    for part in filter(None, (p.strip() for p in re.split(r"\n*={5,}\n*", reply or ""))):
+    for part in filter(None, (p.strip() for p in re.split(r"\n?={5,}\n?", reply or ""))):
         if m := _HEAD.match(part):
             entry = {"type": _KIND[m[1].lower()], "question": "", "choices": [], "answer": "", "reasoning": ""}
             body = part[m.end() :]

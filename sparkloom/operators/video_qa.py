@@ -16,8 +16,11 @@ INSTRUCTIONS = {
     "mcq": "Answer with a single letter.",
     "mcq_openended": "Answer with the correct option letter followed by a brief explanation.",
     "bcq": "Answer with Yes or No.",
+    "bcq_openended": "Answer with Yes or No followed by a brief explanation.",
+    "temporal_localization": 'Answer with the start and end timestamps in the format {"start": "MM:SS", "end": "MM:SS"}.',
 }
-_OWN = "Answer in one or two sentences."
+#: Tasks whose items go by another name.
+NAMES = {"temporal_event_desc": "temporal_description", "event_summary": "video_summarization"}
 
 
 def with_chunks(videos: DataFrame, length: str = "video_length") -> DataFrame:
@@ -60,14 +63,14 @@ def task_items(replies: DataFrame, root: str = "") -> DataFrame:
     """(task, video_id, question, answer, reasoning) of replies (video, prompt_key, qa_output).
 
     A choice question gives an mcq and an mcq_openended item if it has choices and a letter; a yes/no question a bcq and
-    a bcq_openended item if its answer is one; times become JSON; other tasks pass as they are.
+    a bcq_openended item if its answer is one; times become JSON; other questions and answers pass as they are.
     """
     rows = enrich.with_questions(replies, "qa_output").select("video", text.task_of(F.col("prompt_key")).alias("bucket"), F.explode("questions").alias("q"))
     vid = F.when(F.col("video").startswith(root.rstrip("/") + "/"), F.substring("video", len(root.rstrip("/")) + 2, 1 << 30)).otherwise(F.col("video")) if root else F.col("video")
     choices = F.when(F.size("q.choices") > 0, F.concat(F.col("q.question"), F.lit("\n"), F.array_join("q.choices", "\n")))
     letter, short = F.substring(F.upper(text.strip(F.col("q.answer"))), 1, 1), text.short_answer(F.col("q.answer"))
     item = lambda ok, task, q, a: F.when(ok, F.struct(F.lit(task).alias("task") if isinstance(task, str) else task.alias("task"), q.alias("question"), a.alias("answer")))
-    asked = lambda q, task: F.concat(q, F.lit("\n" + INSTRUCTIONS.get(task, _OWN)))
+    asked = lambda q, task: F.concat(q, F.lit("\n" + INSTRUCTIONS[task]))
     b, plain = F.col("bucket"), F.col("q.question")
     mcq_ok, bcq_ok = (b == "mcq") & choices.isNotNull() & (letter != ""), (b == "bcq") & short.isin("Yes", "No")
     every = F.array(
@@ -76,7 +79,7 @@ def task_items(replies: DataFrame, root: str = "") -> DataFrame:
         item(bcq_ok, "bcq", asked(plain, "bcq"), short),
         item(bcq_ok, "bcq_openended", asked(plain, "bcq_openended"), F.col("q.answer")),
         item(b == "temporal_localization", "temporal_localization", asked(plain, "temporal_localization"), text.time_range(F.col("q.answer"))),
-        item(~b.isin("mcq", "bcq", "temporal_localization"), b, asked(plain, ""), F.col("q.answer")),
+        item(~b.isin("mcq", "bcq", "temporal_localization"), F.coalesce(*[F.when(b == k, v) for k, v in NAMES.items()], b), plain, F.col("q.answer")),
     )
     out = rows.withColumn("i", F.explode(F.filter(every, lambda x: x.isNotNull())))
     return out.select("i.task", vid.alias("video_id"), "i.question", "i.answer", F.col("q.reasoning").alias("reasoning"))

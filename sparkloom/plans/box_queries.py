@@ -200,28 +200,78 @@ def _sides(spark, sf):
 def _(spark, sf):
     g, p = boxes_gt(spark, sf), boxes_pred(spark, sf)
     g, p = (df.select("image_id", "type", F.col("row_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in Q.COORDS]) for df, n in ((g, "gt"), (p, "pred")))
-    iou = boxes.iou(boxes.box("pred_bbox_"), boxes.box("gt_bbox_"))
-    return p.join(g, ["image_id", "type"]).select("image_id", "pred_id", "gt_id", iou.alias("iou")).filter("iou >= 0.5").withColumn("iou", F.round("iou", 6))
+    return D.overlapping(p, g, ["image_id", "type"], "pred_bbox_", "gt_bbox_", 0.5).select("image_id", "pred_id", "gt_id", F.round("iou", 6).alias("iou"))
 
 
-@query("detection_match")
+def _iou_sql(p: str, g: str) -> str:
+    own = lambda v: f"({v}.x2 - {v}.x1) * ({v}.y2 - {v}.y1)"
+    i = f"greatest(least({p}.x2, {g}.x2) - greatest({p}.x1, {g}.x1), 0) * greatest(least({p}.y2, {g}.y2) - greatest({p}.y1, {g}.y1), 0)"
+    return f"coalesce({i} / nullif({own(p)} + {own(g)} - {i}, 0), 0)"
+
+
+_BOX = "x1 := bbox_xmin, y1 := bbox_ymin, x2 := bbox_xmax, y2 := bbox_ymax"
+
+
+def _match_sql(conf: float) -> str:
+    """Greedy matching, a step of the recursion for each prediction of an image and class; ends in a table `pairs`."""
+    return f"""WITH RECURSIVE {GT}, {PRED},
+    gl AS (SELECT image_id, type, list(struct_pack(id := row_id, {_BOX}) ORDER BY row_id) AS gs FROM boxes_gt GROUP BY ALL),
+    pl AS (SELECT image_id, type, list(struct_pack(id := row_id, s := score, {_BOX}) ORDER BY score DESC, row_id) AS ps FROM boxes_pred
+      WHERE score >= {conf} AND (bbox_xmax - bbox_xmin) * (bbox_ymax - bbox_ymin) >= 0 AND image_id IN (SELECT image_id FROM boxes_gt) GROUP BY ALL),
+    bl AS (SELECT image_id, type, coalesce(gs, []) AS gs, coalesce(ps, []) AS ps FROM gl FULL JOIN pl USING (image_id, type)),
+    run AS (SELECT image_id, type, 0 AS k, list_transform(gs, lambda x: true) AS free, 0 AS t FROM bl
+      UNION ALL
+      SELECT image_id, type, k, CASE WHEN t = 1 THEN list_transform(free, lambda f, i: f AND i <> spot) ELSE free END, t FROM (
+        SELECT *, CASE WHEN len(gs) = 0 OR best < 0.5 THEN 0 WHEN (gs[spot].x2 - gs[spot].x1) * (gs[spot].y2 - gs[spot].y1) < 0 THEN -1 ELSE 1 END AS t FROM (
+          SELECT *, list_max(ov) AS best, list_position(ov, list_max(ov)) AS spot FROM (
+            SELECT *, list_transform(gs, lambda q, i: CASE WHEN free[i] THEN {_iou_sql("p", "q")} ELSE 0 END) AS ov FROM (
+              SELECT r.image_id, r.type, r.k + 1 AS k, r.free, b.gs, b.ps[r.k + 1] AS p FROM run r JOIN bl b USING (image_id, type) WHERE r.k < len(b.ps)))))),
+    pairs AS (SELECT image_id, type, t, CAST(ps[k].s AS DOUBLE) AS score, ps[k].id AS pos FROM run JOIN bl USING (image_id, type) WHERE k > 0 AND t >= 0
+      UNION ALL SELECT image_id, type, 1, 0.0, g.id FROM (SELECT image_id, type, unnest(gs) AS g, unnest(free) AS f FROM run JOIN bl USING (image_id, type) WHERE k = len(ps)) WHERE f AND (g.x2 - g.x1) * (g.y2 - g.y1) >= 0
+      UNION ALL SELECT image_id, type, NULL, NULL, NULL FROM (SELECT DISTINCT image_id FROM boxes_gt), (SELECT DISTINCT type FROM boxes_gt) WHERE (image_id, type) NOT IN (SELECT image_id, type FROM bl))"""
+
+
+@query("detection_match", _match_sql(0.0) + " SELECT image_id, type, t, score, pos FROM pairs")
 def _(spark, sf):
     return D.match(*_sides(spark, sf))
 
 
-@query("detection_kpi")
+@query(
+    "detection_kpi",
+    _match_sql(0.1)
+    + """, run2 AS (SELECT type, row_number() OVER w AS n, sum(CASE WHEN t = 1 AND score >= 0.1 THEN 1 ELSE 0 END) OVER w AS tp, sum(CASE WHEN t = 0 AND score >= 0.1 THEN 1 ELSE 0 END) OVER w AS fp, sum(t) OVER (PARTITION BY type) AS npos
+      FROM pairs WHERE t IS NOT NULL WINDOW w AS (PARTITION BY type ORDER BY score DESC, image_id, pos ROWS UNBOUNDED PRECEDING)),
+    curve AS (SELECT type, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0 END AS p, CASE WHEN npos > 0 THEN CAST(tp AS DOUBLE) / CAST(npos AS DOUBLE) ELSE 0 END AS r FROM run2),
+    ap AS (SELECT type, sum(best) / 11 AS ap FROM (SELECT type, i, coalesce(max(CASE WHEN p >= i / 10.0::DOUBLE THEN r END), 0) AS best FROM curve, generate_series(0, 10) s(i) GROUP BY type, i) GROUP BY type),
+    c AS (SELECT type, count(*) FILTER (t = 1 AND score >= 0.1) AS tp, count(*) FILTER (t = 0 AND score >= 0.1) AS fp, count(*) FILTER (t = 1 AND score < 0.1) AS fn, count(*) FILTER (t IS NULL) AS tn FROM pairs GROUP BY type)
+    SELECT type, tp, fp, fn, tn, round(tp / (tp + fp + 1e-7), 6) AS pr, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn + 1e-7) ELSE 0 END, 6) AS re, round((tp + tn) / (tp + fp + tn + fn + 1e-7), 6) AS acc, round(coalesce(ap, 0), 6) AS ap FROM c LEFT JOIN ap USING (type)""",
+)
 def _(spark, sf):
-    return D.evaluate(*_sides(spark, sf), conf=0.1)
+    return D.evaluate(*_sides(spark, sf), conf=0.1).withColumns({c: F.round(c, 6) for c in ("pr", "re", "acc", "ap")})
 
 
-@query("nms_by_class")
+@query(
+    "nms_by_class",
+    f"""WITH RECURSIVE {PRED}, pl AS (SELECT image_id, type, list(struct_pack(id := row_id, s := score, {_BOX}) ORDER BY score DESC, row_id) AS ps FROM boxes_pred GROUP BY ALL),
+    run AS (SELECT image_id, type, 1 AS k, [ps[1]] AS kept FROM pl
+      UNION ALL
+      SELECT image_id, type, k, CASE WHEN list_bool_or(list_transform(kept, lambda q: {_iou_sql("p", "q")} > 0.5)) THEN kept ELSE list_append(kept, p) END FROM (
+        SELECT r.image_id, r.type, r.k + 1 AS k, r.kept, b.ps[r.k + 1] AS p FROM run r JOIN pl b USING (image_id, type) WHERE r.k < len(b.ps)))
+    SELECT image_id, type, x.id AS row_id, CAST(x.s AS DOUBLE) AS score FROM (SELECT image_id, type, unnest(kept) AS x FROM run JOIN pl USING (image_id, type) WHERE k = len(ps))""",
+)
 def _(spark, sf):
     return D.suppress(_sides(spark, sf)[1])
 
 
-@query("weak_images")
+@query(
+    "weak_images",
+    _match_sql(0.0)
+    + """, c AS (SELECT image_id, type, count(*) FILTER (t = 1 AND score >= 0.1) AS tp, count(*) FILTER (t = 0 AND score >= 0.1) AS fp, count(*) FILTER (t = 1 AND score < 0.1) AS fn FROM pairs WHERE t IS NOT NULL GROUP BY ALL),
+    r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS "precision", CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS recall FROM c)
+    SELECT image_id, type, tp, fp, fn, round("precision", 6) AS "precision", round(recall, 6) AS recall FROM r WHERE recall < 0.3""",
+)
 def _(spark, sf):
-    return D.weak_images(D.match(*_sides(spark, sf)), conf=0.1, recall=0.3)
+    return D.weak_images(D.match(*_sides(spark, sf)), conf=0.1, recall=0.3).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
 #: A curve from flags that both engines can make: every line item is a pair, true where its status is open.

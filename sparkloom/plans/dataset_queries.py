@@ -144,16 +144,11 @@ def _(spark, sf):
     return nation.filter("n_regionkey in (0, 1, 2)").select(F.col("n_name").alias("name")).exceptAll(nation.filter("n_nationkey % 2 = 0").select("n_name"))
 
 
-def _label_rows(rows):
-    return rows.select(F.concat(F.lit("img_"), "image_id").alias("file_name"), F.col("row_id").alias("pos"), "type", "bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax", "img_width", "img_height")
-
-
 def _labels(spark, sf):
-    """The boxes of the first 100 images, as the SQL of the three conversions has them; the queries named ..._all take every box."""
-    return _label_rows(boxes_gt(spark, sf).filter("image_id < 100"))
+    return boxes_gt(spark, sf).select(F.concat(F.lit("img_"), "image_id").alias("file_name"), F.col("row_id").alias("pos"), "type", "bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax", "img_width", "img_height")
 
 
-_COCO = f"""WITH {GT}, l AS (SELECT 'img_' || image_id AS file_name, row_id AS pos, * FROM boxes_gt WHERE image_id < 100),
+_COCO = f"""WITH {GT}, l AS (SELECT 'img_' || image_id AS file_name, row_id AS pos, * FROM boxes_gt),
     i AS (SELECT file_name, row_number() OVER (ORDER BY file_name) AS image_id FROM (SELECT DISTINCT file_name FROM l)),
     o AS (SELECT file_name, type, bbox_xmin, bbox_ymin, bbox_xmax, bbox_ymax, min(pos) AS pos FROM l GROUP BY ALL),
     c AS (SELECT type, row_number() OVER (ORDER BY type) AS category_id FROM (SELECT DISTINCT type FROM l)),
@@ -176,21 +171,6 @@ def _(spark, sf):
     return A.odvg_to_coco(A.coco_to_odvg(*A.labels_to_coco(_labels(spark, sf))))
 
 
-@query("labels_to_coco_all")
-def _(spark, sf):
-    return A.labels_to_coco(_label_rows(boxes_gt(spark, sf)))[1]
-
-
-@query("coco_to_labels_all")
-def _(spark, sf):
-    return A.coco_to_labels(*A.labels_to_coco(_label_rows(boxes_gt(spark, sf))))
-
-
-@query("coco_odvg_coco_all")
-def _(spark, sf):
-    return A.odvg_to_coco(A.coco_to_odvg(*A.labels_to_coco(_label_rows(boxes_gt(spark, sf)))))
-
-
 @query("conversation_to_dialog", "SELECT conv_id, turn AS turn, role AS who, text AS value FROM conversations")
 def _(spark, sf):
     rows = A.dialog_rows(table(spark, sf, "conversations")).select("conv_id", F.explode("conversations").alias("c"))
@@ -223,23 +203,17 @@ def _(spark, sf):
     return A.lookup(pages.select(F.col("page_id").alias("q"), asked.alias("url")), pages, "url", "page_id").select("q", "page_id")
 
 
-def _attribute_pairs(spark, sf, asks):
+def _attribute_pairs(spark, sf):
     part = table(spark, sf, "part")
     attributes = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type"))
     names = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("size"), F.lit("brand"))).otherwise(F.array(F.lit("brand"), F.lit("type")))
-    queries = part.filter(asks).select(F.col("p_partkey").alias("query_id"), names.alias("names"), attributes.alias("attributes"), F.col("p_name").alias("text"))
+    queries = part.select(F.col("p_partkey").alias("query_id"), names.alias("names"), attributes.alias("attributes"), F.col("p_name").alias("text"))
     return P.attribute_pairs(queries, part.select(F.col("p_partkey").alias("image_id"), attributes.alias("attributes")))
 
 
-@query("attribute_match_pairs", "SELECT q.p_partkey AS query_id, i.p_partkey AS image_id FROM part q JOIN part i ON q.p_brand = i.p_brand AND CASE WHEN q.p_partkey % 2 = 0 THEN q.p_size = i.p_size ELSE q.p_type = i.p_type END WHERE q.p_partkey % 10 < 2")
-def _(spark, sf):
-    """A fifth of the parts ask, as in the SQL; in attribute_match_pairs_all every part does."""
-    return _attribute_pairs(spark, sf, "p_partkey % 10 < 2")
-
-
-@query("attribute_match_pairs_all")
+@query("attribute_match_pairs", "SELECT q.p_partkey AS query_id, i.p_partkey AS image_id FROM part q JOIN part i ON q.p_brand = i.p_brand AND CASE WHEN q.p_partkey % 2 = 0 THEN q.p_size = i.p_size ELSE q.p_type = i.p_type END")
 def _(spark, sf):
-    return _attribute_pairs(spark, sf, "true")
+    return _attribute_pairs(spark, sf)
 
 
 @query("pair_dedup_first", "SELECT min(doc_id) AS pair_id FROM documents GROUP BY lang, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g')")

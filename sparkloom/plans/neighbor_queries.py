@@ -1,4 +1,8 @@
-"""Queries of nearest neighbours and assignment over `embeddings`: vectors under 50 are targets, the rest sources."""
+"""Queries of nearest neighbours and assignment over `embeddings`.
+
+In searches every vector whose id is divisible by 50 is a target, and all vectors are sources. In assignment and distance
+statistics, where a target would be its own nearest source, the other vectors are the sources.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from sparkloom.operators import neighbors as N
 from .registry import query
 from .tables import table
 
-_KNN = """WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 50),
+_KNN = """WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     d AS (SELECT t.vec_id AS target, s.vec_id AS source, round({d}, 9) AS distance FROM t, s),
     k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, source) AS rank FROM d) """
 _L2 = "sqrt(list_sum(list_transform(list_zip(t.v, s.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
@@ -19,15 +23,10 @@ _COS = "1 - list_dot_product(t.v, s.v) / (sqrt(list_dot_product(t.v, t.v)) * sqr
 _TOP = "SELECT target, rank, source, round(distance, 6) AS distance FROM k WHERE rank <= 5"
 
 
-def sides(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
-    return rows.filter("vec_id < 50").withColumnRenamed("vec_id", "target"), rows.filter("vec_id >= 50").withColumnRenamed("vec_id", "source")
-
-
-def both_sides(spark, sf):
-    """Every vector as a target, and every vector as a source; the SQL of the queries of sides() has 50 targets at any size."""
+def sides(spark, sf, apart=False):
+    """Targets and sources; apart: no target among the sources."""
     rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
-    return rows.withColumnRenamed("vec_id", "target"), rows.withColumnRenamed("vec_id", "source")
+    return rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "target"), (rows.filter("vec_id % 50 <> 0") if apart else rows).withColumnRenamed("vec_id", "source")
 
 
 def _knn(metric):
@@ -41,20 +40,9 @@ for _name, _d in (("euclidean", _L2), ("cosine", _COS), ("manhattan", _L1)):
     query(f"knn_{_name}", _KNN.format(d=_d) + _TOP)(_knn(_name))
 
 
-def _knn_all(metric):
-    def run(spark, sf):
-        return N.nearest(*both_sides(spark, sf), 5, metric, 9).withColumn("distance", F.round("distance", 6))
-
-    return run
-
-
-for _name in ("euclidean", "cosine", "manhattan"):
-    query(f"knn_{_name}_all")(_knn_all(_name))
-
-
 @query("knn_blocks", _KNN.format(d=_L2) + _TOP)
 def _(spark, sf):
-    return N.nearest(*sides(spark, sf), 5).withColumn("distance", F.round("distance", 6))
+    return N.nearest(*sides(spark, sf), 5, digits=9).withColumn("distance", F.round("distance", 6))
 
 
 @query(
@@ -78,13 +66,13 @@ def _(spark, sf):
 
 @query(
     "distance_stats_by_class",
-    _KNN.format(d=_L2)
+    _KNN.format(d=_L2).replace("FROM t, s)", "FROM t, s WHERE s.vec_id % 50 <> 0)")
     + """, one AS (SELECT target, distance FROM k WHERE rank = 1), r AS (SELECT CAST(label AS VARCHAR) AS type, distance FROM one JOIN embeddings ON vec_id = target UNION ALL SELECT 'overall', distance FROM one)
     SELECT type, count(*) AS cnt, round(min(distance), 6) AS min, round(max(distance), 6) AS max, round(avg(distance), 6) AS mean, round(quantile_cont(distance, 0.5), 6) AS median,
     round(stddev_pop(distance), 6) AS std, round(quantile_cont(distance, 0.25), 6) AS p25, round(quantile_cont(distance, 0.75), 6) AS p75 FROM r GROUP BY type""",
 )
 def _(spark, sf):
-    t, s = sides(spark, sf)
+    t, s = sides(spark, sf, True)
     return N.distance_stats(N.exact_pairs(t, s, 5, "euclidean", 9), t.select("target", F.col("label").cast("string").alias("type")))
 
 
@@ -101,12 +89,12 @@ def _(spark, sf):
 
 @query("unique_assignment_global")
 def _(spark, sf):
-    return spark.createDataFrame(N.assign(*sides(spark, sf), 120), "source long, distance double")
+    return spark.createDataFrame(N.assign(*sides(spark, sf, True), 120), "source long, distance double")
 
 
 @query("unique_assignment_stratified")
 def _(spark, sf):
-    t, s = (df.withColumn("classes", F.array(F.concat(F.lit("Class"), F.col("label")))) for df in sides(spark, sf))
+    t, s = (df.withColumn("classes", F.array(F.concat(F.lit("Class"), F.col("label")))) for df in sides(spark, sf, True))
     return spark.createDataFrame(N.assign_stratified(t, s, 80, ["class1", "CLASS7", "class3"]), "type string, source long, distance double")
 
 

@@ -13,7 +13,7 @@ from sparkloom.operators import video_qa as V
 from sparkloom.operators.datasets import numbered
 
 from .registry import query
-from .tables import BOXES, boxes_gt, table
+from .tables import BOXES, GT, boxes_gt, table
 
 
 @query(
@@ -39,24 +39,54 @@ def _(spark, sf):
     return G.padded_shards(part, "pos", part.count(), 12, 8).select("p_partkey", "slot", "shard")
 
 
-@query("augmented_boxes")
+_M15 = boxes.affine((640, 480), 15, out_size=(320, 240))
+
+
+def _moved(i: int) -> str:
+    return ", ".join(f"bbox_{x} * ({_M15[i][0]!r}::DOUBLE) + bbox_{y} * ({_M15[i][1]!r}::DOUBLE) + ({_M15[i][2]!r}::DOUBLE)" for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")))
+
+
+@query(
+    "augmented_boxes",
+    f"""WITH {GT}, m AS (SELECT row_id, least(greatest(least({_moved(0)}), 0), 320) AS a, least(greatest(least({_moved(1)}), 0), 240) AS b, least(greatest(greatest({_moved(0)}), 0), 320) AS c,
+    least(greatest(greatest({_moved(1)}), 0), 240) AS d FROM boxes_gt) SELECT row_id, round(a, 4) AS bbox_xmin, round(b, 4) AS bbox_ymin, round(c, 4) AS bbox_xmax, round(d, 4) AS bbox_ymax FROM m WHERE c > a AND d > b""",
+)
 def _(spark, sf):
-    return G.augment_boxes(boxes_gt(spark, sf), boxes.affine((640, 480), 15, out_size=(320, 240)), 320, 240).select("row_id", *Q.COORDS)
+    return G.augment_boxes(boxes_gt(spark, sf), _M15, 320, 240).select("row_id", *[F.round(c, 4).alias(c) for c in Q.COORDS])
 
 
-@query("flipped_boxes")
+@query(
+    "flipped_boxes",
+    f"""WITH {GT}, f AS (SELECT *, CAST('0x' || substr(md5('42:' || image_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.5 AS flip FROM boxes_gt)
+    SELECT row_id, CASE WHEN flip THEN img_width - bbox_xmax ELSE bbox_xmin END AS bbox_xmin, bbox_ymin, CASE WHEN flip THEN img_width - bbox_xmin ELSE bbox_xmax END AS bbox_xmax, bbox_ymax FROM f""",
+)
 def _(spark, sf):
     return G.random_flips(boxes_gt(spark, sf), "image_id").select("row_id", *Q.COORDS)
 
 
-@query("video_qa_tasks", """SELECT task, 'v' || item_id AS video_id, CASE task WHEN 'mcq' THEN 'B' ELSE 'B. two' END AS answer, 'since' AS reasoning FROM benchmark, (VALUES ('mcq'), ('mcq_openended')) t(task) WHERE item_id % 2 = 0
-    UNION ALL SELECT task, 'v' || item_id, CASE task WHEN 'bcq' THEN 'Yes' ELSE 'Yes, it is' END, '' FROM benchmark, (VALUES ('bcq'), ('bcq_openended')) t(task) WHERE item_id % 2 = 1""")
+_REPLIES = {
+    "normal_mcq": "Multiple-Choice Question: what?\nA. one\nB. two\n=====\nAnswer: B\nReasoning: since",
+    "normal_bcq": "Question: is it?\n=====\nAnswer: Yes, it is",
+    "anomaly_temporal_localization": "Open-ended Question: when?\n=====\nAnswer: Start_Time: 00:01, End_Time: 00:07.5",
+    "anomaly_event_summary": "1. Question: sum up\n=====\nQuestionnaires are no question\n=====\nAnswer: all is well\n=====\nReasoning: seen",
+    "anomaly_other": "Question: why?\n=====\nAnswer: so",
+}
+
+
+@query(
+    "video_qa_tasks",
+    """SELECT task, 'v' || item_id AS video_id, question, answer, reasoning FROM benchmark JOIN (VALUES
+    (0, 'mcq', E'what?\\nA. one\\nB. two\\nAnswer with a single letter.', 'B', 'since'),
+    (0, 'mcq_openended', E'what?\\nA. one\\nB. two\\nAnswer with the correct option letter followed by a brief explanation.', 'B. two', 'since'),
+    (1, 'bcq', E'is it?\\nAnswer with Yes or No.', 'Yes', ''), (1, 'bcq_openended', E'is it?\\nAnswer with Yes or No followed by a brief explanation.', 'Yes, it is', ''),
+    (2, 'temporal_localization', E'when?\\nAnswer with the start and end timestamps in the format {"start": "MM:SS", "end": "MM:SS"}.', '{"start":"00:01","end":"00:07.5"}', ''),
+    (3, 'video_summarization', 'sum up', 'all is well', 'seen'), (4, 'open_qa', 'why?', 'so', '')) t(k, task, question, answer, reasoning) ON item_id % 5 = k""",
+)
 def _(spark, sf):
-    mcq = F.lit("Multiple-Choice Question: what?\nA. one\nB. two\n=====\nAnswer: B\nReasoning: since")
-    bcq = F.lit("Question: is it?\n=====\nAnswer: Yes, it is")
-    even = F.col("item_id") % 2 == 0
-    replies = table(spark, sf, "benchmark").select(F.concat(F.lit("root/v"), "item_id").alias("video"), F.when(even, "normal_mcq").otherwise("normal_bcq").alias("prompt_key"), F.when(even, mcq).otherwise(bcq).alias("qa_output"))
-    return V.task_items(replies, "root").select("task", "video_id", "answer", "reasoning")
+    keys, texts = (F.array(*[F.lit(x) for x in xs]) for xs in (_REPLIES, _REPLIES.values()))
+    k = (F.col("item_id") % 5).cast("int")
+    replies = table(spark, sf, "benchmark").select(F.concat(F.lit("root/v"), "item_id").alias("video"), F.get(keys, k).alias("prompt_key"), F.get(texts, k).alias("qa_output"))
+    return V.task_items(replies, "root").select("task", "video_id", "question", "answer", "reasoning")
 
 
 @query("video_prompt_keys", "SELECT conv_id AS video, (CASE WHEN conv_id % 2 = 0 THEN 'anomaly' ELSE 'normal' END) || '_' || t AS prompt_key FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('mcq'), ('bcq')) v(t)")

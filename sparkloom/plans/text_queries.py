@@ -100,10 +100,19 @@ def _(spark, sf):
     return rows.select("item_id", "b.phrase", F.size("b.boxes").cast("bigint").alias("n"), F.col("b.boxes")[0][0].alias("x1"))
 
 
-@query("mcq_permute")
+@query(
+    "mcq_permute",
+    """WITH c AS (SELECT item_id, text, i, chr(CAST(65 + i AS INTEGER)) AS l, 'word ' || split_part(text, ' ', CAST(i + 1 AS INTEGER)) || i AS raw, trim(regexp_extract(raw, '^[^\n]*')) AS t FROM benchmark, generate_series(0, item_id % 4) g(i)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY md5(concat_ws('|', text, l, t)), l) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM c),
+    a AS (SELECT item_id, CASE WHEN count(*) < 2 THEN any_value(l || '. ' || raw) ELSE string_agg(chr(CAST(64 + k AS INTEGER)) || '. ' || t, ';' ORDER BY k) END AS choices, any_value(n) AS n, max(CASE WHEN l = 'B' THEN chr(CAST(64 + k AS INTEGER)) END) AS answer FROM o GROUP BY item_id)
+    SELECT item_id, choices, CASE WHEN n >= 2 THEN answer ELSE 'b) the second' END AS answer FROM a""",
+)
 def _(spark, sf):
-    choices = F.slice(F.split("text", " "), 1, 4)
-    return table(spark, sf, "benchmark").select("item_id", T.permuted(F.col("text"), choices).alias("choices"))
+    letters = F.array(*[F.lit(x) for x in "ABCD"])
+    choice = lambda i: F.concat(F.get(letters, i), F.lit(". word "), F.get(F.split("text", " "), i), i.cast("string"))
+    choices = F.transform(F.sequence(F.lit(0), (F.col("item_id") % 4).cast("int")), choice)
+    rows = table(spark, sf, "benchmark").select("item_id", T.permuted(F.col("text"), choices, F.lit("b) the second")).alias("p"))
+    return rows.select("item_id", F.array_join("p.choices", ";").alias("choices"), "p.answer")
 
 
 @query("qa_parse", "SELECT item_id, 'mcq' AS type, text AS question, CAST(2 AS BIGINT) AS n_choices, 'B' AS answer, 'because ' || item_id AS reasoning FROM (SELECT item_id, trim(text, E' \\n\\t') AS text FROM benchmark)")

@@ -33,7 +33,7 @@ def label_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     field = lambda i: F.get("_p", i)
     typed = [field(0).alias("type")] + [field(i).try_cast("int" if n == "occluded" else "double").alias(n) for i, n in enumerate(LABEL_FIELDS) if i]
     rows = lines.filter(F.trim("value") != "").withColumn("_p", parts)
-    return rows.select("file", stem(F.col("file")).alias("stem"), "pos", F.size("_p").alias("n_fields"), *typed)
+    return rows.select("file", stem(F.col("file")).alias("stem"), "pos", F.size("_p").alias("n_fields"), *typed, F.split(F.trim("value"), r"\s+").alias("tokens"))
 
 
 def is_label(df: DataFrame) -> Column:
@@ -45,11 +45,33 @@ def is_label(df: DataFrame) -> Column:
 
 
 def boxes_by_stem(lines: DataFrame, with_scores: bool = False) -> DataFrame:
-    """(stem, type, x, y, w, h, [score]) of lines with nine fields and a whole box; `dontcare` in any case goes."""
-    rows = lines.filter((F.col("n_fields") >= 8) & (F.lower("type") != "dontcare"))
-    rows = rows.filter(F.col("bbox_xmin").isNotNull() & F.col("bbox_ymin").isNotNull() & F.col("bbox_xmax").isNotNull() & F.col("bbox_ymax").isNotNull())
-    score = [F.col("conf_score").alias("score")] if with_scores else []
-    return rows.select("stem", "type", F.col("bbox_xmin").alias("x"), F.col("bbox_ymin").alias("y"), (F.col("bbox_xmax") - F.col("bbox_xmin")).alias("w"), (F.col("bbox_ymax") - F.col("bbox_ymin")).alias("h"), *score)
+    """(stem, type, x, y, w, h, [score]) of lines with nine tokens, parted by any white space, and a whole box; `dontcare` in
+    any case goes; a score (the sixteenth token) that is no number is null. No line at all raises."""
+    if lines.isEmpty():
+        raise ValueError("no label lines")
+    rows = lines.filter((F.size("tokens") >= 9) & (F.lower(F.get("tokens", 0)) != "dontcare"))
+    x1, y1, x2, y2 = (F.get("tokens", F.lit(i)).try_cast("double") for i in range(4, 8))
+    score = [F.get("tokens", F.lit(15)).try_cast("double").alias("score")] if with_scores else []
+    rows = rows.select("stem", F.get("tokens", 0).alias("type"), x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h"), *score)
+    return rows.dropna(subset=["x", "y", "w", "h"])
+
+
+def corner_labels(lines: DataFrame) -> DataFrame:
+    """(stem, pos, type, box) of lines with eight tokens: corners cut to whole numbers."""
+    box = F.array(*[F.get("tokens", F.lit(i)).try_cast("double").cast("int") for i in range(4, 8)])
+    return lines.filter(F.size("tokens") >= 8).select("stem", "pos", F.get("tokens", 0).alias("type"), box.alias("box")).filter("not exists(box, x -> x is null)")
+
+
+def line_errors(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """(line, reason) of JSON lines of a file that don't parse or lack a field, by line number; blank lines count as lines only."""
+    from sparkloom.operators.datasets import numbered
+
+    lines = numbered(spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()), ["_at"], "line")
+    parsed = F.from_json("value", ", ".join(f"`{c}` string" for c in required) + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.filter(F.trim("value") != "").select("line", parsed.alias("r"))
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"r.`{c}`").isNull(), c) for c in required])), ", ")
+    reason = F.when(F.col("r._bad").isNotNull(), "not JSON").when(lacking != "", F.concat(F.lit("lacks "), lacking))
+    return rows.select("line", reason.alias("reason")).filter("reason is not null")
 
 
 def paired(images: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def basis(n, names="S"):
 
 def test_top_one_on_basis_vectors(spark):
     src = spark.createDataFrame(basis(4), SRC)
-    tgt = spark.createDataFrame([("t0", [1.0, 0.0, 0.0, 0.0], "P"), ("t1", [0.0, 1.0, 0.0, 0.0], "P"), ("t2", [0.05, 0.0, 0.95, 0.0], "P")], TGT)
+    tgt = spark.createDataFrame([("t0", [0.9, 0.2, 0.1, 0.0], "P"), ("t1", [0.3, 0.8, 0.0, 0.2], "P"), ("t2", [0.1, 0.2, 0.7, 0.3], "P")], TGT)
     for metric in ("euclidean", "cosine", "manhattan"):
         for pairs in (N.nearest(tgt, src, 1, metric), N.exact_pairs(tgt, src, 1, metric)):
             assert {(r.target, r.source) for r in pairs.collect()} == {("t0", "S0"), ("t1", "S1"), ("t2", "S2")}
