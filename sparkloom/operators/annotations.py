@@ -48,6 +48,29 @@ def coco_to_odvg(images: DataFrame, annotations: DataFrame, categories: DataFram
     return images.join(grouped, "image_id").select("image_id", "file_name", "height", "width", F.struct(F.transform("instances", lambda s: s.dropFields("ann_id")).alias("instances")).alias("detection"))
 
 
+def coco_to_grounding(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One grounding record per image with annotations: its caption cleaned, and each box with the words it stands for.
+
+    images: image_id, file_name, height, width, caption; annotations: ann_id, image_id, x, y, w, h, tokens_positive
+    (array of [begin, end) places in the cleaned caption).
+    """
+    one = F.struct("ann_id", F.array(*boxes.xywh_to_xyxy(F.col("x"), F.col("y"), F.col("w"), F.col("h"), 2)).alias("bbox"), F.col("tokens_positive").alias("spans"))
+    grouped = annotations.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("_r"))
+    caption = text.clean_span(F.col("caption"))
+    regions = F.transform("_r", lambda r: F.struct(r["bbox"].alias("bbox"), text.joined_spans(caption, r["spans"]).alias("phrase")))
+    return images.join(grouped, "image_id").select("image_id", "file_name", "height", "width", F.struct(caption.alias("caption"), regions.alias("regions")).alias("grounding"))
+
+
+def boxes_from_masks(df: DataFrame, mask: str = "segmentation") -> DataFrame:
+    """df with x, y, w, h as the extent of its polygons (arrays of x and y in turn); rows without a polygon keep their box."""
+    flat = F.flatten(mask)
+    part = lambda k: F.filter(flat, lambda v, i: i % 2 == k)
+    x1, x2, y1, y2 = F.array_min(part(0)), F.array_max(part(0)), F.array_min(part(1)), F.array_max(part(1))
+    known = F.coalesce(F.size(flat) >= 2, F.lit(False))
+    new = {"x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1}
+    return df.withColumns({k: F.when(known, v).otherwise(F.col(k)) for k, v in new.items()})
+
+
 def odvg_to_coco(records: DataFrame) -> DataFrame:
     """Annotations of detection records; boxes with x1 > x2 or y1 > y2 go; ids run from 0."""
     rows = records.select("image_id", F.posexplode("detection.instances").alias("pos", "i"))

@@ -150,3 +150,19 @@ def image_sizes(images: DataFrame) -> DataFrame:
     parts.append(images.select(F.lit("size").alias("kind"), F.concat_ws("x", "width", "height").alias("value")))
     every = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("kind", "value").agg(F.count("*").alias("cnt"))
     return every.withColumn("pct", F.round(100.0 * F.col("cnt") / F.sum("cnt").over(W.partitionBy("kind")), 3))
+
+
+def analyze(df: DataFrame) -> dict[str, DataFrame]:
+    """All tables of an analysis of boxes, by name, of one classified table; nothing is computed until one is read."""
+    rows = classify(df)
+    good = valid(rows)
+    out = {
+        "summary": summary(rows), "coordinates": coordinate_status(rows), "valid_invalid": valid_invalid(rows), "classes": counts(good, ["type"], 2),
+        "class_describe": describe(counts(good, ["type"]), "cnt"), "area": describe(good, "bbox_area"), "area_by_class": describe(good, "bbox_area", ["type"]),
+        "inverted": top_classes(rows, inverted_positive()), "out_of_bounds": top_classes(rows, F.col("out_of_box_coordinates")),
+    }
+    if "occluded" in df.columns:
+        out |= {"occlusion": counts(good, ["occluded"], 3).withColumn("level", occlusion_text(F.col("occluded"))), "class_occlusion": class_occlusion(good)}
+    if "truncated" in df.columns:
+        out["truncation"] = truncation(good)
+    return out

@@ -58,6 +58,14 @@ def merge_renumbered(parts: list[DataFrame], old: str, new: str) -> DataFrame:
     return numbered(both, ["src", old], new)
 
 
+def same_categories(parts: list[DataFrame], columns: list[str]) -> None:
+    """ValueError unless all tables of categories are equal."""
+    for i, p in enumerate(parts[1:], 2):
+        a, b = parts[0].select(*columns), p.select(*columns)
+        if not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()):
+            raise ValueError(f"input {i} has other categories than the first")
+
+
 def merge_grouped(df: DataFrame, key: str, order: list[str], region: Column) -> DataFrame:
     """Per key, the regions of all inputs as one array, in order. Within an input the last record of a key counts."""
     rows = df.withColumn("_r", region)
@@ -173,3 +181,28 @@ def split_folders(names: set[str]) -> dict[str, str]:
     if {"eval", "test"} <= names:
         raise ValueError("a split data set has eval or test, not both")
     return {("test" if n == "eval" else n): n for n in ("train", "val", "eval", "test") if n in names}
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """rows with the metadata of their key, nulls where there is none; a key that metadata has twice doubles the row."""
+    return rows.join(metadata, key, "left")
+
+
+def selected(pairs: DataFrame, sample: DataFrame, key: str) -> DataFrame:
+    """Rows of pairs whose key a sample has, each once, whatever the sample repeats."""
+    return pairs.join(sample.select(key).distinct(), key, "left_semi")
+
+
+def entry_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("entries"))
+
+
+def no_longer_than(df: DataFrame, length: str, most: float) -> DataFrame:
+    """Rows of at most that length, and those of which none is known."""
+    return df.filter(F.col(length).isNull() | (F.col(length) <= most))
+
+
+def listed_images(df: DataFrame, path: str, labels: str | None, skip_empty: bool = True) -> DataFrame:
+    """Rows whose path ends as an image's name does; with skip_empty, those without labels (an array) go."""
+    rows = df.filter(F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin("jpg", "jpeg", "png"))
+    return rows.filter(F.size(labels) > 0) if labels and skip_empty else rows

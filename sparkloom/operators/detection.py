@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sparkloom.functions import boxes
-from sparkloom.functions.lineage import small
+from sparkloom.functions.lineage import cut
 
 KEY = ["image_id", "type"]
+#: Classes that an evaluation may have.
+CLASSES = 20_000
 _OVERLAP = """
   greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1) + {d}, 0D) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1) + {d}, 0D)"""
 
@@ -76,7 +78,10 @@ def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: floa
         named_struct('t', 1, 'score', 0D, 'pos', g.row_id), null)), x -> x is not null)""")
     pairs = done.select(*KEY, F.explode(F.concat("s.out", missed)).alias("r")).select(*KEY, "r.t", "r.score", "r.pos")
     # Images by classes: as many as the result of the evaluation has; those without any box are true negatives.
-    every = gt.select("image_id").distinct().join(small(gt.select("type").distinct()))
+    types = [r[0] for r in gt.select("type").distinct().limit(CLASSES + 1).collect()]
+    if len(types) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    every = gt.select("image_id").distinct().withColumn("type", F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>")))
     empty = every.join(grouped.filter("size(gs) > 0 or size(ps) > 0").select(*KEY), KEY, "left_anti")
     nothing = [F.lit(None).cast(k).alias(c) for c, k in (("t", "int"), ("score", "double"), ("pos", "string"))]
     return pairs.unionAll(empty.select(*KEY, *nothing))
@@ -157,3 +162,29 @@ def weak_images(pairs: DataFrame, conf: float = 0.0, recall: float = 0.5, precis
 
 def cumulative_rate(flag: Column, order: list[Column], by: list[str]) -> Column:
     return F.avg(flag.cast("double")).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+
+
+def mean_average_precision(rates: DataFrame) -> DataFrame:
+    """One row (map, classes): the mean of class average precisions."""
+    return rates.agg(F.avg("ap").alias("map"), F.count("*").alias("classes"))
+
+
+def label_rounds(detect, images: DataFrame, phrases: list[str], floor: float = 0.3, iou_threshold: float = 0.5, rounds: int = 3) -> DataFrame:
+    """Labelling in rounds: what a model finds for phrases, filtered by score and overlap within a class; images whose
+    phrases were not all found ask for the rest in the next round.
+
+    detect(df) gets (image_id, phrases) and gives (image_id, type, row_id, x1, y1, x2, y2, score); the last rows of a round
+    are kept in the checkpoint folder. Returns image_id, type, row_id, score, x1, y1, x2, y2, round.
+    """
+    asked = images.select("image_id", F.array(*[F.lit(p) for p in phrases]).cast("array<string>").alias("phrases"))
+    out = None
+    for i in range(1, rounds + 1):
+        found = cut(detect(asked).filter(F.col("score") >= floor))
+        kept = cut(found.join(suppress(found, iou_threshold).select(*KEY, "row_id"), [*KEY, "row_id"], "left_semi").withColumn("round", F.lit(i)))
+        out = kept if out is None else out.unionByName(kept)
+        seen = kept.groupBy("image_id").agg(F.collect_set("type").alias("_seen"))
+        asked = asked.join(seen, "image_id", "left").withColumn("phrases", F.array_except("phrases", F.coalesce("_seen", F.array().cast("array<string>")))).filter("size(phrases) > 0").drop("_seen")
+        asked = cut(asked)
+        if kept.isEmpty() or asked.isEmpty():
+            break
+    return out

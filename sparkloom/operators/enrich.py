@@ -155,6 +155,38 @@ def reconcile(before: list[dict], after: list[dict]) -> list[dict]:
     return out
 
 
+EXPRESSIONS = "array<struct<text: string, char_span: array<int>, noun: string>>"
+
+
+def expressions(reply: str | None) -> list[dict]:
+    """Expressions of a reply (a list of objects with `text`, or an object with such a list): the span of characters is the
+    whole text where none is given, the noun its last word; those without text go."""
+    got = loose_json(reply)
+    found = got if isinstance(got, list) else next((v for v in got.values() if isinstance(v, list)), []) if isinstance(got, dict) else []
+    out = []
+    for e in found:
+        e = {"text": e} if isinstance(e, str) else e
+        if not isinstance(e, dict) or not isinstance(e.get("text"), str) or not e["text"].strip():
+            continue
+        span, noun = e.get("char_span"), e.get("noun")
+        whole = isinstance(span, list) and len(span) == 2 and all(isinstance(x, int) and not isinstance(x, bool) for x in span)
+        out.append({"text": e["text"], "char_span": span if whole else [0, len(e["text"])], "noun": noun if isinstance(noun, str) and noun else e["text"].split()[-1]})
+    return out
+
+
+def with_expressions(df: DataFrame, reply: str, out: str = "expressions") -> DataFrame:
+    return df.withColumn(out, F.pandas_udf(lambda s: s.map(expressions), EXPRESSIONS)(F.col(reply)))
+
+
+def scored_boxes(df: DataFrame, boxes: str, width: str, height: str, score: float = 0.9, out: str = "instances") -> DataFrame:
+    """df with column `out`: boxes in thousandths (arrays of four) as whole pixels inside the image, with the score that a
+    model which gives none gets; boxes without four numbers, or empty once in pixels, go."""
+    side = lambda v, s: F.least(F.greatest((v * F.col(s) / 1000).cast("int"), F.lit(0)), F.col(s).cast("int"))
+    four = F.filter(boxes, lambda b: F.size(b) == 4)
+    pixel = F.transform(four, lambda b: F.struct(F.array(side(b[0], width), side(b[1], height), side(b[2], width), side(b[3], height)).alias("bbox"), F.lit(score).alias("bbox_score")))
+    return df.withColumn(out, F.filter(pixel, lambda x: (x["bbox"][2] > x["bbox"][0]) & (x["bbox"][3] > x["bbox"][1])))
+
+
 def embed(df: DataFrame, text: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 64, out: str = "embedding") -> DataFrame:
     """df with column `out`, vectors of column `text`; other columns are carried along, so nothing is joined back."""
     schema = df.withColumn(out, F.lit(None).cast("array<float>")).schema

@@ -128,6 +128,31 @@ def mine(pairs: DataFrame, labels: tuple[DataFrame, DataFrame] | None = None, th
     return pairs.groupBy("source").agg(F.min("distance").alias("distance"))
 
 
+def mined(targets: DataFrame, sources: DataFrame, k: int, metric: str = "euclidean", threshold: float = -1.0, by_label: bool = False, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mining in one call: the sources that mine() keeps of the k nearest, and one row of counters.
+
+    Counters: targets, pairs, label_kept, distance_kept (of those), candidates, unique, duplicates.
+    """
+    pairs = nearest(targets, sources, k, metric, digits)
+    flags = pairs.withColumn("_same", F.lit(True))
+    if by_label:
+        t, s = (x.select(x.columns[0], label_key(F.col("label").cast("string")).alias(n)) for x, n in ((targets.select("target", "label"), "_tl"), (sources.select("source", "label"), "_sl")))
+        flags = pairs.join(t, "target").join(s, "source").withColumn("_same", F.coalesce(F.col("_tl") == F.col("_sl"), F.lit(False)))
+    near = F.lit(True) if threshold < 0 else F.col("distance") <= threshold
+    kept = F.col("_same") & near
+    counters = flags.agg(
+        F.count_distinct("target").alias("targets"), F.count("*").alias("pairs"), F.count_if("_same").alias("label_kept"), F.count_if(kept).alias("distance_kept"),
+        F.count_if(kept).alias("candidates"), F.count_distinct(F.when(kept, F.col("source"))).alias("unique"),
+    ).withColumn("duplicates", F.col("candidates") - F.col("unique"))
+    return flags.filter(kept).groupBy("source").agg(F.min("distance").alias("distance")), counters
+
+
+def coverage(found: DataFrame, classes: DataFrame, desired: int) -> DataFrame:
+    """One row: sources matched, of how many desired, per cent, and how many classes of sources they come from."""
+    n = found.join(classes, "source", "left").agg(F.count_distinct("source").alias("matched"), F.count_distinct("type").alias("classes"))
+    return n.select("matched", F.lit(desired).cast("bigint").alias("desired"), F.round(100.0 * F.col("matched") / desired, 4).alias("pct"), "classes")
+
+
 def exclude(sources: DataFrame, gone: DataFrame, path: str = "path") -> DataFrame:
     """sources without rows whose path, or whose last path part, is among gone's."""
     base = lambda c: F.regexp_extract(c, r"[^/]*$", 0)

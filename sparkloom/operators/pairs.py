@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sparkloom.functions import text
-from sparkloom.functions.lineage import small
 from sparkloom.operators.datasets import first_wins, numbered, stratified_sample
 
 SKIPPED = ("missing", "not visible")
 
 
+#: Different sets of attribute names that queries may ask for; an image is indexed under each.
+NAME_SETS = 5_000
+
+
 def signature(attributes: Column, names: Column) -> Column:
     """Sorted names with their values ('' where there is none), as one text key."""
     return F.to_json(F.transform(F.array_sort(names), lambda n: F.struct(n.alias("n"), F.coalesce(F.try_element_at(attributes, n), F.lit("")).alias("v"))))
@@ -33,9 +36,12 @@ def attribute_pairs(queries: DataFrame, images: DataFrame) -> DataFrame:
     need = F.filter(own, lambda a: low.contains(F.lower(a)) | low.contains(F.lower(last(a))))
     need = F.transform(need, lambda a: F.when(low.contains(F.lower(a)), a).otherwise(last(a)))
     q = q.withColumn("_need", F.when(F.array_contains("names", "accessories"), need).otherwise(F.array().cast("array<string>")))
-    sets = q.select("_names").distinct()
+    sets = [r[0] for r in q.select("_names").distinct().limit(NAME_SETS + 1).collect()]
+    if len(sets) > NAME_SETS:
+        raise ValueError(f"queries ask for more than {NAME_SETS} different sets of attributes")
+    every = F.array(*[F.array(*[F.lit(n) for n in names]).cast("array<string>") for names in sets]).cast("array<array<string>>")
     index = images.select("image_id", "attributes", F.coalesce(F.try_element_at("attributes", F.lit("accessories")), F.lit("")).alias("_has"))
-    index = index.join(small(sets)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
+    index = index.withColumn("_names", F.explode(every)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
     hit = q.select("query_id", "_sig", "_need").join(index.select("image_id", "_sig", "_has"), "_sig")
     return hit.filter(F.forall("_need", lambda a: F.lower("_has").contains(F.lower(a)))).select("query_id", "image_id")
 
@@ -91,3 +97,15 @@ def output_names(pairs: DataFrame, order: list[str], extension: str = ".jpg") ->
 def caption_classes(pairs: DataFrame) -> DataFrame:
     """Distinct captions of evaluation splits, sorted: the names of retrieval classes."""
     return pairs.filter(F.col("split").isin("val", "test")).select("split", "caption").distinct().orderBy("split", "caption")
+
+
+def build(queries: DataFrame, images: DataFrame, rules: dict[str, tuple[str, list[str]]], val_fraction: float = 0.1) -> DataFrame:
+    """Caption pairs in one call: images that answer a query, admitted by split, trimmed, first of equal ones, val sampled.
+
+    queries: query_id, names, attributes, text, query_type; images: image_id, image_path, split, dataset, attributes. The
+    result has pair_id (`query-image`), split, image_path, caption, dataset, query_type.
+    """
+    hits = attribute_pairs(queries.select("query_id", "names", "attributes", "text"), images.select("image_id", "attributes"))
+    rows = hits.join(queries.select("query_id", "query_type", F.col("text").alias("caption")), "query_id").join(images.drop("attributes"), "image_id")
+    key = F.concat_ws("-", F.lpad(F.col("query_id").cast("string"), 12, "0"), F.lpad(F.col("image_id").cast("string"), 12, "0")).alias("pair_id")
+    return finish(admitted(rows.select(key, "split", "image_path", "caption", "dataset", "query_type"), rules), val_fraction)

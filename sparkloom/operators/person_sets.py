@@ -34,13 +34,19 @@ def vocabulary(value_to_id: dict[str, dict[str, int]]) -> dict[str, dict[str, in
 def resolve(images: DataFrame, people: DataFrame) -> DataFrame:
     """images (split, scene, image) with the record of their sidecar (split, key, record): by `scene/image`, else by scene
     where the sidecar has one record only, else by the one key that ends with the image's name. Others fail."""
-    sidecar = people.join(people.groupBy("split").agg(F.count("*").alias("_records")), "split")
-    pairs = images.withColumn("_image", F.struct(*images.columns)).join(sidecar, "split")
-    exact = F.concat_ws("/", "scene", "image")
-    rank = F.when(F.col("key") == exact, 1).when((F.col("key") == F.col("scene")) & (F.col("_records") == 1), 2)
-    rank = rank.when(F.col("key").endswith(F.concat(F.lit("/"), F.col("image"))) | (F.col("key") == F.col("image")), 3)
-    # A sidecar is one split's: the join is on split, and a row survives only if one of the three rules names it.
-    hit = pairs.withColumn("_rank", rank).filter("_rank is not null")
+    sidecar = people.select("split", "key", "record").join(people.groupBy("split").agg(F.count("*").alias("_records")), "split")
+    asked = images.select(F.col("split"), F.struct(*images.columns).alias("_image"))
+    image, scene = F.col("_image.image"), F.col("_image.scene")
+
+    def named(rank, ours, theirs, ok=None):
+        """Images and records whose names are equal, by an equi-join."""
+        hit = asked.withColumn("_name", ours).join((sidecar if ok is None else sidecar.filter(ok)).withColumn("_name", theirs), ["split", "_name"])
+        return hit.select("_image", "key", "record", F.lit(rank).alias("_rank"))
+
+    suffix = named(3, text.basename(image), text.basename(F.col("key"))).filter(F.col("key").endswith(F.concat(F.lit("/"), image)) | (F.col("key") == image))
+    hit = named(1, F.concat_ws("/", scene, image), F.col("key")).unionAll(named(2, scene, F.col("key"), "_records = 1")).unionAll(suffix)
+    # A record that an earlier rule names too isn't counted among the suffixes, as each key counts by its first rule.
+    hit = hit.groupBy("_image", "key").agg(F.min_by("record", "_rank").alias("record"), F.min("_rank").alias("_rank"))
     best = hit.groupBy("_image").agg(F.min("_rank").alias("_r"), F.min_by("record", "_rank").alias("record"), F.count_if(F.col("_rank") == 3).alias("_suffixes"))
     return best.filter((F.col("_r") < 3) | (F.col("_suffixes") == 1)).select("_image.*", "record")
 

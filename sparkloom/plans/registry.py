@@ -27,5 +27,5 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for name in ("box_queries", "neighbor_queries", "gap_queries", "dataset_queries", "text_queries", "pipeline_queries"):
+    for name in ("box_queries", "neighbor_queries", "gap_queries", "dataset_queries", "text_queries", "pipeline_queries", "io_queries"):
         importlib.import_module(f"sparkloom.plans.{name}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import basename, stem
+from sparkloom.functions.text import basename, stem, strip
 
 #: The fields of a label line, in order; predictions add the last.
 LABEL_FIELDS = [
@@ -161,8 +161,21 @@ def videos_from_records(spark: SparkSession, path: str, keep: str | None = None)
     return rows.select(F.coalesce(F.nullif("video_path", F.lit("")), "video").alias("video")).filter("video is not null")
 
 
+def class_map(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, canonical) of a flat YAML mapping, a line for each class (`raw: canonical`); comments and blank lines go."""
+    plain = F.regexp_replace("value", r"(^|\s)#.*$", "")
+    bare = lambda c: F.regexp_replace(strip(c), "^[\"']|[\"']$", "")
+    rows = spark.read.text(path).select(bare(F.regexp_extract(plain, r"^([^:]*):", 1)).alias("raw"), bare(F.regexp_extract(plain, r"^[^:]*:(.*)$", 1)).alias("canonical"))
+    return rows.filter("raw <> '' and canonical <> ''")
+
+
+def discovered_classes(rows: DataFrame, column: str = "type") -> DataFrame:
+    """The map of a data set without one: every class to itself."""
+    return rows.select(F.col(column).alias("raw"), F.col(column).alias("canonical")).distinct()
+
+
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "labels": label_lines, "odvg": odvg, "qa": question_answers, "inference": inference_csv, "answers": answers, "embeddings": embeddings,
+    "labels": label_lines, "coco": lambda spark, path: coco_boxes(*coco(spark, path)), "llava": llava, "odvg": odvg, "qa": question_answers, "inference": inference_csv, "answers": answers, "embeddings": embeddings,
 }
 
 
