@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sparkloom.functions.lineage import cut
+from sparkloom.functions.lineage import cut, small
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -52,6 +52,30 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     return out.withColumn(name, (F.col("_off") + F.col("_in") + (start - 1)).cast("bigint")).drop("_id", "_part", "_in", "_off")
 
 
+def running(df: DataFrame, by: list[str], order: list, columns: dict[str, tuple[Column, str]]) -> DataFrame:
+    """df with running sums or greatest values by `order` within `by`, without sorting a group in one task.
+
+    columns: name to (expression, kind); kind is sum or max, or sum_before or max_before, which leave the row itself out.
+    Rows are range-partitioned; each partition runs for itself, and one row for each group in a partition carries on what
+    lies before. Rows that are equal in `order` stand in either order, so they should be unique.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    make = {"sum": F.sum, "max": F.max}
+    keyed = df.withColumns({f"_v_{k}": c for k, (c, _) in columns.items()})
+    keys = [F.col(c) if isinstance(c, str) else c for c in (*by, *order)]
+    placed = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    local = cut(placed).withColumn("_part", F.shiftright("_id", 33))
+    w = W.partitionBy("_part", *by).orderBy("_id")
+    within = {f"_l_{k}": make[kind.split("_")[0]](f"_v_{k}").over(w.rowsBetween(W.unboundedPreceding, -1 if kind.endswith("_before") else 0)) for k, (_, kind) in columns.items()}
+    ends = local.groupBy("_part", *by).agg(*[make[kind.split("_")[0]](f"_v_{k}").alias(f"_e_{k}") for k, (_, kind) in columns.items()])
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in by], *[make[kind.split("_")[0]](f"_e_{k}").over(before).alias(f"_b_{k}") for k, (_, kind) in columns.items()])
+    same = [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]]
+    out = local.withColumns(within).join(small(ends), same, "left")
+    both = {k: (F.coalesce(F.col(f"_b_{k}") + F.col(f"_l_{k}"), F.col(f"_b_{k}"), F.col(f"_l_{k}")) if kind.startswith("sum") else F.greatest(f"_b_{k}", f"_l_{k}")).alias(k) for k, (_, kind) in columns.items()}
+    return out.select(*[c for c in df.columns if c not in both], *both.values())
+
+
 def merge_renumbered(parts: list[DataFrame], old: str, new: str) -> DataFrame:
     """Tables one after the other, with new ids from 1 in the order of (input, old id), and `src`, the input's number."""
     both = reduce(DataFrame.unionByName, [p.withColumn("src", F.lit(i).cast("bigint")) for i, p in enumerate(parts)])
@@ -125,14 +149,31 @@ def random_parts(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, fraction: float) -> DataFrame:
-    """max(1, floor(n * fraction)) rows of each stratum by hash_rank; all for a fraction of 1 and more."""
+    """max(1, floor(n * fraction)) rows of each stratum by hash_rank; all for a fraction of 1 and more.
+
+    Strata are counted first; then only rows whose hash is low enough to be taken are ranked.
+    """
     if fraction <= 0:
         raise ValueError("fraction must be above 0")
     if fraction >= 1:
         return df
-    w = W.partitionBy(*strata)
-    ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(hash_rank(F.col(key)), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).drop("_rn", "_n")
+    counted = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in strata]).agg(F.count("*").alias("_n"))
+    counted = counted.withColumn("_want", F.greatest(F.lit(1), F.floor(F.col("_n") * fraction)))
+    # Hashes are spread evenly, so what a stratum takes lies under this bound, but for chances that are looked up below.
+    bound = F.least(F.lit(1.0), (F.col("_want") + 8 * F.sqrt("_want") + 24) / F.col("_n")) * float(1 << 32)
+    counted = cut(counted.withColumn("_bound", bound))
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in strata]
+    rows = df.join(small(counted), same)
+    near = rows.filter(hash_rank(F.col(key)) < F.col("_bound"))
+    lacking = near.groupBy(*[f"_g_{c}" for c in strata]).agg(F.count("*").alias("_got"))
+    names = [f"_g_{c}" for c in strata]
+    lacking = counted.join(lacking, [counted[n].eqNullSafe(lacking[n]) for n in names], "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < F.col("_want")).select(*[counted[n] for n in names])
+    lacking = cut(lacking)
+    if not lacking.isEmpty():
+        whole = df.join(small(counted.join(lacking, [counted[n].eqNullSafe(lacking[n]) for n in names], "left_semi")), same)
+        near = near.join(small(lacking), [near[n].eqNullSafe(lacking[n]) for n in names], "left_anti").unionByName(whole)
+    w = W.partitionBy(*strata).orderBy(hash_rank(F.col(key)), key)
+    return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_want")).select(*df.columns)
 
 
 def contiguous(df: DataFrame, category: str, present: DataFrame | None = None) -> DataFrame:

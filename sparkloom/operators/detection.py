@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sparkloom.functions import boxes
-from sparkloom.functions.lineage import cut
+from sparkloom.functions.lineage import cut, small
+from sparkloom.operators.datasets import running
 
 KEY = ["image_id", "type"]
 #: Classes that an evaluation may have.
@@ -91,9 +92,10 @@ def curve(pairs: DataFrame, conf: float = 0.0) -> DataFrame:
     """(type, n, precision, recall) after each pair by falling score; ties by image and row, misses last."""
     hit = (F.col("t") == 1) & (F.col("score") >= conf)
     false = (F.col("t") == 0) & (F.col("score") >= conf)
-    w = W.partitionBy("type").orderBy(F.desc("score"), "image_id", "pos").rowsBetween(W.unboundedPreceding, 0)
     rows = pairs.filter("t is not null")
-    rows = rows.select("type", F.row_number().over(W.partitionBy("type").orderBy(F.desc("score"), "image_id", "pos")).alias("n"), F.sum(hit.cast("long")).over(w).alias("tp"), F.sum(false.cast("long")).over(w).alias("fp"), F.sum(F.col("t").cast("long")).over(W.partitionBy("type")).alias("npos"))
+    all_of = cut(rows.groupBy("type").agg(F.sum(F.col("t").cast("long")).alias("npos")))
+    sums = {"n": (F.lit(1).cast("long"), "sum"), "tp": (hit.cast("long"), "sum"), "fp": (false.cast("long"), "sum")}
+    rows = running(rows, ["type"], [F.desc("score"), "image_id", "pos"], sums).join(small(all_of), "type")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select("type", F.col("n").cast("bigint").alias("n"), zero(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).alias("precision"), zero(F.try_divide(F.col("tp"), F.col("npos"))).alias("recall"))
 
@@ -108,8 +110,8 @@ def average_precision(points: DataFrame, method: str = "sample", k: int = 11, ax
         best = points.select("type", F.col(r).alias("r"), F.col(p).alias("p"), at).groupBy("type", "at").agg(F.coalesce(F.max(F.when(F.col("r") >= F.col("at"), F.col("p"))), F.lit(0.0)).alias("best"))
         return best.groupBy("type").agg((F.sum("best") / k).alias("ap"))
     steps = points.groupBy("type", F.col(r).alias("r")).agg(F.max(p).alias("p"))
-    falling = W.partitionBy("type").orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("p", F.max("p").over(falling)).withColumn("before", F.coalesce(F.lag("r").over(W.partitionBy("type").orderBy("r")), F.lit(0.0)))
+    steps = running(steps, ["type"], [F.desc("r")], {"p": (F.col("p"), "max")})
+    steps = running(steps, ["type"], ["r"], {"before": (F.col("r"), "max_before")}).withColumn("before", F.coalesce("before", F.lit(0.0)))
     return steps.groupBy("type").agg(F.sum((F.col("r") - F.col("before")) * F.col("p")).alias("ap"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sparkloom.functions.lineage import cut
 from sparkloom.functions.text import label_key, yes_no
+from sparkloom.operators.datasets import running
 
 POSITIVE = "NO_PASS"
 
@@ -15,12 +17,14 @@ POSITIVE = "NO_PASS"
 def threshold_table(scored: DataFrame) -> DataFrame:
     """(threshold, tp, fp, pos) for every distinct score: positives and others with a greater score, and all positives.
 
-    scored: score, positive. One aggregation by score; running sums over distinct scores take one ordered window.
+    scored: score, positive. One aggregation by score, and running sums over distinct scores in range partitions.
     """
     by = scored.groupBy("score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum((~F.col("positive")).cast("bigint")).alias("n"))
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint")
-    return by.select(F.col("score").alias("threshold"), zero("p").alias("tp"), zero("n").alias("fp"), F.sum("p").over(W.partitionBy()).cast("bigint").alias("pos"))
+    by = cut(by)
+    total = by.agg(F.sum("p")).first()[0]
+    rows = running(by, [], [F.desc("score")], {"tp": (F.col("p"), "sum_before"), "fp": (F.col("n"), "sum_before")})
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return rows.select(F.col("score").alias("threshold"), zero("tp"), zero("fp"), F.lit(total).cast("bigint").alias("pos"))
 
 
 def optimal_threshold(scored: DataFrame, min_recall: float = 1.0) -> DataFrame:
@@ -44,9 +48,14 @@ def weakness(label: Column, score: Column, threshold: float) -> Column:
     return F.when(label_key(label) == "PASS", score - threshold).otherwise(F.lit(threshold) - score)
 
 
+def with_weakness(df: DataFrame, threshold: float) -> DataFrame:
+    """df with its labels trimmed and upper-cased, and weakness."""
+    return df.withColumn("label", label_key(F.col("label"))).withColumn("weakness", weakness(F.col("label"), F.col("score"), threshold))
+
+
 def weakest(df: DataFrame, threshold: float, k: int = 50, order: str = "id") -> DataFrame:
     """The k weakest rows of each label (trimmed, upper-cased), with weakness; ties by `order`."""
-    rows = df.withColumn("label", label_key(F.col("label"))).withColumn("weakness", weakness(F.col("label"), F.col("score"), threshold))
+    rows = with_weakness(df, threshold)
     w = W.partitionBy("label").orderBy(F.desc("weakness"), order)
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
 
