@@ -25,6 +25,7 @@ from .common import WORD, cut, join_small
 _TIE = 18  # low bits of a rank, of the row's number
 _BITS = 44 + _TIE  # of the rank
 _LEVELS = 16  # of importance, to a doubling
+_LOOKED_UP = 400_000  # rows at the sources' ends that are broadcast, at most
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Mix:
 
     weights: tuple[int, ...] = (1, 2, 3)
     cap: int = 3
-    length_power: float = 0.5
+    length_power: float = 0.25
     importance: str | None = None
     region: int = 4096
     seed: int = 17
@@ -207,7 +208,7 @@ def repeat(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "sou
     rows = join_small(_ranked(rows, q).select("_all", *hashes, "_key", "_whole", "_part_size", "_top"), region, ["_key"])
     # Of the rank the low bits are missing here: what they would decide goes with the rows of the last stretch.
     rows = rows.withColumn("_at", F.expr(f"shiftright(_top, greatest(_shift - {_TIE}, 0))")).withColumn("_to", F.expr(f"shiftright(_lo, greatest({_TIE} - _shift, 0))"))
-    far = rows.filter("_at <> _to").select("_all", (F.col("_whole") + F.when(F.expr("_at < _to and _part_size > 0"), 1).otherwise(0)).alias("_own"))
+    rows = rows.withColumn("_far", F.when(F.expr("_at <> _to"), F.col("_whole") + F.when(F.expr("_at < _to and _part_size > 0"), 1).otherwise(0)))
     low = region.filter(F.col("_shift") < _TIE)
     if not low.isEmpty():  # ends that low bits decide: rows of equal contents may lie on both sides of one
         tied = join_small(docs, low, ["_key"], "inner").withColumn("_at", F.expr("shiftright(_rank, _shift)"))
@@ -215,9 +216,15 @@ def repeat(df: DataFrame, p: Mix = Mix(), text: str = "text", source: str = "sou
         own = F.col("_whole") + F.when(F.expr("_at < _lo and _part_size > 0"), 1).otherwise(0)
         more = tied.groupBy(*hashes).agg(F.sum(own).alias("_own"), F.count("*").alias("_alike"))
         taken = cut(taken.unionByName(more).groupBy(*hashes).agg(F.sum("_own").alias("_own"), F.sum("_alike").alias("_alike")))
-    found = join_small(rows.filter("_at = _to").select("_all", *hashes), taken, list(hashes), "inner")
-    alone = found.filter("_alike = 1").select("_all", "_own")
-    again = found.filter("_alike > 1").dropDuplicates(list(hashes)).select("_all", "_own")
-    out = far.unionByName(alone).unionByName(again).filter("_own > 0")
+    if taken.limit(_LOOKED_UP + 1).count() <= _LOOKED_UP:  # rows of four numbers: then texts are read once and stay where they are
+        rows = rows.join(F.broadcast(taken), list(hashes), "left")
+        out = rows.select("_all", *hashes, "_far", F.when(F.col("_far").isNull(), F.col("_alike")).alias("_alike"), F.coalesce("_far", "_own").alias("_own"))
+    else:
+        near = rows.filter("_far is null").select("_all", *hashes, "_far").join(taken.hint("merge"), list(hashes))
+        out = rows.filter("_far is not null").select("_all", *hashes, "_far", F.lit(None).cast("long").alias("_alike"), F.col("_far").alias("_own")).unionByName(near)
+    if not taken.filter("_alike > 1").isEmpty():
+        many = F.coalesce(F.col("_alike") > 1, F.lit(False))
+        out = out.filter(~many).unionByName(out.filter(many).dropDuplicates(list(hashes)))
+    out = out.filter("_own > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_own").cast("int") - 1)))
     return out.select(*[F.col("_all")[c].alias(c) for c in df.columns if c != "copy"], (F.col("copy") % p.cap).alias("copy"))

@@ -120,10 +120,11 @@ def test_pareto_order_against_brute_force(spark, sf):
     assert unequal > 5  # sources at three times their size have equal odds
 
 
-def test_mixture_has_the_copies_of_the_sample(spark, sf):
+def test_mixture_has_the_copies_of_the_sample(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     more = docs.limit(1).selectExpr("doc_id", "text", "lang", "'many' as source", "n_chars").crossJoin(spark.range(700).select()).unionAll(docs.limit(60).selectExpr("cast(null as long)", "concat(text, doc_id)", "lang", "null", "n_chars"))
-    for p in (mixing.Mix(), mixing.Mix(region=16)):
+    for p, most in ((mixing.Mix(), 400_000), (mixing.Mix(region=16), 0)):
+        monkeypatch.setattr(mixing, "_LOOKED_UP", most)
         df = docs.unionAll(more)
         want, got = defaultdict(int), defaultdict(int)
         rows = mixing.repeat(df, p).collect()
