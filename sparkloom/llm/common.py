@@ -122,15 +122,17 @@ FILTER_BITS = 1 << 27
 def split_rows(df: DataFrame, key: Column, keys: DataFrame, limit: int = BROADCAST_ROWS, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose content key is among keys (one column _key, each once), and the others.
 
-    Few keys are broadcast. Beyond that, a bitmap of the keys' hashes, of fixed size, is broadcast and tells most rows
-    that aren't among them where they lie; only the rest, wide as they are, meet the keys in a shuffle. The more keys
-    there are for the bitmap's bits, the more rows go that way; the result is the same. keys should be the result of cut().
+    Few keys are broadcast. Beyond that, a bitmap of the keys' hashes, of 64 bits a key but `bits` at most, is broadcast
+    and tells most rows that aren't among them where they lie; only the rest, wide as they are, meet the keys in a shuffle.
+    The more keys there are for the most bits, the more rows go that way; the result is the same. keys should be the result
+    of cut().
     """
     names = df.columns
     keys = keys.select(F.col("_key").alias("_wanted"))
-    if keys.limit(limit + 1).count() <= limit:
+    if (n := keys.count()) <= limit:
         small = F.broadcast(keys)
         return df.join(small, same_key(key, F.col("_wanted")), "left_semi"), df.join(small, same_key(key, F.col("_wanted")), "left_anti")
+    bits = min(bits, 1 << max(16, (64 * n).bit_length()))
     place = lambda k: F.pmod(k["_h1"], F.lit(bits))
     at = keys.select(place(F.col("_wanted")).alias("_at"))
     bitmap = at.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
