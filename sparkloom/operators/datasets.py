@@ -165,13 +165,13 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, fraction: floa
     same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in strata]
     rows = df.join(small(counted), same)
     near = rows.filter(hash_rank(F.col(key)) < F.col("_bound"))
-    lacking = near.groupBy(*[f"_g_{c}" for c in strata]).agg(F.count("*").alias("_got"))
-    names = [f"_g_{c}" for c in strata]
-    lacking = counted.join(lacking, [counted[n].eqNullSafe(lacking[n]) for n in names], "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < F.col("_want")).select(*[counted[n] for n in names])
-    lacking = cut(lacking)
+    got = near.groupBy(*[F.col(f"_g_{c}").alias(f"_s_{c}") for c in strata]).agg(F.count("*").alias("_got"))
+    equal = [F.col(f"_g_{c}").eqNullSafe(F.col(f"_s_{c}")) for c in strata]
+    lacking = counted.join(got, equal, "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < F.col("_want"))
+    lacking = cut(lacking.select(*counted.columns))
     if not lacking.isEmpty():
-        whole = df.join(small(counted.join(lacking, [counted[n].eqNullSafe(lacking[n]) for n in names], "left_semi")), same)
-        near = near.join(small(lacking), [near[n].eqNullSafe(lacking[n]) for n in names], "left_anti").unionByName(whole)
+        named = lacking.select(*[F.col(f"_g_{c}").alias(f"_s_{c}") for c in strata])
+        near = near.join(small(named), equal, "left_anti").unionByName(df.join(small(lacking), same))
     w = W.partitionBy(*strata).orderBy(hash_rank(F.col(key)), key)
     return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_want")).select(*df.columns)
 

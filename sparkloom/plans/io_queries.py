@@ -323,18 +323,19 @@ def _(spark, sf):
 
 @query(
     "label_rounds",
-    f"""WITH {PRED}, one AS (SELECT image_id, type, max(score) AS score, CASE type WHEN 'A' THEN 1 ELSE 2 END AS round FROM boxes_pred WHERE score >= 0.3 AND type IN ('A', 'R') GROUP BY image_id, type)
-    SELECT image_id, type, round(score, 6) AS score, round FROM one""",
+    f"""WITH {PRED}, one AS (SELECT image_id, type, max(score) AS score FROM boxes_pred WHERE score >= 0.3 AND type IN ('A', 'R') GROUP BY image_id, type)
+    SELECT image_id, type, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY type) AS INTEGER) AS round FROM one""",
 )
 def _(spark, sf):
-    """A model that finds one of the phrases it is asked for at a time: A first, then R."""
-    best = boxes_pred(spark, sf).groupBy("image_id", "type").agg(F.max("score").alias("score"), F.lit("x").alias("row_id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(4.0).alias("x2"), F.lit(4.0).alias("y2"))
-    want = boxes_pred(spark, sf).select("image_id").distinct()
+    """A model that finds one of the phrases it is asked for at a time, the first by name that an image holds."""
+    best = boxes_pred(spark, sf).filter("score >= 0.3").groupBy("image_id", "type").agg(F.max("score").alias("score"), F.lit("x").alias("row_id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(4.0).alias("x2"), F.lit(4.0).alias("y2"))
 
     def detect(asked):
-        return asked.withColumn("type", F.when(F.size("phrases") == 2, F.get("phrases", 0)).otherwise(F.element_at("phrases", -1))).join(best, ["image_id", "type"]).drop("phrases")
+        held = asked.select("image_id", F.explode("phrases").alias("type")).join(best, ["image_id", "type"])
+        return held.join(held.groupBy("image_id").agg(F.min("type").alias("type")), ["image_id", "type"], "left_semi")
 
-    return K.label_rounds(detect, want, ["A", "R"]).select("image_id", "type", F.round("score", 6).alias("score"), "round")
+    images = boxes_pred(spark, sf).select("image_id").distinct()
+    return K.label_rounds(detect, images, ["A", "R"]).select("image_id", "type", F.round("score", 6).alias("score"), "round")
 
 
 @query("analysis_tables", BOXES + "SELECT type, count(*) FILTER (status <> 'INVALID') AS cnt, count(*) FILTER (status = 'INVALID') AS invalid FROM st GROUP BY type")
