@@ -42,13 +42,13 @@ _WEAK = """WITH w AS (SELECT event_id AS id, label, weakness, row_number() OVER
     SELECT event_id, value, CASE WHEN event_type = 'error' THEN 'NO_PASS' ELSE 'PASS' END AS label FROM events))) """
 
 
-def _scored(spark, sf):
+def _labelled(spark, sf):
     label = F.when(F.col("event_type") == "error", " no_pass").otherwise("Pass ")
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), label.alias("label"), F.round("value", 2).alias("score"))
 
 
 def _weak(spark, sf, k):
-    return G.weakest(_scored(spark, sf), 50.0, k)
+    return G.weakest(_labelled(spark, sf), 50.0, k)
 
 
 @query("weakest_top_k_per_label", _WEAK + "SELECT id, label, round(weakness, 6) AS weakness, 'in/' || id || '_' || l || '.png' AS filepath FROM w, (VALUES ('ir'), ('rgb')) v(l) WHERE k <= 50")
@@ -59,7 +59,7 @@ def _(spark, sf):
 
 @query("weak_breakdown", _WEAK + "SELECT label, count(*) AS cnt, count(*) FILTER (weakness > 0) AS misclassified, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct FROM w GROUP BY label")
 def _(spark, sf):
-    return G.breakdown(G.with_weakness(_scored(spark, sf), 50.0))
+    return G.breakdown(G.with_weakness(_labelled(spark, sf), 50.0))
 
 
 _ANSWER = "CASE WHEN {c} THEN 'Yes, it is.' WHEN {n} THEN '  NO' ELSE 'yes or no' END"
