@@ -1,11 +1,14 @@
 """Detection metrics: greedy matching, precision and recall, average precision, suppression, weak images.
 
-Matching folds over each image and class inside the JVM: the boxes of one image bound the state. All else is windows
-over (class) and aggregations.
+Matching and suppression fold over each image and class, as each box depends on those before it: Spark sorts, numpy
+measures overlaps with the boxes near by; the boxes of one image bound the state. All else is windows over (class) and
+aggregations.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,6 +29,143 @@ def _iou(d: float) -> str:
     own = lambda v: f"({v}.x2 - {v}.x1 + {d}D) * ({v}.y2 - {v}.y1 + {d}D)"
     return f"coalesce(try_divide({i}, {own('p')} + {own('g')} - {i}), 0D)"
 
+#: Overlaps at which a box's best partner is looked for before the threshold itself: few boxes lie so near.
+NEAR = (0.9, 0.7)
+_COLUMNS = ("x1", "y1", "x2", "y2")
+
+
+def _starts(table) -> np.ndarray:
+    """Where the runs of equal KEY begin."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for c in KEY:
+        code = table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(batches):
+    """Tables of whole images and classes, of batches that are sorted by KEY; no more is held than one and a batch."""
+    held = []
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        # The row before tells whether the first one goes on with what is held.
+        at = _starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]))[1:] - 1 if held else _starts(rows)[1:]
+        if len(at):
+            yield pa.concat_tables([*held, rows.slice(0, at[-1])]).combine_chunks()
+            held = []
+            rows = rows.slice(at[-1])
+        if rows.num_rows:
+            held.append(rows)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _fold(df: DataFrame, order: list[str], run, schema: str) -> DataFrame:
+    """What run(table, ends) yields of the images and classes that lie between ends: (rows, t, score), given as schema says.
+
+    Rows are sorted by Spark and pass Python a batch at a time, so that many small images cost no call each.
+    """
+
+    def each(batches):
+        for table in _whole(batches):
+            ends = [*_starts(table).tolist(), table.num_rows]
+            parts = [x for x in run(table, ends) if len(x[0])]
+            if parts:
+                at, t, score = (np.concatenate(x) for x in zip(*parts))
+                got = table.select([*KEY, "row_id"]).take(pa.array(at))
+                cols = {"image_id": got["image_id"], "type": got["type"], "t": pa.array(t, pa.int32()), "score": pa.array(score, pa.float64()), "pos": got["row_id"], "row_id": got["row_id"]}
+                yield from pa.table({c: cols[c] for c in names}).combine_chunks().to_batches()
+
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in KEY)
+    names = [*KEY, *[c.split()[0] for c in schema.split(", ")]]
+    return df.repartition(*KEY).sortWithinPartitions(*KEY, *order).mapInArrow(each, f"{kind}, {schema}")
+
+
+def _numbers(table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+class _Boxes:
+    """Boxes by their left edge, for overlaps of a box with those that may reach a threshold. Boxes without an area overlap none.
+
+    Where the overlap (iou) of two boxes is t or more, the other's left edge lies at most the share 1 - t of the box's width
+    to its right, and of the other's width, which is up to 1 / t of the box's, to its left.
+    """
+
+    def __init__(self, x1, y1, x2, y2, d: float, every: bool = False):
+        """every: boxes without an area are kept too, as for thresholds that all boxes reach."""
+        at = np.arange(len(x1)) if every else np.flatnonzero((x2 - x1 + d > 0) & (y2 - y1 + d > 0))
+        self.at = at[np.argsort(x1[at], kind="stable")]
+        self.x1, self.y1, self.x2, self.y2 = (c[self.at] for c in (x1, y1, x2, y2))
+        self.d, self.own = d, (self.x2 - self.x1 + d) * (self.y2 - self.y1 + d)
+        self.plain = not every and bool(np.isfinite(self.own).all())
+
+    def window(self, x1, x2, t: float) -> tuple[list, list]:
+        """For each box, the begin and end of those that may overlap it by t."""
+        if t <= 0:
+            return [0] * len(x1), [len(self.at)] * len(x1)
+        w = x2 - x1 + self.d
+        slack = 1e-9 * (np.abs(x1) + np.abs(w))
+        return np.searchsorted(self.x1, x1 - w * (1 - t) / t - slack).tolist(), np.searchsorted(self.x1, x1 + w * (1 - t) + slack, "right").tolist()
+
+    def overlaps(self, a: int, b: int, x1: float, y1: float, x2: float, y2: float) -> np.ndarray:
+        """Overlaps with the boxes a to b; 0 where there is none, or no number."""
+        d = self.d
+        w, h = np.minimum(self.x2[a:b], x2), np.minimum(self.y2[a:b], y2)
+        w -= np.maximum(self.x1[a:b], x1)
+        h -= np.maximum(self.y1[a:b], y1)
+        if d:
+            w += d
+            h += d
+        np.maximum(w, 0.0, out=w)
+        np.maximum(h, 0.0, out=h)
+        w *= h
+        u = self.own[a:b] + (x2 - x1 + d) * (y2 - y1 + d)
+        u -= w
+        if self.plain:
+            return np.divide(w, u, out=u)
+        # A union may be 0 or unknown where nothing overlaps.
+        np.divide(w, u, out=u, where=w > 0)
+        u[~(w > 0)] = 0.0
+        return u
+
+
+def _visit(g, big, p, threshold: float, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy matching of an image and class: t of each prediction (-1: it doesn't count), and which truths stay free.
+
+    g, p: corners of truths in their order and of predictions as they are visited; big: truths that count.
+    """
+    t, free = np.zeros(len(p[0]), dtype=np.int32), np.ones(len(g[0]), dtype=bool)
+    if not len(t) or not len(free):
+        return t, free
+    held = _Boxes(*g, d, every=threshold <= 0)
+    left = np.ones(len(held.at))
+    steps = [*[x for x in NEAR if x > threshold and len(left) > 128], threshold]
+    windows = [held.window(p[0], p[2], x) for x in steps]
+    proper = ((p[2] - p[0] + d > 0) & (p[3] - p[1] + d > 0)).tolist() if threshold > 0 else [True] * len(t)
+    for k, box in enumerate(zip(*[c.tolist() for c in p])):
+        if not proper[k]:
+            continue
+        for x, (begin, end) in zip(steps, windows):
+            a, b = begin[k], end[k]
+            if a >= b:
+                continue
+            ov = held.overlaps(a, b, *box)
+            ov *= left[a:b]
+            best = ov.max()
+            if best >= x:
+                same = np.flatnonzero(ov == best)
+                # Of equal ones the first truth.
+                i = a + (same[0] if len(same) == 1 else same[held.at[a:b][same].argmin()])
+                if big[held.at[i]]:
+                    t[k], left[i] = 1, 0.0
+                    free[held.at[i]] = False
+                else:
+                    t[k] = -1
+                break
+    return t, free
+
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp: str, threshold: float) -> DataFrame:
     """Pairs of left and right with equal keys whose overlap (iou) reaches a threshold above 0, and their columns.
@@ -57,33 +197,29 @@ def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: floa
     the threshold: t 1; else t 0. If that truth is under min_area, neither counts and the truth stays free. Every free
     truth of min_area is a miss: t 1 with score 0. Only images with truths are looked at, for every class of gt.
     """
-    corner = lambda *more: F.struct(*more, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    pred = pred.filter((F.col("score") >= conf) & (size >= min_area))
-    sides = gt.select(*KEY, corner(F.lit(0.0).alias("o"), F.col("row_id")).alias("g"), F.lit(None).cast("struct<o: double, row_id: string, x1: double, y1: double, x2: double, y2: double>").alias("p")).unionAll(
-        pred.join(gt.select("image_id").distinct(), "image_id", "left_semi").select(*KEY, F.lit(None).cast("struct<o: double, row_id: string, x1: double, y1: double, x2: double, y2: double>"), corner((-F.col("score")).cast("double").alias("o"), F.col("row_id")))
-    )
-    grouped = sides.groupBy(*KEY).agg(F.array_sort(F.collect_list("g")).alias("gs"), F.array_sort(F.collect_list("p")).alias("ps"))
-    start = "named_struct('free', transform(gs, g -> 1D), 'out', cast(array() as array<struct<t: int, score: double, pos: string>>))"
-    overlaps = f"transform(gs, (g, i) -> ({_iou(border)}) * s.free[i])"
-    take = f"""
-      element_at(transform(array({overlaps}), ov ->
-        element_at(transform(array(named_struct('best', array_max(ov), 'at', cast(array_position(ov, array_max(ov)) as int))), b ->
-          if(b.best >= {iou_threshold}D,
-             if((gs[b.at - 1].x2 - gs[b.at - 1].x1) * (gs[b.at - 1].y2 - gs[b.at - 1].y1) < {min_area}D, s,
-                named_struct('free', transform(s.free, (f, i) -> if(i = b.at - 1, 0D, f)), 'out', concat(s.out, array(named_struct('t', 1, 'score', -p.o, 'pos', p.row_id))))),
-             named_struct('free', s.free, 'out', concat(s.out, array(named_struct('t', 0, 'score', -p.o, 'pos', p.row_id)))))), 1)), 1)"""
-    none = "named_struct('free', s.free, 'out', concat(s.out, array(named_struct('t', 0, 'score', -p.o, 'pos', p.row_id))))"
-    done = grouped.select(*KEY, "gs", F.expr(f"aggregate(ps, {start}, (s, p) -> if(size(gs) = 0, {none}, {take}))").alias("s"))
-    missed = F.expr(f"""filter(transform(gs, (g, i) -> if(s.free[i] = 1D and (g.x2 - g.x1) * (g.y2 - g.y1) >= {min_area}D,
-        named_struct('t', 1, 'score', 0D, 'pos', g.row_id), null)), x -> x is not null)""")
-    pairs = done.select(*KEY, F.explode(F.concat("s.out", missed)).alias("r")).select(*KEY, "r.t", "r.score", "r.pos")
+    pred = pred.filter((F.col("score") >= conf) & (size >= min_area)).join(gt.select("image_id").distinct(), "image_id", "left_semi")
+    side = lambda df, n, o: df.select(*KEY, F.lit(n).alias("side"), o.cast("double").alias("o"), F.col("row_id").cast("string").alias("row_id"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS], F.coalesce(size >= min_area, F.lit(False)).alias("big"))
+    sides = side(gt, 0, F.lit(0.0)).unionAll(side(pred, 1, -F.col("score")))
+
+    def run(table, ends):
+        second, big, o = _numbers(table, "side") > 0, _numbers(table, "big") > 0, _numbers(table, "o")
+        cols = [_numbers(table, c) for c in _COLUMNS]
+        for a, e in zip(ends, ends[1:]):
+            m = e - int(second[a:e].sum())
+            t, free = _visit([c[a:m] for c in cols], big[a:m], [c[m:e] for c in cols], iou_threshold, border)
+            seen, missed = np.flatnonzero(t >= 0), np.flatnonzero(free & big[a:m])
+            yield m + seen, t[seen], -o[m:e][seen]
+            yield a + missed, np.ones(len(missed), dtype=np.int32), np.zeros(len(missed))
+
+    pairs = _fold(sides, ["side", "o", "row_id", *_COLUMNS], run, "t int, score double, pos string")
     # Images by classes: as many as the result of the evaluation has; those without any box are true negatives.
     types = [r[0] for r in gt.select("type").distinct().limit(CLASSES + 1).collect()]
     if len(types) > CLASSES:
         raise ValueError(f"more than {CLASSES} classes")
     every = gt.select("image_id").distinct().withColumn("type", F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>")))
-    empty = every.join(grouped.filter("size(gs) > 0 or size(ps) > 0").select(*KEY), KEY, "left_anti")
+    held = gt.select(*KEY).unionAll(pred.select(*KEY)).distinct()
+    empty = every.join(held, KEY, "left_anti")
     nothing = [F.lit(None).cast(k).alias(c) for c, k in (("t", "int"), ("score", "double"), ("pos", "string"))]
     return pairs.unionAll(empty.select(*KEY, *nothing))
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,23 @@ def test_sequence_summary(spark):
     got = {r.sequence: r for r in D.summarize(df, "person").collect()}
     assert set(got) == {"s1", "s2", "Summary"}
     assert got["Summary"].re == pytest.approx(8 / 18, abs=1e-6) and got["Summary"].ap == pytest.approx(0.3)
+
+
+#: As many truths of one image and class as a table of 1 GB has.
+MANY = 24_000
+
+
+def far_apart(spark):
+    """Truths of one image and class, none near another, and a prediction for every second one, moved by a pixel."""
+    x, y = F.col("id") % 200 * 12.0, F.floor(F.col("id") / 200) * 12.0
+    box = lambda s: [(x + s).alias("x1"), y.alias("y1"), (x + s + 10).alias("x2"), (y + 10).alias("y2")]
+    key = [F.lit(1).alias("image_id"), F.lit("c").alias("type"), F.lpad(F.col("id").cast("string"), 6, "0").alias("row_id")]
+    rows = spark.range(MANY)
+    return rows.select(*key, *box(0)), rows.filter("id % 2 = 0").select(*key, *box(1), (F.col("id") % 7 / 10.0).alias("score"))
+
+
+def test_matching_of_an_image_with_very_many_boxes(spark):
+    began = time.monotonic()
+    counts = D.match(*far_apart(spark)).groupBy("t", (F.col("pos").cast("int") % 2).alias("odd")).agg(F.count("*").alias("n"), F.count_distinct("pos").alias("ids"))
+    assert sorted(map(tuple, counts.collect())) == [(1, 0, MANY // 2, MANY // 2), (1, 1, MANY // 2, MANY // 2)]
+    assert time.monotonic() - began < 60
