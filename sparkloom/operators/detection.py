@@ -7,6 +7,8 @@ aggregations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -242,9 +244,8 @@ def average_precision(points: DataFrame, method: str = "sample", k: int = 11, ax
     """
     r, p = ("recall", "precision") if axes == "voc" else ("precision", "recall")
     if method == "sample":
-        at = F.explode(F.array(*[F.lit(i / (k - 1)) for i in range(k)])).alias("at")
-        best = points.select("type", F.col(r).alias("r"), F.col(p).alias("p"), at).groupBy("type", "at").agg(F.coalesce(F.max(F.when(F.col("r") >= F.col("at"), F.col("p"))), F.lit(0.0)).alias("best"))
-        return best.groupBy("type").agg((F.sum("best") / k).alias("ap"))
+        best = [F.coalesce(F.max(F.when(F.col(r) >= i / (k - 1), F.col(p))), F.lit(0.0)) for i in range(k)]
+        return points.groupBy("type").agg((reduce(Column.__add__, best) / k).alias("ap"))
     steps = points.groupBy("type", F.col(r).alias("r")).agg(F.max(p).alias("p"))
     steps = running(steps, ["type"], [F.desc("r")], {"p": (F.col("p"), "max")})
     steps = running(steps, ["type"], ["r"], {"before": (F.col("r"), "max_before")}).withColumn("before", F.coalesce("before", F.lit(0.0)))
@@ -263,7 +264,7 @@ def metrics(pairs: DataFrame, conf: float = 0.0) -> DataFrame:
 
 def evaluate(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: float = 0.5, min_area: float = 0.0, k: int = 11, axes: str = "swapped") -> DataFrame:
     """Per class: metrics() and ap. The mean over the ap column is the mean average precision."""
-    pairs = match(gt, pred, iou_threshold, conf, min_area)
+    pairs = cut(match(gt, pred, iou_threshold, conf, min_area))  # read by the curve and the counts
     ap = average_precision(curve(pairs, conf), "sample", k, axes)
     return metrics(pairs, conf).join(ap, "type", "left").na.fill(0.0, ["ap"])
 

@@ -144,3 +144,11 @@ def test_matching_of_an_image_with_very_many_boxes(spark):
     counts = D.match(*far_apart(spark)).groupBy("t", (F.col("pos").cast("int") % 2).alias("odd")).agg(F.count("*").alias("n"), F.count_distinct("pos").alias("ids"))
     assert sorted(map(tuple, counts.collect())) == [(1, 0, MANY // 2, MANY // 2), (1, 1, MANY // 2, MANY // 2)]
     assert time.monotonic() - began < 60
+
+
+def test_key_figures_of_an_image_with_very_many_boxes(spark):
+    began = time.monotonic()
+    r = D.evaluate(*far_apart(spark), conf=0.1).first()
+    low = len(range(0, MANY, 14))  # scores under 0.1
+    assert (r.tp, r.fp, r.fn, r.tn) == (MANY // 2 - low, 0, MANY // 2 + low, 0)
+    assert time.monotonic() - began < 60
