@@ -152,3 +152,12 @@ def test_key_figures_of_an_image_with_very_many_boxes(spark):
     low = len(range(0, MANY, 14))  # scores under 0.1
     assert (r.tp, r.fp, r.fn, r.tn) == (MANY // 2 - low, 0, MANY // 2 + low, 0)
     assert time.monotonic() - began < 60
+
+
+def test_weak_images_among_very_many_boxes(spark):
+    began = time.monotonic()
+    pairs = D.match(*far_apart(spark))
+    low = len(range(0, MANY, 14))  # scores under 0.1
+    assert [tuple(r)[2:5] for r in D.weak_images(pairs, 0.1, 0.6).collect()] == [(MANY // 2 - low, 0, MANY // 2 + low)]
+    assert D.weak_images(pairs, 0.1, 0.3).isEmpty()
+    assert time.monotonic() - began < 60
