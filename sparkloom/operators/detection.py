@@ -22,15 +22,6 @@ from sparkloom.operators.datasets import running
 KEY = ["image_id", "type"]
 #: Classes that an evaluation may have.
 CLASSES = 20_000
-_OVERLAP = """
-  greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1) + {d}, 0D) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1) + {d}, 0D)"""
-
-
-def _iou(d: float) -> str:
-    i = _OVERLAP.format(d=f"{d}D")
-    own = lambda v: f"({v}.x2 - {v}.x1 + {d}D) * ({v}.y2 - {v}.y1 + {d}D)"
-    return f"coalesce(try_divide({i}, {own('p')} + {own('g')} - {i}), 0D)"
-
 #: Overlaps at which a box's best partner is looked for before the threshold itself: few boxes lie so near.
 NEAR = (0.9, 0.7)
 _COLUMNS = ("x1", "y1", "x2", "y2")
@@ -283,11 +274,28 @@ def summarize(sequences: DataFrame, only: str | None = None) -> DataFrame:
 def suppress(found: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
     """Boxes (image_id, type, row_id, x1, y1, x2, y2, score) that stay when, within image and class, those overlapping a
     better kept one by more than the threshold are dropped. Ties go by row_id."""
-    one = F.struct((-F.col("score")).cast("double").alias("o"), F.col("row_id"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    grouped = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("ps"))
-    empty = "cast(array() as array<struct<o: double, row_id: string, x1: double, y1: double, x2: double, y2: double>>)"
-    kept = F.expr(f"aggregate(ps, {empty}, (s, p) -> if(exists(s, g -> {_iou(0.0)} > {iou_threshold}D), s, concat(s, array(p))))")
-    return grouped.select(*KEY, F.explode(kept).alias("k")).select(*KEY, "k.row_id", (-F.col("k.o")).alias("score"))
+    rows = found.select(*KEY, (-F.col("score")).cast("double").alias("o"), F.col("row_id").cast("string").alias("row_id"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
+
+    def run(table, ends):
+        o, cols = _numbers(table, "o"), [_numbers(table, c) for c in _COLUMNS]
+        for a, e in zip(ends, ends[1:]):
+            x1, y1, x2, y2 = box = [c[a:e] for c in cols]
+            held = _Boxes(*box, 0.0, every=iou_threshold <= 0)
+            begin, end = held.window(held.x1, held.x2, iou_threshold)
+            place = np.full(e - a, -1)
+            place[held.at] = np.arange(len(held.at))
+            gone = np.zeros(len(held.at), dtype=bool)
+            kept = []
+            for k, i in enumerate(place.tolist()):
+                if i < 0:
+                    kept.append(k)
+                elif not gone[i]:
+                    kept.append(k)
+                    # Better ones that it meets here are decided already.
+                    gone[begin[i] : end[i]] |= held.overlaps(begin[i], end[i], x1[k], y1[k], x2[k], y2[k]) > iou_threshold
+            yield a + np.array(kept), np.zeros(len(kept), dtype=np.int32), -o[a:e][kept]
+
+    return _fold(rows, ["o", "row_id", *_COLUMNS], run, "row_id string, score double")
 
 
 def weak_images(pairs: DataFrame, conf: float = 0.0, recall: float = 0.5, precision: float = 0.0) -> DataFrame:

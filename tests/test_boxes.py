@@ -161,3 +161,35 @@ def test_weak_images_among_very_many_boxes(spark):
     assert [tuple(r)[2:5] for r in D.weak_images(pairs, 0.1, 0.6).collect()] == [(MANY // 2 - low, 0, MANY // 2 + low)]
     assert D.weak_images(pairs, 0.1, 0.3).isEmpty()
     assert time.monotonic() - began < 60
+
+
+def test_suppression_in_an_image_with_very_many_boxes(spark):
+    """All boxes stay, and each has a worse copy that goes."""
+    began = time.monotonic()
+    truths, _ = far_apart(spark)
+    good = truths.withColumn("score", F.lit(0.9))
+    rows = good.unionByName(good.select("image_id", "type", F.concat(F.lit("x"), "row_id").alias("row_id"), "x1", "y1", (F.col("x2") - 1).alias("x2"), "y2", F.lit(0.5).alias("score")))
+    got = D.suppress(rows)
+    assert [tuple(r) for r in got.agg(F.count("*"), F.min("score"), F.count_distinct("row_id")).collect()] == [(MANY, 0.9, MANY)]
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("threshold", [-1.0, 0.0, 0.3])
+def test_suppression_against_a_plain_loop(spark, threshold):
+    rnd, rows = random.Random(8), []
+    for image in (1, 2, None):
+        for k in range(90):
+            x, y = rnd.randint(0, 40), rnd.randint(0, 40)
+            rows.append((image, rnd.choice("ab"), f"{image}-{k}", float(x), float(y), float(x + rnd.randint(-3, 20)), float(y + rnd.randint(-3, 20)), round(rnd.random(), 1)))
+
+    def iou(a, b):
+        i = max(min(a[5], b[5]) - max(a[3], b[3]), 0) * max(min(a[6], b[6]) - max(a[4], b[4]), 0)
+        u = (a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - i
+        return i / u if u else 0.0
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[7], r[2])):
+        if all(k[:2] != r[:2] or iou(r, k) <= threshold for k in kept):
+            kept.append(r)
+    got = D.suppress(spark.createDataFrame(rows, "image_id int, type string, row_id string, x1 double, y1 double, x2 double, y2 double, score double"), threshold)
+    assert sorted(r.row_id for r in got.collect()) == sorted(k[2] for k in kept)
