@@ -22,13 +22,8 @@ def signature(attributes: Column, names: Column) -> Column:
     return F.to_json(F.transform(F.array_sort(names), lambda n: F.struct(n.alias("n"), F.coalesce(F.try_element_at(attributes, n), F.lit("")).alias("v"))))
 
 
-def attribute_pairs(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """(query_id, image_id) of all images whose attributes answer a query.
-
-    queries: query_id, names (array), attributes (map), text; images: image_id, attributes (map). Only the sets of names
-    that occur in queries are indexed. Where names have `accessories`, the other names are the key, and each of the
-    query's own accessories (`colour item`) that its text names, in full or by item, must be among the image's.
-    """
+def _asked(queries: DataFrame) -> DataFrame:
+    """queries with _names and _sig, the names and values that images must have, and _need, the accessories."""
     keys = F.filter("names", lambda n: n != "accessories")
     q = queries.withColumn("_names", F.array_sort(keys)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
     own = F.filter(F.split(F.coalesce(F.try_element_at("attributes", F.lit("accessories")), F.lit("")), r"\s*,\s*"), lambda a: a != "")
@@ -36,15 +31,38 @@ def attribute_pairs(queries: DataFrame, images: DataFrame) -> DataFrame:
     low = F.lower("text")
     need = F.filter(own, lambda a: low.contains(F.lower(a)) | low.contains(F.lower(last(a))))
     need = F.transform(need, lambda a: F.when(low.contains(F.lower(a)), a).otherwise(last(a)))
-    q = q.withColumn("_need", F.when(F.array_contains("names", "accessories"), need).otherwise(F.array().cast("array<string>")))
-    sets = [r[0] for r in q.select("_names").distinct().limit(NAME_SETS + 1).collect()]
+    return q.withColumn("_need", F.when(F.array_contains("names", "accessories"), need).otherwise(F.array().cast("array<string>")))
+
+
+def _indexed(images: DataFrame, asked: DataFrame) -> DataFrame:
+    """images with _has, their accessories, and _sig for each set of names that is asked for."""
+    sets = [r[0] for r in asked.select("_names").distinct().limit(NAME_SETS + 1).collect()]
     if len(sets) > NAME_SETS:
         raise ValueError(f"queries ask for more than {NAME_SETS} different sets of attributes")
     every = F.array(*[F.array(*[F.lit(n) for n in names]).cast("array<string>") for names in sets]).cast("array<array<string>>")
-    index = images.select("image_id", "attributes", F.coalesce(F.try_element_at("attributes", F.lit("accessories")), F.lit("")).alias("_has"))
-    index = index.withColumn("_names", F.explode(every)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
-    hit = q.select("query_id", "_sig", "_need").join(index.select("image_id", "_sig", "_has"), "_sig")
-    return hit.filter(F.forall("_need", lambda a: F.lower("_has").contains(F.lower(a)))).select("query_id", "image_id")
+    index = images.withColumn("_has", F.coalesce(F.try_element_at("attributes", F.lit("accessories")), F.lit("")))
+    return index.withColumn("_names", F.explode(every)).withColumn("_sig", signature(F.col("attributes"), F.col("_names")))
+
+
+_WORN = "forall(_need, a -> contains(lower(_has), lower(a)))"
+
+
+def attribute_pairs(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """(query_id, image_id) of all images whose attributes answer a query.
+
+    queries: query_id, names (array), attributes (map), text; images: image_id, attributes (map). Only the sets of names
+    that occur in queries are indexed. Where names have `accessories`, the other names are the key, and each of the
+    query's own accessories (`colour item`) that its text names, in full or by item, must be among the image's.
+    """
+    q = _asked(queries)
+    index = _indexed(images, q).select("image_id", "_sig", "_has")
+    q = q.select("query_id", "_sig", "_need")
+    # Most pairs need no look at accessories; the others are told by what is needed and had, not pair by pair.
+    plain = q.filter("size(_need) = 0").select("query_id", "_sig").join(index.select("image_id", "_sig"), "_sig")
+    asks = q.filter("size(_need) > 0")
+    worn = asks.select("_sig", "_need").distinct().join(index.select("_sig", "_has").distinct(), "_sig").filter(_WORN)
+    rest = asks.join(worn, ["_sig", "_need"]).join(index, ["_sig", "_has"])
+    return plain.select("query_id", "image_id").unionAll(rest.select("query_id", "image_id"))
 
 
 def admitted(df: DataFrame, rules: dict[str, tuple[str, list[str]]]) -> DataFrame:
@@ -106,7 +124,12 @@ def build(queries: DataFrame, images: DataFrame, rules: dict[str, tuple[str, lis
     queries: query_id, names, attributes, text, query_type; images: image_id, image_path, split, dataset, attributes. The
     result has pair_id (`query-image`), split, image_path, caption, dataset, query_type.
     """
-    hits = attribute_pairs(queries.select("query_id", "names", "attributes", "text"), images.select("image_id", "attributes"))
-    rows = hits.join(queries.select("query_id", "query_type", F.col("text").alias("caption")), "query_id").join(images.drop("attributes"), "image_id")
-    key = F.concat_ws("-", F.lpad(F.col("query_id").cast("string"), 12, "0"), F.lpad(F.col("image_id").cast("string"), 12, "0")).alias("pair_id")
+    # Queries of equal texts and needs are answered by the same images, and images of one path by their attributes; a pair
+    # of the least ids of both is the first of all that are equal, so that only those need to meet.
+    padded = lambda c: F.min(F.lpad(F.col(c).cast("string"), 12, "0"))
+    q = _asked(queries.withColumn("caption", text.strip(F.col("text"))).filter("query_id is not null and caption <> ''"))
+    index = _indexed(images.filter("image_id is not null"), q).groupBy("_sig", "_has", "split", "image_path", "dataset").agg(padded("image_id").alias("_image"))
+    q = q.groupBy("_sig", "_need", "query_type", "caption").agg(padded("query_id").alias("_query"))
+    rows = q.join(index, "_sig").filter(F.expr(f"size(_need) = 0 or {_WORN}"))
+    key = F.concat_ws("-", "_query", "_image").alias("pair_id")
     return finish(admitted(rows.select(key, "split", "image_path", "caption", "dataset", "query_type"), rules), val_fraction)

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,13 @@ def test_odvg_round_trip(spark):
     assert [(r.ann_id, r.x, r.w, r.h) for r in anns.orderBy("ann_id").collect()] == [(1, 1.0, 3.0, 3.0), (2, 0.0, 3.0, 10.0)]
     back = A.odvg_to_coco(A.coco_to_odvg(images, anns, cats)).orderBy("ann_id").collect()
     assert [(r.ann_id, r.category_id, r.w) for r in back] == [(0, 1, 3.0), (1, 2, 3.0)]
+
+
+def test_caption_pairs_of_very_many_equal_queries_and_images(spark):
+    began = time.monotonic()
+    has = F.create_map(F.lit("top"), F.lit("red")).alias("attributes")
+    q = spark.range(40_000).select(F.col("id").alias("query_id"), F.array(F.lit("top")).alias("names"), has, F.concat(F.lit(" c"), F.col("id") % 2).alias("text"), F.lit("easy").alias("query_type"))
+    i = spark.range(40_000).select(F.col("id").alias("image_id"), F.concat(F.lit("p"), F.col("id") % 2).alias("image_path"), F.lit("train").alias("split"), F.lit("d").alias("dataset"), has)
+    got = P.build(q.filter("query_id > 2"), i.filter("image_id > 2"), {}).select("caption", "image_path", "pair_id").collect()
+    assert sorted(tuple(r) for r in got) == [(f"c{a % 2}", f"p{b % 2}", f"{a:012d}-{b:012d}") for a in (4, 3) for b in (4, 3)]
+    assert time.monotonic() - began < 30
