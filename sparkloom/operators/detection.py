@@ -165,11 +165,17 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp:
 
     Boxes that overlap so far differ in width and in height by the threshold's factor at most, and their corners by less
     than the share of a width or height that may lie outside. These bounds are compared first, on sides made once a row;
-    the overlap itself is measured for the few pairs that stay. Inverted and empty boxes overlap none.
+    the overlap itself is measured for the few pairs that stay, once for all copies of two boxes. Inverted and empty boxes
+    overlap none.
     """
-    sides = lambda df, p, n: df.filter((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin"))).withColumns(
-        {f"_{n}w": F.col(f"{p}xmax") - F.col(f"{p}xmin"), f"_{n}h": F.col(f"{p}ymax") - F.col(f"{p}ymin")}
-    )
+    def sides(df, p, n):
+        corners = [p + c for c in ("xmin", "ymin", "xmax", "ymax")]
+        rest = [F.col(c) for c in df.columns if c not in (*keys, *corners)]
+        proper = df.filter((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin")))
+        # Copies of a box are measured once.
+        one = proper.groupBy(*keys, *corners).agg(F.collect_list(F.struct(*rest, F.lit(1).alias("_one"))).alias(f"_{n}s"))
+        return one.withColumns({f"_{n}w": F.col(f"{p}xmax") - F.col(f"{p}xmin"), f"_{n}h": F.col(f"{p}ymax") - F.col(f"{p}ymin")})
+
     t, slack = threshold * (1 - 1e-9), (1 - threshold) * (1 + 1e-9)
     near = F.lit(True)
     for side, corner in (("w", "xmin"), ("h", "ymin")):
@@ -179,7 +185,9 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp:
         near = near & (a >= b * t) & (b >= a * t) & (shift <= b * slack) & (shift >= -a * slack)
     pairs = sides(left, lp, "l").join(sides(right, rp, "r"), keys).filter(near)
     pairs = pairs.withColumn("iou", boxes.iou(boxes.box(lp), boxes.box(rp))).filter(F.col("iou") >= threshold)
-    return pairs.drop("_lw", "_lh", "_rw", "_rh")
+    pairs = pairs.withColumn("_l", F.explode("_ls")).withColumn("_r", F.explode("_rs"))
+    held = lambda df, p, n: [F.col(c) if c.startswith(p) and c[len(p) :] in ("xmin", "ymin", "xmax", "ymax") else F.col(f"_{n}.{c}") for c in df.columns if c not in keys]
+    return pairs.select(*keys, *held(left, lp, "l"), *held(right, rp, "r"), "iou")
 
 
 def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: float = 0.0, min_area: float = 0.0, border: float = 0.0) -> DataFrame:

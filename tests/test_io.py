@@ -2,6 +2,7 @@ import itertools
 import json
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -159,3 +160,12 @@ def test_rounds_of_matching_are_of_one_search(spark, sf, monkeypatch):
     monkeypatch.setattr(writers, "matching_result", written)
     entry.queries()["matching_coverage"](spark, sf)
     assert len(plans) == 2 and all("LogicalRDD" in p and "Join" not in p and "MapInPandas" not in p for p in plans)
+
+
+def test_copies_of_boxes_are_measured_once(spark):
+    began = time.monotonic()
+    box = lambda n, x: spark.range(60_000).select(F.lit(1).alias("k"), F.col("id").alias(f"{n}_id"), *[F.lit(v).alias(f"{n}_{c}") for c, v in (("xmin", x), ("ymin", 0.0), ("xmax", x + 9), ("ymax", 9.0))])
+    left = box("a", 0.0).unionByName(box("a", 4.0).filter("a_id < 2"))
+    right = box("b", 6.0)
+    assert K.overlapping(left, right, ["k"], "a_", "b_", 0.5).groupBy("a_xmin", F.round("iou", 4)).count().collect() == [(4.0, round(7 / 11, 4), 120_000)]
+    assert time.monotonic() - began < 15
