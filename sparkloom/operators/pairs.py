@@ -15,6 +15,8 @@ SKIPPED = ("missing", "not visible")
 
 #: Different sets of attribute names that queries may ask for; an image is indexed under each.
 NAME_SETS = 5_000
+#: Tasks that share the queries of one set of names and values.
+SPREAD = 8
 
 
 def signature(attributes: Column, names: Column) -> Column:
@@ -58,7 +60,11 @@ def attribute_pairs(queries: DataFrame, images: DataFrame) -> DataFrame:
     index = _indexed(images, q).select("image_id", "_sig", "_has")
     q = q.select("query_id", "_sig", "_need")
     # Most pairs need no look at accessories; the others are told by what is needed and had, not pair by pair.
-    plain = q.filter("size(_need) = 0").select("query_id", "_sig").join(index.select("image_id", "_sig"), "_sig")
+    # The few and narrow rows of a key make very many pairs: queries of a key are dealt to SPREAD tasks, which Spark leaves apart.
+    n = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD)
+    deal = lambda df, part: df.withColumn("_part", part).repartition(n, "_sig", "_part")
+    plain = deal(q.filter("size(_need) = 0").select("query_id", "_sig"), F.pmod(F.xxhash64("query_id"), F.lit(SPREAD)).cast("int"))
+    plain = plain.join(deal(index.select("image_id", "_sig"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["_sig", "_part"])
     asks = q.filter("size(_need) > 0")
     worn = asks.select("_sig", "_need").distinct().join(index.select("_sig", "_has").distinct(), "_sig").filter(_WORN)
     rest = asks.join(worn, ["_sig", "_need"]).join(index, ["_sig", "_has"])

@@ -207,3 +207,11 @@ def test_caption_pairs_of_very_many_equal_queries_and_images(spark):
     got = P.build(q.filter("query_id > 2"), i.filter("image_id > 2"), {}).select("caption", "image_path", "pair_id").collect()
     assert sorted(tuple(r) for r in got) == [(f"c{a % 2}", f"p{b % 2}", f"{a:012d}-{b:012d}") for a in (4, 3) for b in (4, 3)]
     assert time.monotonic() - began < 30
+
+
+def test_pairs_of_one_key_are_made_by_several_tasks(spark):
+    has = F.create_map(F.lit("top"), F.lit("red")).alias("attributes")
+    q = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit("top")).alias("names"), has, F.lit("c").alias("text"))
+    got = P.attribute_pairs(q, spark.range(20).select(F.col("id").alias("image_id"), has))
+    assert got.distinct().count() == got.count() == 6000
+    assert got.groupBy(F.spark_partition_id()).count().count() > 2
