@@ -81,15 +81,41 @@ def paired(images: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(images.select(stem(F.col("image_path")).alias("stem"), "image_path"), "stem")
 
 
+#: Lines around the lists of a COCO file that has a line for each row; the first tells this layout.
+COCO_HEADS = ('{"layout":"a line for each row","images":[', '],"annotations":[', '],"categories":[')
+COCO_END = "]}"
+
+
+def _coco_lists(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Rows of images (i), annotations (a) and categories (c) of COCO files.
+
+    A single file that `writers.coco_json` laid out is read by lines, its parts by many tasks; others as one value a file.
+    """
+    lines, names = spark.read.text(path), ("images", "annotations", "categories")
+    head = lines.first() if len(lines.inputFiles()) == 1 else None
+    if head is None or head[0] != COCO_HEADS[0]:
+        raw = spark.read.schema(_COCO).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+        return [raw.select(F.explode(n).alias(n[0])) for n in names]
+    if lines.filter(F.col("value") == COCO_END).isEmpty():
+        raise ValueError(f"{path} ends before its lists do")
+    schema, out = spark.createDataFrame([], _COCO).schema, []
+    row, blanks = ~F.col("value").isin(*COCO_HEADS, COCO_END), F.length(F.regexp_extract("value", r"^,?( *)", 1))
+    for i, n in enumerate(names):
+        # The condition stands inside too, as Spark may move what is made of a row before a filter.
+        own = row & (blanks == i)
+        one = F.from_json(F.when(own, F.ltrim(F.col("value"), F.lit(", "))), schema[n].dataType.elementType, {"mode": "FAILFAST"})
+        out.append(lines.filter(own).select(one.alias(n[0])))
+    return out
+
+
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of COCO files. Annotations of unknown images or categories, or without four
     box numbers, go; the path is the first of file_name, filepath, file_path that isn't empty. Bad JSON fails."""
-    raw = spark.read.schema(_COCO).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    i, a, c = _coco_lists(spark, path)
     path_of = F.coalesce(*[F.nullif(F.col(f"i.{c}"), F.lit("")) for c in ("file_name", "filepath", "file_path")])
-    images = raw.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), path_of.alias("file_name"), "i.height", "i.width")
-    categories = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("type"))
-    a = raw.select(F.explode("annotations").alias("a")).filter(F.size("a.bbox") == 4)
-    anns = a.select(F.col("a.id").alias("ann_id"), "a.image_id", "a.category_id", *[F.col("a.bbox")[i].alias(n) for i, n in enumerate("xywh")], "a.area", "a.iscrowd", "a.score")
+    images = i.select(F.col("i.id").alias("image_id"), path_of.alias("file_name"), "i.height", "i.width")
+    categories = c.select(F.col("c.id").alias("category_id"), F.col("c.name").alias("type"))
+    anns = a.filter(F.size("a.bbox") == 4).select(F.col("a.id").alias("ann_id"), "a.image_id", "a.category_id", *[F.col("a.bbox")[i].alias(n) for i, n in enumerate("xywh")], "a.area", "a.iscrowd", "a.score")
     return images, anns.join(images.select("image_id"), "image_id", "left_semi").join(categories.select("category_id"), "category_id", "left_semi"), categories
 
 

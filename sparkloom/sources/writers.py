@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.sources import files
-from sparkloom.sources.readers import LABEL_FIELDS
+from sparkloom.sources.readers import COCO_END, COCO_HEADS, LABEL_FIELDS
 
 
 def valid_invalid_csv(df: DataFrame, folder: str) -> None:
@@ -35,20 +35,32 @@ def label_files(df: DataFrame, folder: str) -> DataFrame:
 
 
 def coco_json(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    """One COCO object in one file. Rows are streamed through the driver in order of ids; none but the present ones are held."""
+    """One COCO object in one file, a line for each row, in order of ids, so that `readers.coco` can read parts of the file.
+
+    Tasks write the lines to a folder beside it; the driver puts their bytes together and holds none but the present ones.
+    """
     box = annotations.select(F.col("ann_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), "area", "iscrowd")
     parts = [
-        ("images", files.json_rows(images.select(F.col("image_id").alias("id"), "file_name", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")), ["id"])),
-        ("annotations", files.json_rows(box, ["id"])),
-        ("categories", files.json_rows(categories.select(F.col("category_id").alias("id"), F.col("type").alias("name")), ["id"])),
+        images.select(F.col("image_id").alias("id"), "file_name", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")),
+        box,
+        categories.select(F.col("category_id").alias("id"), F.col("type").alias("name")),
     ]
+    folder = f"{path}.rows-{uuid.uuid4().hex}"
 
     def pieces():
-        for i, (name, rows) in enumerate(parts):
-            yield from files.joined(rows, ("{" if i == 0 else ",") + f'"{name}":[', "]")
-        yield "}"
+        for i, (rows, head) in enumerate(zip(parts, COCO_HEADS)):
+            yield head + "\n"
+            # Blanks before a row tell its list; a comma goes before all but the first.
+            line = F.concat(F.lit("," + " " * i), F.to_json(F.struct(*rows.columns)))
+            for k, piece in enumerate(files.lines(rows.select("id", line.alias("l")), ["id"], f"{folder}/{i}")):
+                yield piece[1:] if k == 0 else piece
+        yield COCO_END + "\n"
 
-    files.stream(pieces(), path)
+    try:
+        files.stream(pieces(), path)
+    finally:
+        gone = annotations.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        gone.getFileSystem(annotations.sparkSession._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def json_array(df: DataFrame, path: str, order: list[str], drop: list[str] | None = None) -> None:

@@ -169,3 +169,27 @@ def test_copies_of_boxes_are_measured_once(spark):
     right = box("b", 6.0)
     assert K.overlapping(left, right, ["k"], "a_", "b_", 0.5).groupBy("a_xmin", F.round("iou", 4)).count().collect() == [(4.0, round(7 / 11, 4), 120_000)]
     assert time.monotonic() - began < 15
+
+
+def test_coco_files_are_read_by_many_tasks(spark, tmp_path):
+    n, path = 30_000, str(tmp_path / "coco.json")
+    images = spark.createDataFrame([(1, None, 9, 9), (2, "b ] }\n.png", 9, 9)], "image_id long, file_name string, height int, width int")
+    anns = spark.range(n).select(F.col("id").alias("ann_id"), (F.col("id") % 2 + 1).alias("image_id"), F.lit(1).alias("category_id"), *[F.col("id").cast("double").alias(c) for c in "xywh"], F.lit(1.0).alias("area"), F.lit(0).alias("iscrowd"))
+    writers.coco_json(images, anns, spark.createDataFrame([(1, "car")], "category_id long, type string"), path)
+    whole = json.load(open(path))
+    assert [len(whole[k]) for k in ("images", "annotations", "categories")] == [2, n, 1] and [a["id"] for a in whole["annotations"]] == list(range(n))
+    assert os.listdir(tmp_path) == ["coco.json"] or [x for x in os.listdir(tmp_path) if not x.endswith(".crc")] == ["coco.json"]
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        got = readers.coco(spark, path)
+        assert [x.count() for x in got] == [2, n, 1] and got[1].rdd.getNumPartitions() > 1
+        assert {(r.image_id, r.file_name) for r in got[0].collect()} == {(1, None), (2, "b ] }\n.png")}
+        (tmp_path / "plain.json").write_text(json.dumps(whole))
+        assert readers.coco(spark, str(tmp_path / "plain.json"))[1].exceptAll(got[1]).isEmpty()
+        text = open(path).read()
+        (tmp_path / "cut.json").write_text(text[: len(text) // 2])
+        with pytest.raises(Exception):
+            readers.coco(spark, str(tmp_path / "cut.json"))[1].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
