@@ -1,8 +1,8 @@
 """Detection metrics: greedy matching, precision and recall, average precision, suppression, weak images.
 
 Matching and suppression fold over each image and class, as each box depends on those before it: Spark sorts, numpy
-measures overlaps with the boxes near by; the boxes of one image bound the state. All else is windows over (class) and
-aggregations.
+measures overlaps with the boxes near by, matching those of many images at once; the boxes of one image bound the state.
+All else is windows over (class) and aggregations.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from sparkloom.operators.datasets import running
 KEY = ["image_id", "type"]
 #: Classes that an evaluation may have.
 CLASSES = 20_000
-#: Overlaps at which a box's best partner is looked for before the threshold itself: few boxes lie so near.
-NEAR = (0.9, 0.7)
+#: Boxes of a strip; pairs that are measured at once; pairs with left edges near, and so the overlaps held, of a block of predictions.
+STRIP, MEASURED, WINDOWS = 64, 1 << 18, 1 << 21
 _COLUMNS = ("x1", "y1", "x2", "y2")
 
 
@@ -55,24 +55,25 @@ def _whole(batches):
 
 
 def _fold(df: DataFrame, order: list[str], run, schema: str) -> DataFrame:
-    """What run(table, ends) yields of the images and classes that lie between ends: (rows, t, score), given as schema says.
+    """What run(table, ends) gives of the images and classes that lie between ends: rows, and columns of theirs by name.
 
-    Rows are sorted by Spark and pass Python a batch at a time, so that many small images cost no call each.
+    schema names the columns; one that run doesn't give is the rows' row_id. Rows are sorted by Spark and pass Python a batch
+    at a time, so that many small images cost no call each.
     """
 
     def each(batches):
         for table in _whole(batches):
-            ends = [*_starts(table).tolist(), table.num_rows]
-            parts = [x for x in run(table, ends) if len(x[0])]
-            if parts:
-                at, t, score = (np.concatenate(x) for x in zip(*parts))
-                got = table.select([*KEY, "row_id"]).take(pa.array(at))
-                cols = {"image_id": got["image_id"], "type": got["type"], "t": pa.array(t, pa.int32()), "score": pa.array(score, pa.float64()), "pos": got["row_id"], "row_id": got["row_id"]}
-                yield from pa.table({c: cols[c] for c in names}).combine_chunks().to_batches()
+            at, cols = run(table, [*_starts(table).tolist(), table.num_rows])
+            if len(at):
+                of = lambda c: table[c].take(pa.array(at))
+                got = {**{c: of(c) for c in KEY}, **{c: pa.array(cols[c]) if c in cols else of("row_id") for c in names}}
+                yield from pa.table(got).combine_chunks().to_batches()
 
     kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in KEY)
-    names = [*KEY, *[c.split()[0] for c in schema.split(", ")]]
-    return df.repartition(*KEY).sortWithinPartitions(*KEY, *order).mapInArrow(each, f"{kind}, {schema}")
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = df.repartition(*KEY).sortWithinPartitions(*KEY, *order)
+    # Without ids in the result they only sort.
+    return (rows if {"pos", "row_id"} & set(names) else rows.drop("row_id")).mapInArrow(each, f"{kind}, {schema}")
 
 
 def _numbers(table, name: str) -> np.ndarray:
@@ -125,38 +126,183 @@ class _Boxes:
 
 
 def _visit(g, big, p, threshold: float, d: float) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy matching of an image and class: t of each prediction (-1: it doesn't count), and which truths stay free.
-
-    g, p: corners of truths in their order and of predictions as they are visited; big: truths that count.
-    """
+    """_meet of one image and class, for a threshold of 0 or less, which boxes reach that don't overlap."""
     t, free = np.zeros(len(p[0]), dtype=np.int32), np.ones(len(g[0]), dtype=bool)
     if not len(t) or not len(free):
         return t, free
-    held = _Boxes(*g, d, every=threshold <= 0)
+    held = _Boxes(*g, d, every=True)
     left = np.ones(len(held.at))
-    steps = [*[x for x in NEAR if x > threshold and len(left) > 128], threshold]
-    windows = [held.window(p[0], p[2], x) for x in steps]
-    proper = ((p[2] - p[0] + d > 0) & (p[3] - p[1] + d > 0)).tolist() if threshold > 0 else [True] * len(t)
     for k, box in enumerate(zip(*[c.tolist() for c in p])):
-        if not proper[k]:
-            continue
-        for x, (begin, end) in zip(steps, windows):
-            a, b = begin[k], end[k]
-            if a >= b:
+        ov = held.overlaps(0, len(left), *box)
+        ov *= left
+        best = ov.max()
+        if best >= threshold:
+            same = np.flatnonzero(ov == best)
+            # Of equal ones the first truth.
+            i = same[held.at[same].argmin()]
+            if big[held.at[i]]:
+                t[k], left[i] = 1, 0.0
+                free[held.at[i]] = False
+            else:
+                t[k] = -1
+    return t, free
+
+
+def _distinct(key, box) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes of equal key and corners once: the first row of each, of each row which of them it is, and all rows by that."""
+    rows = np.lexsort((*box, key))
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = reduce(np.logical_or, [c[rows[1:]] != c[rows[:-1]] for c in (key, *box)])
+    which = np.empty(len(rows), dtype=np.int64)
+    which[rows] = np.cumsum(new) - 1
+    return rows[new], which, rows
+
+
+def _codes(key, values):
+    """Numbers in the order of (key, values), and a function that places any others among them."""
+    known = np.unique(values)
+    code = lambda k, v, side: k * (len(known) + 1) + np.searchsorted(known, v, side)
+    return code(key, values, "left"), code
+
+
+def _members(begin, count) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of count members from begin on: the run of each member, and the members."""
+    run = np.repeat(np.arange(len(count)), count)
+    return run, np.arange(len(run)) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def _blocks(count, most: int):
+    """Ends of blocks whose counts sum to most or less, or have one member."""
+    sums, a = np.cumsum(count), 0
+    while a < len(sums):
+        e = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + most, "right")))
+        yield a, e
+        a = e
+
+
+class _Plane:
+    """Boxes of many images, all with an area: strips of neighbours from left to right, in each strip from above.
+
+    What _Boxes says of left edges holds of upper ones too.
+    """
+
+    def __init__(self, key, box, t: float, d: float):
+        rows = np.lexsort((box[0], key))
+        key = key[rows]
+        self.t, self.d = t, d
+        self.x, self.x_code = _codes(key, box[0][rows])
+        # Each image begins a strip.
+        self.strip = np.cumsum((np.arange(len(key)) - np.searchsorted(key, key)) % STRIP == 0) - 1
+        y, self.y_code = _codes(self.strip, box[1][rows])
+        order = np.argsort(y, kind="stable")
+        self.y, self.rows = y[order], rows[order]
+        self.x1, self.y1, self.x2, self.y2 = (c[self.rows] for c in box)
+        self.w, self.h = self.x2 - self.x1 + d, self.y2 - self.y1 + d
+
+    def _reach(self, low, high):
+        w = high - low + self.d
+        slack = 1e-9 * (np.abs(low) + np.abs(w))
+        return low - w * (1 - self.t) / self.t - slack, low + w * (1 - self.t) + slack
+
+    def window(self, key, box) -> tuple[np.ndarray, np.ndarray]:
+        """For each box, the begin and number of those whose left edges are near, from left to right."""
+        low, high = self._reach(box[0], box[2])
+        begin = np.searchsorted(self.x, self.x_code(key, low, "left"))
+        return begin, np.maximum(np.searchsorted(self.x, self.x_code(key, high, "right")) - begin, 0)
+
+    def overlaps(self, begin, count, box) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(box, held box, overlap) where that reaches t, of boxes that have such windows."""
+        some = np.flatnonzero(count)
+        first = self.strip[begin[some]]
+        at, strip = _members(first, self.strip[begin[some] + count[some] - 1] - first + 1)
+        at = some[at]
+        low, high = self._reach(box[1], box[3])
+        begin = np.searchsorted(self.y, self.y_code(strip, low[at], "left"))
+        count = np.maximum(np.searchsorted(self.y, self.y_code(strip, high[at], "right")) - begin, 0)
+        x1, y1, x2, y2 = box
+        w, h = x2 - x1 + self.d, y2 - y1 + self.d
+        t, got = self.t * (1 - 1e-9), []
+        for a, e in _blocks(count, MEASURED):
+            i, j = _members(begin[a:e], count[a:e])
+            i = at[a:e][i]
+            wide = np.minimum(x2[i], self.x2[j]) - np.maximum(x1[i], self.x1[j]) + self.d
+            # An overlap of t needs as much of either width and height.
+            on = wide >= t * np.maximum(w[i], self.w[j])
+            i, j, wide = i[on], j[on], wide[on]
+            high = np.minimum(y2[i], self.y2[j]) - np.maximum(y1[i], self.y1[j]) + self.d
+            on = high >= t * np.maximum(h[i], self.h[j])
+            i, j = i[on], j[on]
+            both = wide[on] * high[on]
+            ov = both / (self.w[j] * self.h[j] + w[i] * h[i] - both)
+            on = ov >= self.t
+            got.append((i[on], self.rows[j[on]], ov[on]))
+        if not got:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        return tuple(np.concatenate(c) for c in zip(*got))
+
+
+def _meet(gkey, g, big, pkey, p, threshold: float, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy matching: t of each prediction (-1: it doesn't count), and which truths stay free. The threshold is above 0.
+
+    gkey, pkey: numbers of image and class; g, p: corners of truths in their order and of predictions as they are visited;
+    big: truths that count, which their corners decide. Overlaps of many images are measured at once, and those of copies
+    once; then each prediction in turn looks at the few boxes that reach the threshold. Boxes without an area overlap none.
+    """
+    t, free = np.zeros(len(pkey), dtype=np.int32), np.ones(len(gkey), dtype=bool)
+
+    def proper(box):
+        w, h = box[2] - box[0] + d, box[3] - box[1] + d
+        return np.flatnonzero((w > 0) & (h > 0) & np.isfinite(w * h))
+
+    held, seen = proper(g), proper(p)
+    if not len(held) or not len(seen):
+        return t, free
+    first, which, rows = _distinct(gkey[held], [c[held] for c in g])
+    # Copies in their order; those from after to end are free.
+    truth, one = held[rows].tolist(), held[first]
+    end = np.cumsum(np.bincount(which))
+    after, end, counts = [0, *end[:-1].tolist()], end.tolist(), big[one].tolist()
+    plane = _Plane(gkey[one], [c[one] for c in g], threshold, d)
+    begin, count = plane.window(pkey[seen], [c[seen] for c in p])
+    if count.sum() > WINDOWS:
+        # Overlaps are the same if axes change places; fewer upper edges than left ones may be near.
+        turn = lambda box: [box[i] for i in (1, 0, 3, 2)]
+        turned = _Plane(gkey[one], [c[one] for c in turn(g)], threshold, d)
+        window = turned.window(pkey[seen], [c[seen] for c in turn(p)])
+        if window[1].sum() < count.sum():
+            plane, (begin, count), p = turned, window, turn(p)
+    for a, e in _blocks(count, WINDOWS):
+        some = np.flatnonzero(count[a:e]) + a
+        first, which, _ = _distinct(pkey[seen[some]], [c[seen[some]] for c in p])
+        first = some[first]
+        i, j, ov = plane.overlaps(begin[first], count[first], [c[seen[first]] for c in p])
+        order = np.lexsort((-ov, i))
+        boxes_of, marks = j[order].tolist(), ov[order].tolist()
+        n = np.bincount(i, minlength=len(first))
+        last = np.cumsum(n)
+        on = np.flatnonzero(n[which])
+        at, last = (last - n).tolist(), last.tolist()
+        for k, u in zip(seen[some[on]].tolist(), which[on].tolist()):
+            q, z = at[u], last[u]
+            # Boxes whose copies are all taken stay so.
+            while q < z and after[boxes_of[q]] == end[boxes_of[q]]:
+                q += 1
+            at[u] = q
+            if q == z:
                 continue
-            ov = held.overlaps(a, b, *box)
-            ov *= left[a:b]
-            best = ov.max()
-            if best >= x:
-                same = np.flatnonzero(ov == best)
-                # Of equal ones the first truth.
-                i = a + (same[0] if len(same) == 1 else same[held.at[a:b][same].argmin()])
-                if big[held.at[i]]:
-                    t[k], left[i] = 1, 0.0
-                    free[held.at[i]] = False
-                else:
-                    t[k] = -1
-                break
+            best, mark, q = boxes_of[q], marks[q], q + 1
+            # Of equal ones the first truth.
+            while q < z and marks[q] == mark:
+                b = boxes_of[q]
+                if after[b] < end[b] and truth[after[b]] < truth[after[best]]:
+                    best = b
+                q += 1
+            if counts[best]:
+                t[k] = 1
+                free[truth[after[best]]] = False
+                after[best] += 1
+            else:
+                t[k] = -1
     return t, free
 
 
@@ -190,6 +336,37 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp:
     return pairs.select(*keys, *held(left, lp, "l"), *held(right, rp, "r"), "iou")
 
 
+def _asked(gt: DataFrame, pred: DataFrame, conf: float, min_area: float) -> DataFrame:
+    """Predictions that matching looks at."""
+    return pred.filter((F.col("score") >= conf) & (_size() >= min_area)).join(gt.select("image_id").distinct(), "image_id", "left_semi")
+
+
+def _size() -> Column:
+    return (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+
+
+def _matched(gt: DataFrame, pred: DataFrame, iou_threshold: float, min_area: float, border: float, tell, schema: str) -> DataFrame:
+    """What tell(ends, rows, t, score) makes, for _fold, of all pairs of the images and classes between ends."""
+    side = lambda df, n, o: df.select(*KEY, F.lit(n).alias("side"), o.cast("double").alias("o"), F.col("row_id").cast("string").alias("row_id"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS], F.coalesce(_size() >= min_area, F.lit(False)).alias("big"))
+    sides = side(gt, 0, F.lit(0.0)).unionAll(side(pred, 1, -F.col("score")))
+
+    def run(table, ends):
+        second, big, o = _numbers(table, "side") > 0, _numbers(table, "big") > 0, _numbers(table, "o")
+        cols = [_numbers(table, c) for c in _COLUMNS]
+        g, p = np.flatnonzero(~second), np.flatnonzero(second)
+        if iou_threshold > 0:
+            key = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            t, free = _meet(key[g], [c[g] for c in cols], big[g], key[p], [c[p] for c in cols], iou_threshold, border)
+        else:
+            middles = [a + int((~second[a:e]).sum()) for a, e in zip(ends, ends[1:])]
+            parts = [_visit([c[a:m] for c in cols], big[a:m], [c[m:e] for c in cols], iou_threshold, border) for a, m, e in zip(ends, middles, ends[1:])]
+            t, free = (np.concatenate(x) for x in zip(*parts))
+        seen, missed = p[t >= 0], g[free & big[g]]
+        return tell(ends, np.concatenate([seen, missed]), np.concatenate([t[t >= 0], np.ones(len(missed), dtype=np.int32)]), np.concatenate([-o[seen], np.zeros(len(missed))]))
+
+    return _fold(sides, ["side", "o", "row_id", *_COLUMNS], run, schema)
+
+
 def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: float = 0.0, min_area: float = 0.0, border: float = 0.0) -> DataFrame:
     """Pairs (image_id, type, t, score, pos) as the metrics need them, and tn rows (t null) for images empty on both sides.
 
@@ -198,22 +375,8 @@ def match(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: floa
     the threshold: t 1; else t 0. If that truth is under min_area, neither counts and the truth stays free. Every free
     truth of min_area is a miss: t 1 with score 0. Only images with truths are looked at, for every class of gt.
     """
-    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    pred = pred.filter((F.col("score") >= conf) & (size >= min_area)).join(gt.select("image_id").distinct(), "image_id", "left_semi")
-    side = lambda df, n, o: df.select(*KEY, F.lit(n).alias("side"), o.cast("double").alias("o"), F.col("row_id").cast("string").alias("row_id"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS], F.coalesce(size >= min_area, F.lit(False)).alias("big"))
-    sides = side(gt, 0, F.lit(0.0)).unionAll(side(pred, 1, -F.col("score")))
-
-    def run(table, ends):
-        second, big, o = _numbers(table, "side") > 0, _numbers(table, "big") > 0, _numbers(table, "o")
-        cols = [_numbers(table, c) for c in _COLUMNS]
-        for a, e in zip(ends, ends[1:]):
-            m = e - int(second[a:e].sum())
-            t, free = _visit([c[a:m] for c in cols], big[a:m], [c[m:e] for c in cols], iou_threshold, border)
-            seen, missed = np.flatnonzero(t >= 0), np.flatnonzero(free & big[a:m])
-            yield m + seen, t[seen], -o[m:e][seen]
-            yield a + missed, np.ones(len(missed), dtype=np.int32), np.zeros(len(missed))
-
-    pairs = _fold(sides, ["side", "o", "row_id", *_COLUMNS], run, "t int, score double, pos string")
+    pred = _asked(gt, pred, conf, min_area)
+    pairs = _matched(gt, pred, iou_threshold, min_area, border, lambda ends, rows, t, score: (rows, {"t": t, "score": score}), "t int, score double, pos string")
     # Images by classes: as many as the result of the evaluation has; those without any box are true negatives.
     types = [r[0] for r in gt.select("type").distinct().limit(CLASSES + 1).collect()]
     if len(types) > CLASSES:
@@ -285,7 +448,7 @@ def suppress(found: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
     rows = found.select(*KEY, (-F.col("score")).cast("double").alias("o"), F.col("row_id").cast("string").alias("row_id"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
 
     def run(table, ends):
-        o, cols = _numbers(table, "o"), [_numbers(table, c) for c in _COLUMNS]
+        o, cols, stay = _numbers(table, "o"), [_numbers(table, c) for c in _COLUMNS], []
         for a, e in zip(ends, ends[1:]):
             x1, y1, x2, y2 = box = [c[a:e] for c in cols]
             held = _Boxes(*box, 0.0, every=iou_threshold <= 0)
@@ -301,15 +464,32 @@ def suppress(found: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
                     kept.append(k)
                     # Better ones that it meets here are decided already.
                     gone[begin[i] : end[i]] |= held.overlaps(begin[i], end[i], x1[k], y1[k], x2[k], y2[k]) > iou_threshold
-            yield a + np.array(kept), np.zeros(len(kept), dtype=np.int32), -o[a:e][kept]
+            stay += [a + k for k in kept]
+        return np.array(stay), {"score": -o[stay]}
 
     return _fold(rows, ["o", "row_id", *_COLUMNS], run, "row_id string, score double")
 
 
-def weak_images(pairs: DataFrame, conf: float = 0.0, recall: float = 0.5, precision: float = 0.0) -> DataFrame:
-    """Images and classes whose recall or precision is under its limit, with their counts."""
+def image_counts(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, conf: float = 0.0, min_area: float = 0.0, border: float = 0.0, sure: float = 0.0) -> DataFrame:
+    """(image_id, type, tp, fp, fn) of match()'s pairs, of which those from the score sure on are found: counted as they are
+    matched, so that no pair leaves the fold."""
+
+    def tell(ends, rows, t, score):
+        image, found = np.searchsorted(ends, rows, "right") - 1, ~(score < sure)
+        n = lambda on: np.bincount(image[on], minlength=len(ends) - 1)
+        some = np.flatnonzero(n(t >= 0))
+        return np.array(ends)[some], {c: n(on)[some] for c, on in (("tp", (t == 1) & found), ("fp", (t == 0) & found), ("fn", (t == 1) & ~found))}
+
+    return _matched(gt, _asked(gt, pred, conf, min_area), iou_threshold, min_area, border, tell, "tp bigint, fp bigint, fn bigint")
+
+
+def weak_images(found: DataFrame, conf: float = 0.0, recall: float = 0.5, precision: float = 0.0) -> DataFrame:
+    """Images and classes whose recall or precision is under its limit, with their counts. found: pairs of match(), counted
+    here from the score conf on, or image_counts()."""
     t, s = F.col("t"), F.col("score") >= conf
-    got = pairs.filter("t is not null").groupBy(*KEY).agg(F.count_if((t == 1) & s).alias("tp"), F.count_if((t == 0) & s).alias("fp"), F.count_if((t == 1) & ~s).alias("fn"))
+    got = found
+    if "t" in found.columns:
+        got = found.filter("t is not null").groupBy(*KEY).agg(F.count_if((t == 1) & s).alias("tp"), F.count_if((t == 0) & s).alias("fp"), F.count_if((t == 1) & ~s).alias("fn"))
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(1.0))
     got = got.withColumn("precision", rate("tp", "fp")).withColumn("recall", rate("tp", "fn"))
     return got.filter((F.col("recall") < recall) | (F.col("precision") < precision))

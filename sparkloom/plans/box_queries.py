@@ -271,7 +271,7 @@ def _(spark, sf):
     SELECT image_id, type, tp, fp, fn, round("precision", 6) AS "precision", round(recall, 6) AS recall FROM r WHERE recall < 0.3""",
 )
 def _(spark, sf):
-    return D.weak_images(D.match(*_sides(spark, sf)), conf=0.1, recall=0.3).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+    return D.weak_images(D.image_counts(*_sides(spark, sf), sure=0.1), recall=0.3).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
 #: A curve from flags that both engines can make: every line item is a pair, true where its status is open.

@@ -2,6 +2,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,59 @@ def test_weak_images_among_very_many_boxes(spark):
     assert time.monotonic() - began < 60
 
 
+def test_weak_images_of_boxes_above_one_another(spark):
+    """All left edges are near: only the upper ones tell boxes apart. Every truth is found, by one of two copies."""
+    began = time.monotonic()
+    box = lambda s: [F.lit(s).alias("x1"), (F.col("id") * 12.0).alias("y1"), F.lit(s + 10).alias("x2"), (F.col("id") * 12.0 + 10).alias("y2")]
+    key = [F.lit(1).alias("image_id"), F.lit("c").alias("type"), F.lpad(F.col("id").cast("string"), 6, "0").alias("row_id")]
+    n = 80_000
+    gt = spark.range(n).select(*key, *box(0.0))
+    pred = spark.range(n).select(*key, *box(1.0), (F.col("id") % 7 / 10.0).alias("score"))
+    pred = pred.unionAll(pred.withColumn("row_id", F.concat("row_id", F.lit("x"))))
+    low = len(range(0, n, 7))  # scores under 0.1
+    found = D.image_counts(gt, pred, sure=0.1)
+    assert [tuple(r) for r in D.weak_images(found, precision=0.6).collect()] == [(1, "c", n - low, n - low, low, 0.5, (n - low) / n)]
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("threshold, min_area, sure", [(0.3, 0.0, 0.4), (0.5, 30.0, 0.0), (0.0, 9.0, 0.6)])
+def test_counts_of_images_are_those_of_their_pairs(spark, threshold, min_area, sure):
+    rnd, gt, pred = random.Random(5), [], []
+    for image in range(60):
+        for rows in (gt, pred):
+            for k in range(rnd.randint(0, 9)):
+                x, y = rnd.randint(0, 9), rnd.randint(0, 9)
+                b = (float(x), float(y), float(x + rnd.randint(-1, 9)), float(y + rnd.randint(-1, 9)))
+                rows.append((image, rnd.choice("cd"), f"{len(rows)}", *b) + ((rnd.choice([0.0, 0.4, 0.6, float("nan")]),) if rows is pred else ()))
+    schema = "image_id int, type string, row_id string, x1 double, y1 double, x2 double, y2 double"
+    sides = spark.createDataFrame(gt, schema), spark.createDataFrame(pred, schema + ", score double")
+    want = D.weak_images(D.match(*sides, threshold, 0.2, min_area), sure, recall=2.0)
+    got = D.weak_images(D.image_counts(*sides, threshold, 0.2, min_area, sure=sure), recall=2.0)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("strip, measured, windows", [(1, 1, 1), (3, 5, 40), (64, 1 << 18, 1 << 21)])
+def test_matching_of_crowds_and_copies(monkeypatch, strip, measured, windows):
+    """Many equal boxes and equal overlaps, in blocks of any size."""
+    for name, value in (("STRIP", strip), ("MEASURED", measured), ("WINDOWS", windows)):
+        monkeypatch.setattr(D, name, value)
+    rng = np.random.default_rng(strip)
+    for threshold in (0.1, 0.34, 0.5, 1.0):
+        images = []
+        for _ in range(6):
+            x, y = rng.integers(0, 8, (2, 70))
+            w, h = rng.integers(-1, 7, (2, 70))
+            images.append((np.stack([x, y, x + w, y + h]).astype(float), int(rng.integers(0, 70))))
+        g, p = [b[:, :n] for b, n in images], [b[:, n:] for b, n in images]
+        key = lambda parts: np.repeat(np.arange(6), [b.shape[1] for b in parts])
+        big = [(b[2] - b[0]) * (b[3] - b[1]) >= 4.0 for b in g]
+        t, free = D._meet(key(g), list(np.concatenate(g, 1)), np.concatenate(big), key(p), list(np.concatenate(p, 1)), threshold, 0.0)
+        for k in range(6):
+            hits = brute_match([(f"{i:03}", tuple(b)) for i, b in enumerate(g[k].T.tolist())], [(i, 0.5, tuple(b)) for i, b in enumerate(p[k].T.tolist())], threshold, 4.0)
+            mine, left = t[key(p) == k], free[key(g) == k] & big[k]
+            assert sorted([(int(v), 0.5) for v in mine if v >= 0] + [(1, 0.0)] * int(left.sum())) == hits
+
+
 def test_suppression_in_an_image_with_very_many_boxes(spark):
     """All boxes stay, and each has a worse copy that goes."""
     began = time.monotonic()
