@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sparkloom.functions import boxes
 from sparkloom.functions.lineage import cut, small
 from sparkloom.operators.datasets import running
 
@@ -24,26 +24,28 @@ KEY = ["image_id", "type"]
 CLASSES = 20_000
 #: Boxes of a strip; pairs that are measured at once; pairs with left edges near, and so the overlaps held, of a block of predictions.
 STRIP, MEASURED, WINDOWS = 64, 1 << 18, 1 << 21
+#: Copies of either box that a row of pairs has, as all pairs of a row are made at once.
+COPIES = 64
 _COLUMNS = ("x1", "y1", "x2", "y2")
 
 
-def _starts(table) -> np.ndarray:
-    """Where the runs of equal KEY begin."""
+def _starts(table, keys) -> np.ndarray:
+    """Where the runs of equal keys begin."""
     new = np.zeros(table.num_rows, dtype=bool)
     new[:1] = True
-    for c in KEY:
+    for c in keys:
         code = table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= code[1:] != code[:-1]
     return np.flatnonzero(new)
 
 
-def _whole(batches):
-    """Tables of whole images and classes, of batches that are sorted by KEY; no more is held than one and a batch."""
+def _whole(batches, keys):
+    """Tables of whole images and classes, of batches that are sorted by keys; no more is held than one and a batch."""
     held = []
     for b in batches:
         rows = pa.Table.from_batches([b])
         # The row before tells whether the first one goes on with what is held.
-        at = _starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]))[1:] - 1 if held else _starts(rows)[1:]
+        at = _starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]), keys)[1:] - 1 if held else _starts(rows, keys)[1:]
         if len(at):
             yield pa.concat_tables([*held, rows.slice(0, at[-1])]).combine_chunks()
             held = []
@@ -62,8 +64,8 @@ def _fold(df: DataFrame, order: list[str], run, schema: str) -> DataFrame:
     """
 
     def each(batches):
-        for table in _whole(batches):
-            at, cols = run(table, [*_starts(table).tolist(), table.num_rows])
+        for table in _whole(batches, KEY):
+            at, cols = run(table, [*_starts(table, KEY).tolist(), table.num_rows])
             if len(at):
                 of = lambda c: table[c].take(pa.array(at))
                 got = {**{c: of(c) for c in KEY}, **{c: pa.array(cols[c]) if c in cols else of("row_id") for c in names}}
@@ -262,20 +264,12 @@ def _meet(gkey, g, big, pkey, p, threshold: float, d: float) -> tuple[np.ndarray
     truth, one = held[rows].tolist(), held[first]
     end = np.cumsum(np.bincount(which))
     after, end, counts = [0, *end[:-1].tolist()], end.tolist(), big[one].tolist()
-    plane = _Plane(gkey[one], [c[one] for c in g], threshold, d)
-    begin, count = plane.window(pkey[seen], [c[seen] for c in p])
-    if count.sum() > WINDOWS:
-        # Overlaps are the same if axes change places; fewer upper edges than left ones may be near.
-        turn = lambda box: [box[i] for i in (1, 0, 3, 2)]
-        turned = _Plane(gkey[one], [c[one] for c in turn(g)], threshold, d)
-        window = turned.window(pkey[seen], [c[seen] for c in turn(p)])
-        if window[1].sum() < count.sum():
-            plane, (begin, count), p = turned, window, turn(p)
+    plane, begin, count, p = _plane(gkey[one], [c[one] for c in g], pkey[seen], [c[seen] for c in p], threshold, d)
     for a, e in _blocks(count, WINDOWS):
         some = np.flatnonzero(count[a:e]) + a
-        first, which, _ = _distinct(pkey[seen[some]], [c[seen[some]] for c in p])
+        first, which, _ = _distinct(pkey[seen[some]], [c[some] for c in p])
         first = some[first]
-        i, j, ov = plane.overlaps(begin[first], count[first], [c[seen[first]] for c in p])
+        i, j, ov = plane.overlaps(begin[first], count[first], [c[first] for c in p])
         order = np.lexsort((-ov, i))
         boxes_of, marks = j[order].tolist(), ov[order].tolist()
         n = np.bincount(i, minlength=len(first))
@@ -306,34 +300,119 @@ def _meet(gkey, g, big, pkey, p, threshold: float, d: float) -> tuple[np.ndarray
     return t, free
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp: str, threshold: float) -> DataFrame:
-    """Pairs of left and right with equal keys whose overlap (iou) reaches a threshold above 0, and their columns.
-
-    Boxes that overlap so far differ in width and in height by the threshold's factor at most, and their corners by less
-    than the share of a width or height that may lie outside. These bounds are compared first, on sides made once a row;
-    the overlap itself is measured for the few pairs that stay, once for all copies of two boxes. Inverted and empty boxes
-    overlap none.
+def _plane(gkey, g, pkey, p, threshold: float, d: float):
+    """A plane of boxes g, the windows of boxes p in it, and p as the plane sees them."""
+    plane = _Plane(gkey, g, threshold, d)
+    begin, count = plane.window(pkey, p)
+    if count.sum() > WINDOWS:
+        # Overlaps are the same if axes change places; fewer upper edges than left ones may be near.
+        turn = lambda box: [box[i] for i in (1, 0, 3, 2)]
+        turned = _Plane(gkey, turn(g), threshold, d)
+        window = turned.window(pkey, turn(p))
+        if window[1].sum() < count.sum():
+            return turned, *window, turn(p)
+    return plane, begin, count, p
+
+
+class _Copies:
+    """Boxes of one side of a table, each once: its key, its corners, and the rows of its copies."""
+
+    def __init__(self, at, key, box):
+        first, which, rows = _distinct(key[at], [c[at] for c in box])
+        self.first, self.rows = at[first], at[rows]
+        self.key, self.box = key[self.first], [c[self.first] for c in box]
+        self.count = np.bincount(which, minlength=len(first))
+        self.begin = np.cumsum(self.count) - self.count
+        self.finite = np.isfinite((self.box[2] - self.box[0]) * (self.box[3] - self.box[1]))
+
+
+def _pairs(left: _Copies, right: _Copies, threshold: float):
+    """Pairs (left, right, overlap) of equal keys that overlap by the threshold, in blocks. Boxes of no finite area meet only
+    such ones, compared as Spark and SQL do: what is no number is above all numbers."""
+    p, g = np.flatnonzero(left.finite), np.flatnonzero(right.finite)
+    if len(p) and len(g):
+        plane, begin, count, box = _plane(right.key[g], [c[g] for c in right.box], left.key[p], [c[p] for c in left.box], threshold, 0.0)
+        for a, e in _blocks(count, WINDOWS):
+            i, j, ov = plane.overlaps(begin[a:e], count[a:e], [c[a:e] for c in box])
+            yield p[a:e][i], g[j], ov
+    p, g = np.flatnonzero(~left.finite), np.flatnonzero(~right.finite)
+    if len(p) and len(g):
+        g = g[np.argsort(right.key[g], kind="stable")]
+        begin, end = (np.searchsorted(right.key[g], left.key[p], side) for side in ("left", "right"))
+        for a, e in _blocks(end - begin, MEASURED):
+            i, j = _members(begin[a:e], (end - begin)[a:e])
+            i, j = p[a:e][i], g[j]
+            with np.errstate(all="ignore"):
+                l, r = [c[i] for c in left.box], [c[j] for c in right.box]
+                w, h = (np.maximum(np.fmin(l[k + 2], r[k + 2]) - np.maximum(l[k], r[k]), 0.0) for k in (0, 1))
+                u = (l[2] - l[0]) * (l[3] - l[1]) + (r[2] - r[0]) * (r[3] - r[1]) - w * h
+                ov = np.where(u == 0, 0.0, w * h / u)
+            on = ~(ov < threshold)
+            yield i[on], j[on], ov[on]
+
+
+def _rounded(x, digits: int | None) -> np.ndarray:
+    """Numbers from 0 on, rounded as SQL's round() does: the scaled number to the nearest whole one, halves up."""
+    if digits is None:
+        return x
+    scaled = x * 10.0**digits
+    low = np.floor(scaled)
+    return (low + (scaled - low >= 0.5)) / 10.0**digits
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp: str, threshold: float, digits: int | None = None) -> DataFrame:
+    """Pairs of left and right with equal keys whose overlap (iou, rounded to digits) reaches a threshold above 0, and their columns.
+
+    Copies of a box are measured once. Boxes of equal keys lie together, where numpy finds and measures the pairs and gives
+    each with the columns of its copies; Spark then makes the pairs of copies, which needs no more than two loops. Inverted
+    and empty boxes overlap none.
     """
-    def sides(df, p, n):
-        corners = [p + c for c in ("xmin", "ymin", "xmax", "ymax")]
-        rest = [F.col(c) for c in df.columns if c not in (*keys, *corners)]
-        proper = df.filter((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin")))
-        # Copies of a box are measured once.
-        one = proper.groupBy(*keys, *corners).agg(F.collect_list(F.struct(*rest, F.lit(1).alias("_one"))).alias(f"_{n}s"))
-        return one.withColumns({f"_{n}w": F.col(f"{p}xmax") - F.col(f"{p}xmin"), f"_{n}h": F.col(f"{p}ymax") - F.col(f"{p}ymin")})
-
-    t, slack = threshold * (1 - 1e-9), (1 - threshold) * (1 + 1e-9)
-    near = F.lit(True)
-    for side, corner in (("w", "xmin"), ("h", "ymin")):
-        a, b = F.col(f"_l{side}"), F.col(f"_r{side}")
-        shift = F.col(lp + corner) - F.col(rp + corner)
-        # To the right lies what is cut off the right box, to the left what is cut off the left one.
-        near = near & (a >= b * t) & (b >= a * t) & (shift <= b * slack) & (shift >= -a * slack)
-    pairs = sides(left, lp, "l").join(sides(right, rp, "r"), keys).filter(near)
-    pairs = pairs.withColumn("iou", boxes.iou(boxes.box(lp), boxes.box(rp))).filter(F.col("iou") >= threshold)
-    pairs = pairs.withColumn("_l", F.explode("_ls")).withColumn("_r", F.explode("_rs"))
-    held = lambda df, p, n: [F.col(c) if c.startswith(p) and c[len(p) :] in ("xmin", "ymin", "xmax", "ymax") else F.col(f"_{n}.{c}") for c in df.columns if c not in keys]
-    return pairs.select(*keys, *held(left, lp, "l"), *held(right, rp, "r"), "iou")
+    corners = lambda p: [p + c for c in ("xmin", "ymin", "xmax", "ymax")]
+    rest = lambda df, p: [F.col(c) for c in df.columns if c not in (*keys, *corners(p))] or [F.lit(1).alias("_one")]
+    packed = {n: df.select(F.struct(*rest(df, p))).schema[0].dataType for df, p, n in ((left, lp, "_l"), (right, rp, "_r"))}
+
+    def side(df, p, n):
+        proper = df.filter((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin"))).filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]))
+        own = {m: F.struct(*rest(df, p)) if m == n else F.lit(None).cast(t) for m, t in packed.items()}
+        return proper.select(*keys, F.lit(n == "_l").alias("_side"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(corners(p))], *[c.alias(m) for m, c in own.items()])
+
+    def each(batches):
+        for table in _whole(batches, ["_key"]):
+            key = np.zeros(table.num_rows, dtype=np.int64)
+            for c in keys:
+                code = table.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                key = np.unique(key * (code.max() + 1) + code, return_inverse=True)[1]
+            first, box = table.column("_side").combine_chunks().to_numpy(zero_copy_only=False), [_numbers(table, f"_c{i}") for i in range(4)]
+            sides = {n: _Copies(np.flatnonzero(on), key, box) for n, on in (("_l", first), ("_r", ~first))}
+            columns = {n: table.column(n).combine_chunks() for n in sides}
+            for *found, ov in _pairs(*sides.values(), threshold):
+                # Many copies are dealt to several rows.
+                parts = [-(-s.count[k] // COPIES) for s, k in zip(sides.values(), found)]
+                row, part = _members(np.zeros(len(found[0]), dtype=np.int64), parts[0] * parts[1])
+                begins, counts, of, ov = [], [], [k[row] for k in found], _rounded(ov, digits)[row]
+                for s, k, n in zip(sides.values(), of, (part // parts[1][row], part % parts[1][row])):
+                    begins.append(s.begin[k] + n * COPIES)
+                    counts.append(np.minimum(s.count[k] - n * COPIES, COPIES))
+                for a, e in _blocks(counts[0] + counts[1], MEASURED):
+                    got = {c: table.column(c).take(pa.array(sides["_l"].first[of[0][a:e]])) for c in keys} | {"iou": pa.array(ov[a:e])}
+                    for (n, s), k, begin, count in zip(sides.items(), of, begins, counts):
+                        got |= {f"{n}{i}": pa.array(c[k[a:e]]) for i, c in enumerate(s.box)}
+                        ends = np.concatenate([[0], np.cumsum(count[a:e])]).astype(np.int32)
+                        got[n] = pa.ListArray.from_arrays(pa.array(ends), columns[n].take(pa.array(s.rows[_members(begin[a:e], count[a:e])[1]])))
+                    yield from pa.table(got).combine_chunks().to_batches()
+
+    both = side(left, lp, "_l").unionAll(side(right, rp, "_r"))
+    kinds = [f"`{c}` {both.schema[c].dataType.simpleString()}" for c in keys] + ["iou double"]
+    for n, t in packed.items():
+        kinds += [f"{n}{i} double" for i in range(4)] + [f"{n} {T.ArrayType(t).simpleString()}"]
+    # Sorted by one number, of which a run may hold several keys.
+    rows = both.withColumn("_key", F.xxhash64(*keys)).repartition("_key").sortWithinPartitions("_key")
+    pairs = rows.mapInArrow(each, ", ".join(kinds))
+    for n in packed:
+        pairs = pairs.withColumn(n, F.explode(n))
+    place = lambda p: {c: i for i, c in enumerate(corners(p))}
+    held = lambda df, p, n: [F.col(f"{n}{place(p)[c]}").cast(df.schema[c].dataType).alias(c) if c in place(p) else F.col(f"{n}.{c}") for c in df.columns if c not in keys]
+    return pairs.select(*keys, *held(left, lp, "_l"), *held(right, rp, "_r"), "iou")
 
 
 def _asked(gt: DataFrame, pred: DataFrame, conf: float, min_area: float) -> DataFrame:

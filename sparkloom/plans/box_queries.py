@@ -200,7 +200,7 @@ def _sides(spark, sf):
 def _(spark, sf):
     g, p = boxes_gt(spark, sf), boxes_pred(spark, sf)
     g, p = (df.select("image_id", "type", F.col("row_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in Q.COORDS]) for df, n in ((g, "gt"), (p, "pred")))
-    return D.overlapping(p, g, ["image_id", "type"], "pred_bbox_", "gt_bbox_", 0.5).select("image_id", "pred_id", "gt_id", F.round("iou", 6).alias("iou"))
+    return D.overlapping(p, g, ["image_id", "type"], "pred_bbox_", "gt_bbox_", 0.5, digits=6).select("image_id", "pred_id", "gt_id", "iou")
 
 
 def _iou_sql(p: str, g: str) -> str:

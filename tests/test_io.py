@@ -171,6 +171,25 @@ def test_copies_of_boxes_are_measured_once(spark):
     assert time.monotonic() - began < 15
 
 
+def test_pairs_of_copies_are_made_of_measured_and_rounded_boxes(spark):
+    """All pairs of many copies, odd boxes among them; overlaps are rounded as SQL does, once for all copies of two boxes."""
+    inf = float("inf")
+    shapes = [("a", (0.0, 0.0, 64.0, 50.0)), ("a", (0.0, 0.0, 45.0, 37.0)), ("b", (0.0, 0.0, 64.0, 50.0)), ("a", (0.0, 0.0, inf, 9.0)), ("a", (5.0, 5.0, 5.0, 9.0)), ("a", (9.0, 9.0, 0.0, 0.0)), (None, (0.0, 0.0, 64.0, 50.0))]
+    copies = (150, 70, 3, 2, 4, 4, 4)
+    rows = [(k, f"{i}-{n}" if n else None, *box) for i, (k, box) in enumerate(shapes) for n in range(copies[i])]
+    side = lambda p: spark.createDataFrame(rows, f"k string, {p}id string, " + ", ".join(f"{p}{c} double" for c in ("xmin", "ymin", "xmax", "ymax")))
+    pairs = K.overlapping(side("p_"), side("g_"), ["k"], "p_", "g_", 0.5, digits=6)
+    assert pairs.columns == ["k", *side("p_").columns[1:], *side("g_").columns[1:], "iou"]
+    got = sorted((r.k, r.p_xmax, r.g_xmax, str(r.iou), r.n, r.ids) for r in pairs.groupBy("k", "p_xmax", "g_xmax", "iou").agg(F.count("*").alias("n"), F.count_distinct(F.struct("p_id", "g_id")).alias("ids")).collect())
+    want = [("a", 64.0, 64.0, "1.0", 150), ("a", 45.0, 45.0, "1.0", 70), ("b", 64.0, 64.0, "1.0", 3), ("a", inf, inf, "nan", 2)]
+    want = [(*w[:4], w[4] ** 2) for w in want] + [("a", a, b, "0.520312", 150 * 70) for a, b in ((64.0, 45.0), (45.0, 64.0))]
+    assert got == sorted((*w, w[4]) for w in want)
+    # SQL rounds 0.5203125 down, as 520312.49999999994 lies under the middle.
+    assert duckdb.sql("SELECT round(1665::DOUBLE / 3200::DOUBLE, 6)").fetchall() == [(0.520312,)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "round(" not in plan
+
+
 def test_coco_files_are_read_by_many_tasks(spark, tmp_path):
     n, path = 30_000, str(tmp_path / "coco.json")
     images = spark.createDataFrame([(1, None, 9, 9), (2, "b ] }\n.png", 9, 9)], "image_id long, file_name string, height int, width int")
