@@ -368,51 +368,65 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], lp: str, rp:
     and empty boxes overlap none.
     """
     corners = lambda p: [p + c for c in ("xmin", "ymin", "xmax", "ymax")]
-    rest = lambda df, p: [F.col(c) for c in df.columns if c not in (*keys, *corners(p))] or [F.lit(1).alias("_one")]
-    packed = {n: df.select(F.struct(*rest(df, p))).schema[0].dataType for df, p, n in ((left, lp, "_l"), (right, rp, "_r"))}
+    rest = {n: [c for c in df.columns if c not in (*keys, *corners(p))] for df, p, n in ((left, lp, "_l"), (right, rp, "_r"))}
+    # In the rows of both sides columns of equal type share a place, flat, as Arrow writes structs slowly.
+    places, types = {n: {} for n in rest}, []
+    for df, n in ((left, "_l"), (right, "_r")):
+        for c in rest[n]:
+            t = df.schema[c].dataType
+            k = next((k for k, u in enumerate(types) if u == t and k not in places[n].values()), len(types))
+            types += [t] * (k == len(types))
+            places[n][c] = k
 
     def side(df, p, n):
-        proper = df.filter((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin"))).filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]))
-        own = {m: F.struct(*rest(df, p)) if m == n else F.lit(None).cast(t) for m, t in packed.items()}
-        return proper.select(*keys, F.lit(n == "_l").alias("_side"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(corners(p))], *[c.alias(m) for m, c in own.items()])
+        has = [F.col(c).isNotNull() for c in keys] + [F.col(f"{p}xmax") > F.col(f"{p}xmin"), F.col(f"{p}ymax") > F.col(f"{p}ymin")]
+        own = {k: F.col(c) for c, k in places[n].items()}
+        held = [F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(corners(p))] + [own.get(k, F.lit(None).cast(t)).alias(f"_p{k}") for k, t in enumerate(types)]
+        return df.filter(reduce(Column.__and__, has)).select(*keys, F.lit(n == "_l").alias("_side"), *held)
 
     def each(batches):
         for table in _whole(batches, ["_key"]):
-            key = np.zeros(table.num_rows, dtype=np.int64)
+            table, key = table.combine_chunks(), np.zeros(table.num_rows, dtype=np.int64)
+            column = lambda c: table.column(c).chunk(0)
             for c in keys:
-                code = table.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                code = column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 key = np.unique(key * (code.max() + 1) + code, return_inverse=True)[1]
-            first, box = table.column("_side").combine_chunks().to_numpy(zero_copy_only=False), [_numbers(table, f"_c{i}") for i in range(4)]
-            sides = {n: _Copies(np.flatnonzero(on), key, box) for n, on in (("_l", first), ("_r", ~first))}
-            columns = {n: table.column(n).combine_chunks() for n in sides}
-            for *found, ov in _pairs(*sides.values(), threshold):
+            first, box = column("_side").to_numpy(zero_copy_only=False), [_numbers(table, f"_c{i}") for i in range(4)]
+            sides = [_Copies(np.flatnonzero(on), key, box) for on in (first, ~first)]
+            for *found, ov in _pairs(*sides, threshold):
                 # Many copies are dealt to several rows.
-                parts = [-(-s.count[k] // COPIES) for s, k in zip(sides.values(), found)]
-                row, part = _members(np.zeros(len(found[0]), dtype=np.int64), parts[0] * parts[1])
-                begins, counts, of, ov = [], [], [k[row] for k in found], _rounded(ov, digits)[row]
-                for s, k, n in zip(sides.values(), of, (part // parts[1][row], part % parts[1][row])):
-                    begins.append(s.begin[k] + n * COPIES)
-                    counts.append(np.minimum(s.count[k] - n * COPIES, COPIES))
-                for a, e in _blocks(counts[0] + counts[1], MEASURED):
-                    got = {c: table.column(c).take(pa.array(sides["_l"].first[of[0][a:e]])) for c in keys} | {"iou": pa.array(ov[a:e])}
-                    for (n, s), k, begin, count in zip(sides.items(), of, begins, counts):
-                        got |= {f"{n}{i}": pa.array(c[k[a:e]]) for i, c in enumerate(s.box)}
-                        ends = np.concatenate([[0], np.cumsum(count[a:e])]).astype(np.int32)
-                        got[n] = pa.ListArray.from_arrays(pa.array(ends), columns[n].take(pa.array(s.rows[_members(begin[a:e], count[a:e])[1]])))
-                    yield from pa.table(got).combine_chunks().to_batches()
+                parts = [-(-s.count[k] // COPIES) for s, k in zip(sides, found)]
+                row, part = _members(np.zeros(len(ov), dtype=np.int64), parts[0] * parts[1])
+                found, ov = [k[row] for k in found], _rounded(ov, digits)[row]
+                skip = [n * COPIES for n in (part // parts[1][row], part % parts[1][row])]
+                begin = [s.begin[k] + n for s, k, n in zip(sides, found, skip)]
+                count = [np.minimum(s.count[k] - n, COPIES) for s, k, n in zip(sides, found, skip)]
+                for a, e in _blocks(count[0] + count[1], MEASURED):
+                    got = {c: column(c).take(pa.array(sides[0].first[found[0][a:e]])) for c in keys} | {"iou": pa.array(ov[a:e])}
+                    for n, s, k, b, m in zip(rest, sides, found, begin, count):
+                        got |= {f"{n}_c{i}": pa.array(c[k[a:e]]) for i, c in enumerate(s.box)}
+                        ends, copies = pa.array(np.concatenate([[0], np.cumsum(m[a:e])]).astype(np.int32)), pa.array(s.rows[_members(b[a:e], m[a:e])[1]])
+                        lists = [column(f"_p{i}").take(copies) for i in places[n].values()] or [copies]
+                        got |= {f"{n}{i}": pa.ListArray.from_arrays(ends, c) for i, c in enumerate(lists)}
+                    yield from pa.table(got).to_batches()
 
     both = side(left, lp, "_l").unionAll(side(right, rp, "_r"))
-    kinds = [f"`{c}` {both.schema[c].dataType.simpleString()}" for c in keys] + ["iou double"]
-    for n, t in packed.items():
-        kinds += [f"{n}{i} double" for i in range(4)] + [f"{n} {T.ArrayType(t).simpleString()}"]
+    schema = [T.StructField(c, both.schema[c].dataType) for c in keys] + [T.StructField("iou", T.DoubleType())]
+    for n in rest:
+        schema += [T.StructField(f"{n}_c{i}", T.DoubleType()) for i in range(4)]
+        schema += [T.StructField(f"{n}{i}", T.ArrayType(t)) for i, t in enumerate([types[k] for k in places[n].values()] or [T.LongType()])]
     # Sorted by one number, of which a run may hold several keys.
     rows = both.withColumn("_key", F.xxhash64(*keys)).repartition("_key").sortWithinPartitions("_key")
-    pairs = rows.mapInArrow(each, ", ".join(kinds))
-    for n in packed:
-        pairs = pairs.withColumn(n, F.explode(n))
-    place = lambda p: {c: i for i, c in enumerate(corners(p))}
-    held = lambda df, p, n: [F.col(f"{n}{place(p)[c]}").cast(df.schema[c].dataType).alias(c) if c in place(p) else F.col(f"{n}.{c}") for c in df.columns if c not in keys]
-    return pairs.select(*keys, *held(left, lp, "_l"), *held(right, rp, "_r"), "iou")
+    pairs = rows.mapInArrow(each, T.StructType(schema))
+    for n, names in rest.items():
+        one = len(names) < 2
+        pairs = pairs.withColumn(n, F.explode(f"{n}0" if one else F.arrays_zip(*[f"{n}{i}" for i in range(len(names))])))
+    out = []
+    for df, p, n in ((left, lp, "_l"), (right, rp, "_r")):
+        own = {c: F.col(f"{n}_c{i}").cast(df.schema[c].dataType) for i, c in enumerate(corners(p))}
+        own |= {c: F.col(n) if len(rest[n]) < 2 else F.col(n)[f"{n}{i}"] for i, c in enumerate(rest[n])}
+        out += [own[c].alias(c) for c in df.columns if c not in keys]
+    return pairs.select(*keys, *out, "iou")
 
 
 def _asked(gt: DataFrame, pred: DataFrame, conf: float, min_area: float) -> DataFrame:
